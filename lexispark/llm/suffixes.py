@@ -220,9 +220,9 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame,
 
     first, count = F.shiftrightunsigned("place", 32), F.shiftrightunsigned("place", 8).bitwiseAND(F.lit(255))
     name = F.shiftrightunsigned("place", 16).bitwiseAND(F.lit(0xFFFF)).alias("tag")
-    spans = full.select("doc", name, F.struct(first.cast("int").alias("s"), (first + count - 1 + LENGTH).cast("int").alias("e")).alias("span"))
-    spans = spans.unionByName(partial.select("doc", name, F.struct(F.col("start").alias("s"), F.col("end").alias("e")).alias("span")))
-    spans = scratch.keep(_merge_spans(spans.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))), "spans")
+    spans = full.select("doc", name, F.array(F.struct(first.cast("int").alias("s"), (first + count - 1 + LENGTH).cast("int").alias("e"))).alias("spans"))
+    spans = spans.unionByName(partial.select("doc", name, "spans").filter(F.size("spans") > 0))
+    spans = scratch.keep(_merge_spans(spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))), "spans")
     total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     release(spark)
     return spans, total
@@ -287,8 +287,8 @@ def _window_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _compare(windows: DataFrame) -> DataFrame:
-    """doc, place, start, end of the strings that runs with different surroundings share. Seeds are streamed in order:
-    only the rows of one Arrow batch and of the seed that it breaks off in are held."""
+    """doc, place, spans of each row of ``windows``: the strings that it shares with runs of other surroundings. Seeds are
+    streamed in order: only the rows of one Arrow batch and of the seed that it breaks off in are held."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -298,15 +298,15 @@ def _compare(windows: DataFrame) -> DataFrame:
             key, part = held.column("key").to_numpy(), held.column("slice").to_numpy()
             last = int(np.argmax((key == key[-1]) & (part == part[-1])))
             if last:
-                yield from _shared(held.slice(0, last))
+                yield _shared(held.slice(0, last))
                 held = held.slice(last)
         if held is not None:
-            yield from _shared(held)
+            yield _shared(held)
 
-    return windows.repartition("key", "slice").sortWithinPartitions("key", "slice").mapInArrow(run, "doc long, place long, start int, end int")
+    return windows.repartition("key", "slice").sortWithinPartitions("key", "slice").mapInArrow(run, "doc long, place long, spans array<struct<s:int,e:int>>")
 
 
-def _shared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _shared(t: pa.Table) -> pa.RecordBatch:
     t = t.combine_chunks()
     lists = t.column("prints").combine_chunks()
     counts = np.diff(lists.offsets.to_numpy())
@@ -322,16 +322,15 @@ def _shared(t: pa.Table) -> Iterator[pa.RecordBatch]:
     twice[:-1] |= same
     # Runs that are copies of others are removed as a whole already.
     hit = np.sort(order[twice & (t.column("n").to_numpy()[row[order]] == 1)])
-    if not len(hit):
-        return
     r, a = row[hit], at[hit]
-    starts = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1)]))
-    ends = np.append(starts[1:], len(r)) - 1
-    place = t.column("place").to_numpy()[r[starts]]
-    first = place >> 32
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(t.column("doc").to_numpy()[r[starts]]), pa.array(place), pa.array((first + a[starts]).astype(np.int32)), pa.array((first + a[ends] + LENGTH).astype(np.int32))], ["doc", "place", "start", "end"]
-    )
+    new = np.ones(len(hit), bool)
+    new[1:] = (r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(r))[: len(starts)] - 1
+    first = t.column("place").to_numpy()[r[starts]] >> 32
+    values = pa.StructArray.from_arrays([pa.array((first + a[starts]).astype(np.int32)), pa.array((first + a[ends] + LENGTH).astype(np.int32))], ["s", "e"])
+    offsets = np.searchsorted(r[starts], np.arange(len(t) + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([t.column("doc").combine_chunks(), t.column("place").combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc", "place", "spans"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
