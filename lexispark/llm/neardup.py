@@ -10,8 +10,10 @@ probability equal to their similarity.
 Equal texts are collapsed first, so groups of copies cost one row each. Signatures are cut into bands; documents that
 share a band form a bucket, whose smallest id leads it. Members are checked against leaders (exact similarity of the
 whole texts), first one most-shared leader each, then what does not follow from the components found. Buckets that
-still hold several components are then searched for links between members of different components. Components are
-found by rounds of joins; nothing is collected.
+still hold several components are then searched for links between members of different components; a pair is looked
+at only if the sizes allow the similarity (an exact test) and if no more bits of two one-bit sketches of the signatures
+differ than do, but for some 4 pairs in a million, at that similarity (DEVIATIONS). Components are found by rounds of
+joins; nothing is collected.
 
 Defined cases: documents without words (null, empty, white space) are never linked, not even with each other;
 documents shorter than a shingle are one shingle; null doc_ids are never linked; rows that repeat a doc_id with
@@ -36,6 +38,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
 COORDINATES = BANDS * ROWS
+#: Standard deviations that a sketch's differing bits may exceed what is expected at the least similarity.
+DEVIATIONS = 4.5
 #: Up to so many ids, the candidates' ids go to the documents by broadcast; beyond that, by a shuffled join.
 BROADCAST_IDS = 500_000
 _U = np.uint64
@@ -127,8 +131,19 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bit_sketches(signatures: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate, packed into int64s; bits of two documents differ in (1 - similarity) / 2 of places."""
+    bits = np.packbits((signatures & _U(1)).astype(np.uint8), axis=1)
+    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.int64)
+
+
+def most_differing(least: float, k: int = COORDINATES) -> int:
+    share = (1 - least) / 2
+    return math.ceil(k * share + DEVIATIONS * math.sqrt(k * share * (1 - share)))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, band hashes, for documents with words and id."""
+    """doc_id, digest of the text, band hashes, number of shingles, bit sketch, for documents with words and id."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,14 +154,16 @@ def sketches(docs: DataFrame) -> DataFrame:
             some = [i for i, s in enumerate(sets) if len(s)]
             if not some:
                 continue
-            bands = band_hashes(dart_signatures([sets[i] for i in some]))
+            signatures = dart_signatures([sets[i] for i in some])
+            bands, bits = band_hashes(signatures), bit_sketches(signatures)
+            lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, bits))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(some)), pa.array([xxhash.xxh3_128_digest(texts[i]) for i in some], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))],
-                ["doc_id", "digest", "bands"],
+                [batch.column(0).take(pa.array(some)), pa.array([xxhash.xxh3_128_digest(texts[i]) for i in some], pa.binary()), next(lists), pa.array([len(sets[i]) for i in some], pa.int64()), next(lists)],
+                ["doc_id", "digest", "bands", "size", "bits"],
             )
 
     kept = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return kept.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return kept.mapInArrow(run, "doc_id long, digest binary, bands array<long>, size long, bits array<long>")
 
 
 def verify(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -197,7 +214,7 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     sketch = scratch.keep(sketches(docs), "sketches")
-    reps = sketch.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    reps = sketch.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"))
     members = sketch.select("doc_id", "digest")
     reps = scratch.keep(reps, "reps")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
@@ -219,9 +236,12 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     placed = shared.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = scratch.keep(placed.select("bucket", "rep", "component"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    open_ = scratch.keep(placed.join(mixed, "bucket"), "open")
-    left, right = (open_.select("bucket", F.col("rep").alias(r), F.col("component").alias(f"c{r}")) for r in "ab")
-    pairs = left.join(right, "bucket").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    open_ = scratch.keep(placed.join(mixed, "bucket").join(reps.select("rep", "size", "bits"), "rep"), "open")
+    parts = range(-(-COORDINATES // 64))
+    left, right = (open_.select("bucket", F.col("rep").alias(r), F.col("component").alias(f"c{r}"), F.col("size").alias(f"s{r}"), *[F.get("bits", F.lit(i)).alias(f"{r}{i}") for i in parts]) for r in "ab")
+    differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in parts), F.lit(0))
+    alike = (F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(least)) & (differing <= most_differing(least))
+    pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
     linked = linked.unionByName(scratch.keep(verify(pairs.join(candidates, ["a", "b"], "left_anti"), texts, least), "links-3"))
     known = components(linked, scratch, "components-3")
 
