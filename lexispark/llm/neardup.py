@@ -10,10 +10,11 @@ probability equal to their similarity.
 Equal texts are collapsed first, so groups of copies cost one row each. Signatures are cut into bands; documents that
 share a band form a bucket, whose smallest id leads it. Members are checked against leaders (exact similarity of the
 whole texts), first one most-shared leader each, then what does not follow from the components found. Buckets that
-still hold several components are then searched for links between members of different components; a pair is looked
-at only if the sizes allow the similarity (an exact test) and if no more bits of two one-bit sketches of the signatures
-differ than do, but for some 4 pairs in a million, at that similarity (DEVIATIONS). Components are found by rounds of
-joins; nothing is collected.
+still hold several components are then searched for links between members of different components. Shingles that no
+other member has cannot be shared: a member with too many of them has no further link at all, which settles documents
+that have a common passage and otherwise their own words; this and the sizes bound a pair's similarity exactly. A pair
+is also passed over if more bits of two one-bit sketches of the signatures differ than do, but for some 4 pairs in a
+million, at the least similarity (DEVIATIONS). Components are found by rounds of joins; nothing is collected.
 
 Defined cases: documents without words (null, empty, white space) are never linked, not even with each other;
 documents shorter than a shingle are one shingle; null doc_ids are never linked; rows that repeat a doc_id with
@@ -236,12 +237,18 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     placed = shared.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = scratch.keep(placed.select("bucket", "rep", "component"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    open_ = scratch.keep(placed.join(mixed, "bucket").join(reps.select("rep", "size", "bits"), "rep"), "open")
+    open_ = scratch.keep(placed.join(mixed, "bucket"), "open")
+    own = scratch.keep(own_shingles(texts.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")), "own")
+    facts = reps.select("rep", "size", "bits").join(own.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    open_ = open_.join(facts.filter(F.col("size") - F.col("own") >= F.col("size") * F.lit(least)), "rep")
+    open_ = scratch.keep(open_, "open-2")
     parts = range(-(-COORDINATES // 64))
-    left, right = (open_.select("bucket", F.col("rep").alias(r), F.col("component").alias(f"c{r}"), F.col("size").alias(f"s{r}"), *[F.get("bits", F.lit(i)).alias(f"{r}{i}") for i in parts]) for r in "ab")
+    left, right = (open_.select("bucket", *[F.col(c).alias(f"{r}_{c}") for c in ("rep", "component", "size", "own")], *[F.get("bits", F.lit(i)).alias(f"{r}{i}") for i in parts]) for r in "ab")
     differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in parts), F.lit(0))
-    alike = (F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(least)) & (differing <= most_differing(least))
-    pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
+    bound = lambda x, y: F.col(f"{x}_size") - F.col(f"{x}_own") >= (F.col(f"{y}_size") + F.col(f"{x}_own")) * F.lit(least)
+    alike = bound("a", "b") & bound("b", "a") & (differing <= most_differing(least))
+    pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_rep") > F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & alike)
+    pairs = pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
     linked = linked.unionByName(scratch.keep(verify(pairs.join(candidates, ["a", "b"], "left_anti"), texts, least), "links-3"))
     known = components(linked, scratch, "components-3")
 
@@ -257,6 +264,21 @@ def _across(edges: DataFrame, known: DataFrame) -> DataFrame:
     return edges.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """id, own: the weight of the shingles of each of ``texts(id, text)`` that no other one has (ids without any are left out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingles, weights = np.unique(shingler.shingles(text), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), doc_id)), pa.array(shingles.view(np.int64)), pa.array(weights)], ["id", "shingle", "weight"])
+
+    found = texts.select("id", "text").mapInArrow(run, "id long, shingle long, weight long").groupBy("shingle")
+    alone = found.agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("weight").alias("weight")).filter("n = 1")
+    return alone.groupBy("id").agg(F.sum("weight").alias("own"))
+
+
 def _texts(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     ids = scratch.keep(ids, "ids")
     small = ids.count() <= BROADCAST_IDS
