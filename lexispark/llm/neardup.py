@@ -13,8 +13,8 @@ whole texts), first one most-shared leader each, then what does not follow from
 still hold several components are then searched for links between members of different components. Shingles that no
 other member has cannot be shared: a member with too many of them has no further link at all, which settles documents
 that have a common passage and otherwise their own words; this and the sizes bound a pair's similarity exactly. A pair
-is also passed over if more bits of two one-bit sketches of the signatures differ than do, but for some 4 pairs in a
-million, at the least similarity (DEVIATIONS). Components are found by rounds of joins; nothing is collected.
+is also passed over if more places of two sketches of the signatures (PLANES bits a place) differ than do, but for some
+4 pairs in a million, at the least similarity (DEVIATIONS). Components are found by rounds of joins; nothing is collected.
 
 Defined cases: documents without words (null, empty, white space) are never linked, not even with each other;
 documents shorter than a shingle are one shingle; null doc_ids are never linked; rows that repeat a doc_id with
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
 COORDINATES = BANDS * ROWS
+#: Bits of each coordinate in a sketch.
+PLANES = 3
 #: Standard deviations that a sketch's differing bits may exceed what is expected at the least similarity.
 DEVIATIONS = 4.5
 #: Up to so many ids, the candidates' ids go to the documents by broadcast; beyond that, by a shuffled join.
@@ -133,13 +136,17 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def bit_sketches(signatures: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate, packed into int64s; bits of two documents differ in (1 - similarity) / 2 of places."""
-    bits = np.packbits((signatures & _U(1)).astype(np.uint8), axis=1)
-    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.int64)
+    """PLANES bits of each coordinate, a plane packed into int64s after the other. Places of two documents differ in a
+    share of (1 - similarity) * (1 - 2 ** -PLANES)."""
+    planes = []
+    for plane in range(PLANES):
+        bits = np.packbits(((signatures >> _U(plane)) & _U(1)).astype(np.uint8), axis=1)
+        planes.append(np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.int64))
+    return np.ascontiguousarray(np.concatenate(planes, axis=1))
 
 
 def most_differing(least: float, k: int = COORDINATES) -> int:
-    share = (1 - least) / 2
+    share = (1 - least) * (1 - 2.0**-PLANES)
     return math.ceil(k * share + DEVIATIONS * math.sqrt(k * share * (1 - share)))
 
 
@@ -242,15 +249,27 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     facts = reps.select("rep", "size", "bits").join(own.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     open_ = open_.join(facts.filter(F.col("size") - F.col("own") >= F.col("size") * F.lit(least)), "rep")
     open_ = scratch.keep(open_, "open-2")
-    parts = range(-(-COORDINATES // 64))
+    # A bucket's member with the smallest share of own shingles is what its variants have in common: most links are its.
+    hubs = open_.groupBy("bucket").agg(F.min(F.struct(F.col("own") / F.col("size"), "rep", "component")).alias("hub"))
+    spokes = open_.join(hubs, "bucket").filter(F.col("component") != F.col("hub.component"))
+    spokes = spokes.select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
+    spokes = scratch.keep(spokes, "spokes")
+    linked = linked.unionByName(scratch.keep(verify(spokes, texts, least), "links-3"))
+    known = components(linked, scratch, "components-3")
+    open_ = open_.drop("component").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_ = scratch.keep(open_, "open-3")
+    longs = -(-COORDINATES // 64)
+    parts = range(longs * PLANES)
     left, right = (open_.select("bucket", *[F.col(c).alias(f"{r}_{c}") for c in ("rep", "component", "size", "own")], *[F.get("bits", F.lit(i)).alias(f"{r}{i}") for i in parts]) for r in "ab")
-    differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in parts), F.lit(0))
+    unlike = [F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in parts]
+    differing = sum((F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), unlike[i::longs])) for i in range(longs)), F.lit(0))
     bound = lambda x, y: F.col(f"{x}_size") - F.col(f"{x}_own") >= (F.col(f"{y}_size") + F.col(f"{x}_own")) * F.lit(least)
     alike = bound("a", "b") & bound("b", "a") & (differing <= most_differing(least))
     pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_rep") > F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & alike)
     pairs = pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
-    linked = linked.unionByName(scratch.keep(verify(pairs.join(candidates, ["a", "b"], "left_anti"), texts, least), "links-3"))
-    known = components(linked, scratch, "components-3")
+    pairs = pairs.join(candidates, ["a", "b"], "left_anti").join(spokes, ["a", "b"], "left_anti")
+    linked = linked.unionByName(scratch.keep(verify(pairs, texts, least), "links-4"))
+    known = components(linked, scratch, "components-4")
 
     degrees = linked.select(F.col("a").alias("rep")).union(linked.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = reps.select("digest", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")
