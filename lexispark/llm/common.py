@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
 #: Rows of one Arrow batch: documents may be long, so batches are short.
-BATCH_ROWS = 500
+BATCH_ROWS = 250
 
 
 def shared_dir(spark: SparkSession) -> str:

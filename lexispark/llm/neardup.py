@@ -53,7 +53,7 @@ _MULT = _U(0x9E3779B97F4A7C15)
 class Shingler:
     """64-bit hashes of words, remembered by the worker."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 150_000):
         self.known, self.limit = {}, limit
 
     def shingles(self, text: str | None) -> np.ndarray:
@@ -183,7 +183,7 @@ def verify(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
         def of(doc_id: int, text: str) -> np.ndarray:
             if doc_id not in known:
-                if len(known) >= 256:
+                if len(known) >= 64:
                     known.clear()
                 known[doc_id] = shingler.shingles(text)
             return known[doc_id]
@@ -216,6 +216,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def extend(known: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """id, component with ``links(a, b)`` added to ``known``: components are found on the graph of known components."""
+    old = known.withColumnRenamed("component", "old")
+    ends = links.select(F.col("a").alias("id"), "b").join(old, "id", "left").select(F.coalesce("old", "id").alias("a"), F.col("b").alias("id"))
+    ends = ends.join(old, "id", "left").select("a", F.coalesce("old", "id").alias("b"))
+    joined = components(ends.filter("a <> b").distinct(), scratch, name).withColumnRenamed("id", "old")
+    new = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct().join(known, "id", "left_anti")
+    every = old.unionByName(new.select("id", F.col("id").alias("old")))
+    return scratch.keep(every.join(joined, "old", "left").select("id", F.coalesce("component", "old").alias("component")), name)
+
+
 def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_links for each document with id: class_id is the smallest doc_id of its class, n_links the
     number of verified links of its text to different texts."""
@@ -237,8 +248,8 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     linked = scratch.keep(verify(first, texts, least), "links-1")
     known = components(linked, scratch, "components-1")
     rest = candidates.select("a", "b").join(first, ["a", "b"], "left_anti")
-    linked = linked.unionByName(scratch.keep(verify(_across(rest, known), texts, least), "links-2"))
-    known = components(linked, scratch, "components-2")
+    more = scratch.keep(verify(_across(rest, known), texts, least), "links-2")
+    linked, known = linked.unionByName(more), extend(known, more, scratch, "components-2")
 
     # What leaders have not settled: members of one bucket in different components.
     placed = shared.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -254,8 +265,8 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     spokes = open_.join(hubs, "bucket").filter(F.col("component") != F.col("hub.component"))
     spokes = spokes.select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
     spokes = scratch.keep(spokes, "spokes")
-    linked = linked.unionByName(scratch.keep(verify(spokes, texts, least), "links-3"))
-    known = components(linked, scratch, "components-3")
+    more = scratch.keep(verify(spokes, texts, least), "links-3")
+    linked, known = linked.unionByName(more), extend(known, more, scratch, "components-3")
     open_ = open_.drop("component").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = scratch.keep(open_, "open-3")
     longs = -(-COORDINATES // 64)
@@ -268,8 +279,8 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_rep") > F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & alike)
     pairs = pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
     pairs = pairs.join(candidates, ["a", "b"], "left_anti").join(spokes, ["a", "b"], "left_anti")
-    linked = linked.unionByName(scratch.keep(verify(pairs, texts, least), "links-4"))
-    known = components(linked, scratch, "components-4")
+    more = scratch.keep(verify(pairs, texts, least), "links-4")
+    linked, known = linked.unionByName(more), extend(known, more, scratch, "components-4")
 
     degrees = linked.select(F.col("a").alias("rep")).union(linked.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = reps.select("digest", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")

@@ -21,8 +21,10 @@ the documents are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,8 @@ PERCENTILE = 0.97
 SEGMENT_IDS = 65536
 END_ID = 2
 #: Words whose ids a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SEGMENT = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<int>, payload binary"
 
 
@@ -55,15 +58,15 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENT
     grid = padded.reshape(count, block)
     low = grid.min(1)
     rest = grid - low[:, None]
-    at = np.sort(rest, 1)[:, min(block - 1, int(np.ceil(percentile * block)) - 1)]
+    at = np.partition(rest, min(block - 1, int(np.ceil(percentile * block)) - 1), 1)[:, min(block - 1, int(np.ceil(percentile * block)) - 1)]
     widths = np.where(at > 0, np.floor(np.log2(np.maximum(at, 1))).astype(np.int64) + 1, 0)
     packed: list[bytes] = [b""] * count
     high = rest >> widths[:, None]
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
         if width:
-            values = rest[rows] & ((1 << int(width)) - 1)
-            bits = ((values[:, :, None] >> np.arange(width)) & 1).astype(np.uint8).reshape(len(rows), -1)
+            values = np.ascontiguousarray(rest[rows], "<u2" if width <= 16 else "<u4").view(np.uint8).reshape(len(rows), block, -1)
+            bits = np.unpackbits(values, axis=2, bitorder="little")[:, :, : int(width)].reshape(len(rows), -1)
             data = np.packbits(bits, axis=1, bitorder="little")
             for row, line in zip(rows, data, strict=True):
                 packed[row] = line.tobytes()
@@ -97,8 +100,10 @@ def unpack_blocks(payload: bytes, block: int = BLOCK) -> np.ndarray:
         if len(rows):
             nbytes = (block * int(width) + 7) // 8
             data = raw[starts[rows][:, None] + 7 + np.arange(nbytes)]
-            bits = np.unpackbits(data, axis=1, bitorder="little")[:, : block * int(width)].reshape(len(rows), block, int(width))
-            grid[rows] = bits @ (1 << np.arange(width, dtype=np.int64))
+            room = 16 if width <= 16 else 32
+            bits = np.zeros((len(rows), block, room), np.uint8)
+            bits[:, :, : int(width)] = np.unpackbits(data, axis=1, bitorder="little")[:, : block * int(width)].reshape(len(rows), block, int(width))
+            grid[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u2" if room == 16 else "<u4").reshape(len(rows), block)
     last = count - 1
     if sizes[last] < block and widths[last]:
         width, size = int(widths[last]), int(sizes[last])
@@ -118,7 +123,9 @@ class WordEncoder:
     """Ids of texts with a tokenizer that drops white space, word by word.
 
     Such a tokenizer never joins anything across white space, so a text's ids are those of its pieces between white
-    space. Pieces recur, so each worker encodes a piece once. A text in which that might not hold is encoded whole.
+    space. Pieces recur, so each worker encodes a piece once. Pieces of Latin letters with at most a full stop or comma
+    after them go straight to the tokenizer's model, as its normaliser and pre-tokenizer would hand them over; all
+    other pieces, and texts in which a piece might be a special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -126,20 +133,45 @@ class WordEncoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Byte-level alphabets show printable bytes as themselves and number the others from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.letters = {ord(c): "".join(hidden.get(b, chr(b)) for b in c.encode()) for c in map(chr, range(192, 256))}
+        self.stops = {c: self.piece(c) for c in ".,"}
+        self.direct = all(self.whole(t).tolist() == self.piece(w) + self.stops[c] for t, w, c in (("Über.", self.shown("über"), "."), ("Was,", "was", ",")))
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
 
+    def piece(self, shown: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(shown)]
+
+    def shown(self, word: str) -> str:
+        return word if word.isascii() else word.translate(self.letters)
+
+    def learn(self, new: set[str]) -> None:
+        known, rest, model = self.known, [], self.tokenizer.model
+        stops = {c: array("I", ids).tobytes() for c, ids in self.stops.items()}
+        for word in new:
+            core, stop = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+            if self.direct and (core.isascii() and core.isalpha() or _LATIN.fullmatch(core)):
+                lower = core.lower()
+                ids = known.get(lower)
+                if ids is None:
+                    known[lower] = ids = array("I", [t.id for t in model.tokenize(lower if lower.isascii() else lower.translate(self.letters))]).tobytes()
+                known[word] = ids + stops[stop] if stop else ids
+            else:
+                rest.append(word)
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[word] = array("I", got.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if any(s in t for s in self.specials) or "\x00" in t else t.split() for t in texts]
-        new = list({w for ws in split if ws for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list({w for ws in split if ws for w in ws})
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = got.ids
-        known = self.known
-        return [self.whole(t) if ws is None else np.array([i for w in ws for i in known[w]], np.int64) for t, ws in zip(texts, split, strict=True)]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self.learn({w for ws in split if ws for w in ws if w not in self.known})
+        get = self.known.__getitem__
+        return [self.whole(t) if ws is None else np.frombuffer(b"".join(map(get, ws)), np.uint32) for t, ws in zip(texts, split, strict=True)]
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -163,7 +195,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                ids.append(np.append(got, end_id))
+                ids.append(np.append(got, end_id).astype(np.int64))
                 doc_ids.append(doc_id)
                 held += len(got) + 1
                 if held >= SEGMENT_IDS:

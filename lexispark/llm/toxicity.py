@@ -35,7 +35,7 @@ TRAIN_ROWS = 8_000
 STEMS = (4, 5, 6)
 TERMS = 500
 MIN_CONTEXTS, MIN_LIFT = 4, 10.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 # Seed words of the classes.
