@@ -278,7 +278,7 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     alike = bound("a", "b") & bound("b", "a") & (differing <= most_differing(least))
     pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_rep") > F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & alike)
     pairs = pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
-    pairs = pairs.join(candidates, ["a", "b"], "left_anti").join(spokes, ["a", "b"], "left_anti")
+    pairs = pairs.join(candidates.select("a", "b").union(spokes), ["a", "b"], "left_anti")
     more = scratch.keep(verify(pairs, texts, least), "links-4")
     linked, known = linked.unionByName(more), extend(known, more, scratch, "components-4")
 

@@ -26,6 +26,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,13 @@ from pyspark.sql.window import Window
 
 from lexispark.llm.common import Scratch, short_batches
 
-BLOCK = 128
+BLOCK = 256
 PERCENTILE = 0.97
 #: A segment is closed once it holds so many ids.
 SEGMENT_IDS = 65536
 END_ID = 2
 #: Words whose ids a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 500_000
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SEGMENT = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<int>, payload binary"
 
@@ -169,17 +170,23 @@ class WordEncoder:
         split = [None if any(s in t for s in self.specials) or "\x00" in t else t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        self.learn({w for ws in split if ws for w in ws if w not in self.known})
+        self.learn(set().union(*filter(None, split)).difference(self.known))
         get = self.known.__getitem__
         return [self.whole(t) if ws is None else np.frombuffer(b"".join(map(get, ws)), np.uint32) for t, ws in zip(texts, split, strict=True)]
 
 
+@lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each Python worker, with what it remembers, across tasks."""
+    return WordEncoder(path)
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encodes every document and writes the store at ``out``. The texts are shuffled once, by ranges of doc_id."""
     short_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         shard, segment, before = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
