@@ -14,7 +14,8 @@ still hold several components are then searched for links between members of dif
 other member has cannot be shared: a member with too many of them has no further link at all, which settles documents
 that have a common passage and otherwise their own words; this and the sizes bound a pair's similarity exactly. A pair
 is also passed over if more places of two sketches of the signatures (PLANES bits a place) differ than do, but for some
-4 pairs in a million, at the least similarity (DEVIATIONS). Components are found by rounds of joins; nothing is collected.
+40 pairs in a million, at the least similarity (DEVIATIONS; bands miss 640 in a million there); of the buckets that a
+pair shares, only the first gives it. Components are found by rounds of joins; nothing is collected.
 
 Defined cases: documents without words (null, empty, white space) are never linked, not even with each other;
 documents shorter than a shingle are one shingle; null doc_ids are never linked; rows that repeat a doc_id with
@@ -43,7 +44,7 @@ COORDINATES = BANDS * ROWS
 #: Bits of each coordinate in a sketch.
 PLANES = 3
 #: Standard deviations that a sketch's differing bits may exceed what is expected at the least similarity.
-DEVIATIONS = 4.5
+DEVIATIONS = 4.0
 #: Up to so many ids, the candidates' ids go to the documents by broadcast; beyond that, by a shuffled join.
 BROADCAST_IDS = 500_000
 _U = np.uint64
@@ -257,7 +258,7 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
     open_ = scratch.keep(placed.join(mixed, "bucket"), "open")
     own = scratch.keep(own_shingles(texts.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")), "own")
-    facts = reps.select("rep", "size", "bits").join(own.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    facts = reps.select("rep", "size", "bits", "bands").join(own.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     open_ = open_.join(facts.filter(F.col("size") - F.col("own") >= F.col("size") * F.lit(least)), "rep")
     open_ = scratch.keep(open_, "open-2")
     # A bucket's member with the smallest share of own shingles is what its variants have in common: most links are its.
@@ -271,11 +272,14 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     open_ = scratch.keep(open_, "open-3")
     longs = -(-COORDINATES // 64)
     parts = range(longs * PLANES)
-    left, right = (open_.select("bucket", *[F.col(c).alias(f"{r}_{c}") for c in ("rep", "component", "size", "own")], *[F.get("bits", F.lit(i)).alias(f"{r}{i}") for i in parts]) for r in "ab")
+    left, right = (open_.select("bucket", *[F.col(c).alias(f"{r}_{c}") for c in ("rep", "component", "size", "own", "bands")], *[F.get("bits", F.lit(i)).alias(f"{r}{i}") for i in parts]) for r in "ab")
     unlike = [F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in parts]
     differing = sum((F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), unlike[i::longs])) for i in range(longs)), F.lit(0))
     bound = lambda x, y: F.col(f"{x}_size") - F.col(f"{x}_own") >= (F.col(f"{y}_size") + F.col(f"{x}_own")) * F.lit(least)
     alike = bound("a", "b") & bound("b", "a") & (differing <= most_differing(least))
+    # Band hashes tell their band: what stands before the bucket's in both lists is where the pair may have met before.
+    before = lambda r: F.slice(f"{r}_bands", F.lit(1), F.array_position("a_bands", left["bucket"]).cast("int") - 1)
+    alike = alike & ~F.arrays_overlap(before("a"), before("b"))
     pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_rep") > F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & alike)
     pairs = pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
     pairs = pairs.join(candidates.select("a", "b").union(spokes), ["a", "b"], "left_anti")

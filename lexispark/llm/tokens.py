@@ -48,6 +48,46 @@ _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SEGMENT = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<int>, payload binary"
 
 
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values (a multiple of 8 to a row) as rows of bytes, ``width`` bits a value, lowest bit first. Eight values
+    fill ``width`` bytes; up to 16 bits, four of them fit a word."""
+    if width > 16:
+        raw = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(*values.shape, 4)
+        return np.packbits(np.unpackbits(raw, axis=2, bitorder="little")[:, :, :width].reshape(len(values), -1), axis=1, bitorder="little")
+    v = values.astype(np.uint64).reshape(len(values), -1, 8)
+    w = np.uint64(width)
+    low, high = (v[:, :, k] | v[:, :, k + 1] << w | v[:, :, k + 2] << w * np.uint64(2) | v[:, :, k + 3] << w * np.uint64(3) for k in (0, 4))
+    out = np.empty((*low.shape, width), np.uint8)
+    half = 4 * width
+    for b in range(width):
+        at = 8 * b
+        if at >= half:
+            out[:, :, b] = high >> np.uint64(at - half)
+        elif at + 8 <= half:
+            out[:, :, b] = low >> np.uint64(at)
+        else:
+            out[:, :, b] = low >> np.uint64(at) | high << np.uint64(half - at)
+    return out.reshape(len(values), -1)
+
+
+def unpack_bits(data: np.ndarray, width: int) -> np.ndarray:
+    """What pack_bits packed."""
+    if width > 16:
+        bits = np.zeros((len(data), data.shape[1] * 8 // width, 32), np.uint8)
+        bits[:, :, :width] = np.unpackbits(data, axis=1, bitorder="little").reshape(len(data), -1, width)
+        return np.packbits(bits, axis=2, bitorder="little").view("<u4").reshape(len(data), -1).astype(np.int64)
+    groups = data.reshape(len(data), -1, width)
+    out = np.empty((*groups.shape[:2], 8), np.int64)
+    mask = np.int64((1 << width) - 1)
+    for k in range(8):
+        first, last = k * width // 8, ((k + 1) * width - 1) // 8
+        word = np.zeros(groups.shape[:2], np.int64)
+        for b in range(first, last + 1):
+            word |= groups[:, :, b].astype(np.int64) << np.int64(8 * (b - first))
+        out[:, :, k] = word >> np.int64(k * width - 8 * first) & mask
+    return out.reshape(len(data), -1)
+
+
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     n = len(ids)
     count = -(-n // block)
@@ -66,9 +106,7 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENT
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
         if width:
-            values = np.ascontiguousarray(rest[rows], "<u2" if width <= 16 else "<u4").view(np.uint8).reshape(len(rows), block, -1)
-            bits = np.unpackbits(values, axis=2, bitorder="little")[:, :, : int(width)].reshape(len(rows), -1)
-            data = np.packbits(bits, axis=1, bitorder="little")
+            data = pack_bits(rest[rows] & ((1 << int(width)) - 1), int(width))
             for row, line in zip(rows, data, strict=True):
                 packed[row] = line.tobytes()
     bodies = []
@@ -101,10 +139,7 @@ def unpack_blocks(payload: bytes, block: int = BLOCK) -> np.ndarray:
         if len(rows):
             nbytes = (block * int(width) + 7) // 8
             data = raw[starts[rows][:, None] + 7 + np.arange(nbytes)]
-            room = 16 if width <= 16 else 32
-            bits = np.zeros((len(rows), block, room), np.uint8)
-            bits[:, :, : int(width)] = np.unpackbits(data, axis=1, bitorder="little")[:, : block * int(width)].reshape(len(rows), block, int(width))
-            grid[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u2" if room == 16 else "<u4").reshape(len(rows), block)
+            grid[rows] = unpack_bits(data, int(width))
     last = count - 1
     if sizes[last] < block and widths[last]:
         width, size = int(widths[last]), int(sizes[last])
