@@ -25,7 +25,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,8 +42,8 @@ PERCENTILE = 0.97
 #: A segment is closed once it holds so many ids.
 SEGMENT_IDS = 65536
 END_ID = 2
-#: Words whose ids a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 500_000
+#: Words in a generation of those whose ids a worker remembers; it keeps two generations.
+CACHE_WORDS = 600_000
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SEGMENT = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<int>, payload binary"
 
@@ -155,6 +155,26 @@ def unpack_blocks(payload: bytes, block: int = BLOCK) -> np.ndarray:
     return out[:n]
 
 
+class Known(dict):
+    """Ids of words met lately. Once full it starts afresh, and takes over from the last generation what comes up again."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.last = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.last.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
+
+    def renew(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.last = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Ids of texts with a tokenizer that drops white space, word by word.
 
@@ -167,13 +187,14 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known(self.word)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Byte-level alphabets show printable bytes as themselves and number the others from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.letters = {ord(c): "".join(hidden.get(b, chr(b)) for b in c.encode()) for c in map(chr, range(192, 256))}
         self.stops = {c: self.piece(c) for c in ".,"}
+        self.stop_ids = {c: array("I", ids).tobytes() for c, ids in self.stops.items()}
         self.direct = all(self.whole(t).tolist() == self.piece(w) + self.stops[c] for t, w, c in (("Über.", self.shown("über"), "."), ("Was,", "was", ",")))
 
     def whole(self, text: str) -> np.ndarray:
@@ -185,29 +206,20 @@ class WordEncoder:
     def shown(self, word: str) -> str:
         return word if word.isascii() else word.translate(self.letters)
 
-    def learn(self, new: set[str]) -> None:
-        known, rest, model = self.known, [], self.tokenizer.model
-        stops = {c: array("I", ids).tobytes() for c, ids in self.stops.items()}
-        for word in new:
-            core, stop = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-            if self.direct and (core.isascii() and core.isalpha() or _LATIN.fullmatch(core)):
-                lower = core.lower()
-                ids = known.get(lower)
-                if ids is None:
-                    known[lower] = ids = array("I", [t.id for t in model.tokenize(lower if lower.isascii() else lower.translate(self.letters))]).tobytes()
-                known[word] = ids + stops[stop] if stop else ids
-            else:
-                rest.append(word)
-        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[word] = array("I", got.ids).tobytes()
+    def word(self, word: str) -> bytes:
+        core, stop = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+        if self.direct and (core.isascii() and core.isalpha() or _LATIN.fullmatch(core)):
+            lower = core.lower()
+            if stop or lower != word:
+                return self.known[lower] + self.stop_ids.get(stop, b"")
+            return array("I", self.piece(self.shown(lower))).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(s in t for s in self.specials) or "\x00" in t else t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self.learn(set().union(*filter(None, split)).difference(self.known))
+        self.known.renew()
         get = self.known.__getitem__
-        return [self.whole(t) if ws is None else np.frombuffer(b"".join(map(get, ws)), np.uint32) for t, ws in zip(texts, split, strict=True)]
+        whole = [any(s in t for s in self.specials) or "\x00" in t for t in texts]
+        return [self.whole(t) if w else np.frombuffer(b"".join(map(get, t.split())), np.uint32) for t, w in zip(texts, whole, strict=True)]
 
 
 @lru_cache(1)
