@@ -45,6 +45,8 @@ END_ID = 2
 #: Words in a generation of those whose ids a worker remembers; it keeps two generations.
 CACHE_WORDS = 600_000
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: What a block starts with.
+HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 SEGMENT = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<int>, payload binary"
 
 
@@ -109,12 +111,16 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENT
             data = pack_bits(rest[rows] & ((1 << int(width)) - 1), int(width))
             for row, line in zip(rows, data, strict=True):
                 packed[row] = line.tobytes()
-    bodies = []
-    for i in range(count):
-        real = min(block, n - i * block)
-        out = np.flatnonzero(high[i, :real])
-        body = packed[i] if real == block else packed[i][: (real * int(widths[i]) + 7) // 8]
-        bodies.append(struct.pack("<IBH", int(low[i]), int(widths[i]), len(out)) + body + out.astype("<u2").tobytes() + high[i, out].astype("<u4").tobytes())
+    high[-1, n - (count - 1) * block :] = 0
+    if n < count * block:
+        packed[-1] = packed[-1][: ((n - (count - 1) * block) * int(widths[-1]) + 7) // 8]
+    rows, where = np.nonzero(high)
+    places, parts = where.astype("<u2").tobytes(), high[rows, where].astype("<u4").tobytes()
+    heads = np.zeros(count, HEAD)
+    heads["low"], heads["width"], heads["exceptions"] = low, widths, np.bincount(rows, minlength=count)
+    ends = np.cumsum(heads["exceptions"], dtype=np.int64).tolist()
+    raw = heads.tobytes()
+    bodies = [raw[7 * i : 7 * i + 7] + packed[i] + places[2 * a : 2 * b] + parts[4 * a : 4 * b] for i, (a, b) in enumerate(zip([0, *ends], ends))]
     starts = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype("<u4")
     return struct.pack("<II", n, count) + starts.tobytes() + b"".join(bodies)
 
@@ -126,9 +132,8 @@ def unpack_blocks(payload: bytes, block: int = BLOCK) -> np.ndarray:
     starts = np.frombuffer(payload, "<u4", count + 1, 8).astype(np.int64) + 8 + 4 * (count + 1)
     raw = np.frombuffer(payload, np.uint8)
     out = np.zeros(count * block, np.int64)
-    heads = [struct.unpack_from("<IBH", payload, s) for s in starts[:-1]]
-    widths = np.array([h[1] for h in heads])
-    lows = np.array([h[0] for h in heads], np.int64)
+    heads = raw[starts[:-1, None] + np.arange(HEAD.itemsize)].reshape(-1).view(HEAD)
+    widths, exceptions = heads["width"].astype(np.int64), heads["exceptions"].astype(np.int64)
     sizes = np.full(count, block)
     sizes[-1] = n - (count - 1) * block
     grid = out.reshape(count, block)
@@ -146,12 +151,13 @@ def unpack_blocks(payload: bytes, block: int = BLOCK) -> np.ndarray:
         data = raw[starts[last] + 7 : starts[last] + 7 + (size * width + 7) // 8]
         bits = np.unpackbits(data, bitorder="little")[: size * width].reshape(size, width)
         grid[last, :size] = bits @ (1 << np.arange(width, dtype=np.int64))
-    for i, (_, width, exceptions) in enumerate(heads):
-        if exceptions:
-            at = int(starts[i]) + 7 + (int(sizes[i]) * width + 7) // 8
-            where = np.frombuffer(payload, "<u2", exceptions, at)
-            grid[i, where] += np.frombuffer(payload, "<u4", exceptions, at + 2 * exceptions).astype(np.int64) << width
-    grid += lows[:, None]
+    rows = np.repeat(np.arange(count), exceptions)
+    nth = np.arange(len(rows)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    lists = (starts[:-1] + HEAD.itemsize + (sizes * widths + 7) // 8)[rows]
+    where = raw[(lists + 2 * nth)[:, None] + np.arange(2)].reshape(-1).view("<u2")
+    parts = raw[(lists + 2 * exceptions[rows] + 4 * nth)[:, None] + np.arange(4)].reshape(-1).view("<u4")
+    grid[rows, where] += parts.astype(np.int64) << widths[rows]
+    grid += heads["low"].astype(np.int64)[:, None]
     return out[:n]
 
 
