@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import documents, ids, text, urls
 from lexispark.operators import prompts, sync
-from lexispark.plans.queries import ORACLES, QUERIES, query, table
+from lexispark.plans.queries import _ALL_VIEWS, ORACLES, QUERIES, all_chunks, query, table
 from lexispark.sources import crawl
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -106,6 +106,12 @@ def snk5_delete_chunks(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id", "vec_id % 12 AS document_id").join(gone, "document_id", "left_anti").select("vec_id")
 
 
+@query(f"WITH {_ALL_VIEWS} SELECT id AS vec_id FROM chunks WHERE document_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 = 2)")
+def snk5_delete_chunks_all(spark, sf_dir):
+    gone = table(spark, sf_dir, "documents").filter("doc_id % 5 = 2").select(F.col("doc_id").alias("document_id"))
+    return all_chunks(spark, sf_dir).join(gone, "document_id", "left_anti").select(F.col("id").alias("vec_id"))
+
+
 @query("""SELECT conv_id, max(turn) AS last_turn, count(*) AS messages FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id DESC LIMIT 200""")
 def top6_sessions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count("*").alias("messages")).orderBy(F.desc("last_turn"), F.desc("conv_id")).limit(200)

@@ -129,6 +129,38 @@ def agg6_macro_average(spark, sf_dir):
     return evaluation.macro_average(evaluation.ranking_metrics(*_ranked(spark, sf_dir)))
 
 
+# The same over the whole documents table.
+_ALL_VIEWS = """
+chunks AS (SELECT vec_id AS id, vec_id % n AS document_id, vec_id // n AS chunk_index FROM embeddings, (SELECT greatest(count(*), 1) AS n FROM documents)),
+docs AS (SELECT doc_id AS id, doc_id % 4 AS source_id, doc_id % 5 <> 2 AS is_active FROM documents),
+sources AS (SELECT i AS id, CASE WHEN i = 3 THEN 'failed' ELSE 'indexed' END AS status FROM range(4) r(i))"""
+
+
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = table(spark, sf_dir, "documents").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "embeddings").select("vec_id").crossJoin(F.broadcast(total)).selectExpr("vec_id AS id", "vec_id % n AS document_id", "vec_id DIV n AS chunk_index")
+
+
+def all_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "doc_id % 4 AS source_id", "doc_id % 5 <> 2 AS is_active")
+    return all_chunks(spark, sf_dir), docs, spark.range(4).selectExpr("id", "CASE WHEN id = 3 THEN 'failed' ELSE 'indexed' END AS status")
+
+
+@query(f"WITH {_ALL_VIEWS} SELECT c.id, c.document_id, c.chunk_index, d.source_id FROM chunks c JOIN docs d ON d.id = c.document_id JOIN sources s ON s.id = d.source_id WHERE d.is_active AND s.status = 'indexed'")
+def jn2_valid_chunks_all(spark, sf_dir):
+    chunks, docs, sources = all_views(spark, sf_dir)
+    d = docs.filter("is_active").select(F.col("id").alias("document_id"), "source_id")
+    s = sources.filter("status = 'indexed'").select(F.col("id").alias("source_id"))
+    return chunks.join(d, "document_id").join(F.broadcast(s), "source_id").select("id", "document_id", "chunk_index", "source_id")
+
+
+@query(f"WITH {_ALL_VIEWS} SELECT d.source_id, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM chunks c JOIN docs d ON d.id = c.document_id GROUP BY 1")
+def agg5_counts_by_source_all(spark, sf_dir):
+    chunks, docs, _ = all_views(spark, sf_dir)
+    joined = chunks.join(docs.select(F.col("id").alias("document_id"), "source_id"), "document_id")
+    return joined.groupBy("source_id", "document_id").agg(F.count("*").alias("n")).groupBy("source_id").agg(F.sum("n").alias("chunks"), F.count("*").alias("documents"))
+
+
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
