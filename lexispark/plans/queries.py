@@ -129,7 +129,7 @@ def agg6_macro_average(spark, sf_dir):
     return evaluation.macro_average(evaluation.ranking_metrics(*_ranked(spark, sf_dir)))
 
 
-# The same over the whole documents table.
+# The same over whole tables: chunks belong to any of the documents, and every vector whose id is divisible by 20 is asked.
 _ALL_VIEWS = """
 chunks AS (SELECT vec_id AS id, vec_id % n AS document_id, vec_id // n AS chunk_index FROM embeddings, (SELECT greatest(count(*), 1) AS n FROM documents)),
 docs AS (SELECT doc_id AS id, doc_id % 4 AS source_id, doc_id % 5 <> 2 AS is_active FROM documents),
@@ -146,6 +146,18 @@ def all_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return all_chunks(spark, sf_dir), docs, spark.range(4).selectExpr("id", "CASE WHEN id = 3 THEN 'failed' ELSE 'indexed' END AS status")
 
 
+def asked_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    points = table(spark, sf_dir, "embeddings")
+    return points, points.filter("vec_id % 20 = 0")
+
+
+_ALL_HITS = f"""WITH {_ALL_VIEWS},
+scores AS (
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0),
+hits AS (SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 100)"""
+
+
 @query(f"WITH {_ALL_VIEWS} SELECT c.id, c.document_id, c.chunk_index, d.source_id FROM chunks c JOIN docs d ON d.id = c.document_id JOIN sources s ON s.id = d.source_id WHERE d.is_active AND s.status = 'indexed'")
 def jn2_valid_chunks_all(spark, sf_dir):
     chunks, docs, sources = all_views(spark, sf_dir)
@@ -161,6 +173,55 @@ def agg5_counts_by_source_all(spark, sf_dir):
     return joined.groupBy("source_id", "document_id").agg(F.count("*").alias("n")).groupBy("source_id").agg(F.sum("n").alias("chunks"), F.count("*").alias("documents"))
 
 
+@query(f"{_ALL_HITS} SELECT * FROM hits")
+def top1_vector_top_n_all(spark, sf_dir):
+    return retrieval.top_n_each(*asked_points(spark, sf_dir))
+
+
+@query(f"""{_ALL_HITS},
+valid AS (
+  SELECT h.query_id, c.id AS chunk_id, c.document_id, c.chunk_index, h.score, d.source_id FROM hits h JOIN chunks c ON c.id = h.vec_id JOIN docs d ON d.id = c.document_id AND d.is_active
+  JOIN sources s ON s.id = d.source_id AND s.status = 'indexed'),
+capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS rn FROM valid)
+SELECT query_id, source_id, document_id, chunk_id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM capped WHERE rn <= 4) WHERE place <= 20""")
+def top2_candidate_retrieval_all(spark, sf_dir):
+    return retrieval.retrieve_each(*asked_points(spark, sf_dir), *all_views(spark, sf_dir))
+
+
+@query(f"""{_ALL_HITS}
+SELECT h.query_id, count(*) AS hits, count(*) FILTER (c.id IS NULL) AS no_chunk, count(*) FILTER (d.id IS NULL) AS no_document, count(*) FILTER (NOT d.is_active) AS inactive, count(*) FILTER (s.status <> 'indexed') AS not_indexed
+FROM hits h LEFT JOIN chunks c ON c.id = h.vec_id LEFT JOIN docs d ON d.id = c.document_id LEFT JOIN sources s ON s.id = d.source_id GROUP BY h.query_id""")
+def flt3_validity_counters_all(spark, sf_dir):
+    chunks, docs, sources = all_views(spark, sf_dir)
+    # What is known of each chunk is joined first: hits are more than chunks.
+    known = chunks.withColumnRenamed("id", "c").join(docs.withColumnRenamed("id", "d"), F.col("d") == F.col("document_id"), "left").join(F.broadcast(sources.withColumnRenamed("id", "s")), F.col("s") == F.col("source_id"), "left")
+    h = retrieval.top_n_each(*asked_points(spark, sf_dir)).join(known, F.col("c") == F.col("vec_id"), "left")
+    return h.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(F.col("c").isNull()).alias("no_chunk"), F.count_if(F.col("d").isNull()).alias("no_document"), F.count_if(~F.col("is_active")).alias("inactive"), F.count_if(F.col("status") != "indexed").alias("not_indexed"))
+
+
+def _ranked_all(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all others; documents and relevance as in _ranked."""
+    points, asked = asked_points(spark, sf_dir)
+    ranked = retrieval.top_n_each(points, asked, 40, unit=False, own=False).select(F.col("query_id").alias("case_id"), "rank", (F.col("vec_id") % 97).alias("document_id"))
+    # Documents of each label with their numbers of vectors: a question's own vector does not count.
+    held = points.groupBy("label", (F.col("vec_id") % 97).alias("document_id")).agg(F.count("*").alias("n"))
+    gold = asked.select(F.col("vec_id").alias("case_id"), "label").join(F.broadcast(held), "label").filter(F.col("n") > (F.col("document_id") == F.col("case_id") % 97).cast("int"))
+    return ranked, gold.select("case_id", "document_id")
+
+
+_ALL_METRICS = _METRICS.replace("WHERE vec_id < 10", "WHERE vec_id % 20 = 0")
+
+
+@query(f"{_ALL_METRICS} SELECT * FROM metrics")
+def fn9_ranking_metrics_all(spark, sf_dir):
+    return evaluation.ranking_metrics(*_ranked_all(spark, sf_dir))
+
+
+@query(f"{_ALL_METRICS} SELECT k, count(*) AS case_count, round(avg(hit_rate), 6) AS hit_rate, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr FROM metrics GROUP BY k")
+def agg6_macro_average_all(spark, sf_dir):
+    return evaluation.macro_average(evaluation.ranking_metrics(*_ranked_all(spark, sf_dir)))
+
+
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 

@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from lexispark.operators import retrieval
 
 SMALL = "/root/testdata/sf0.001"
 DOCUMENTS = ("jn2_valid_chunks_all", "agg5_counts_by_source_all", "snk5_delete_chunks_all")
+QUESTIONS = ("top1_vector_top_n_all", "top2_candidate_retrieval_all", "flt3_validity_counters_all", "fn9_ranking_metrics_all", "agg6_macro_average_all")
 
 
 def by_sql(name):
@@ -17,7 +19,7 @@ def by_sql(name):
     return got.columns, sorted(got.fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", DOCUMENTS)
+@pytest.mark.parametrize("name", DOCUMENTS + QUESTIONS)
 def test_whole_tables(spark, name):
     got = entry.queries()[name](spark, SMALL)
     columns, rows = by_sql(name)
@@ -26,3 +28,15 @@ def test_whole_tables(spark, name):
 
 def test_documents_beyond_the_first_twelve(spark):
     assert entry.queries()["jn2_valid_chunks_all"](spark, SMALL).filter("document_id >= 12").count() > 0
+
+
+def test_every_twentieth_vector_is_asked(spark):
+    asked = spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+    assert entry.queries()["fn9_ranking_metrics_all"](spark, SMALL).select("case_id").distinct().count() == asked > 10
+
+
+def test_blocks_give_the_same(spark):
+    points = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    one, many = (sorted(map(tuple, retrieval.top_n_each(points, points, 5, block=b).collect())) for b in (4096, 7))
+    assert one == many and len(one) == 60 * 5
+    assert all(q != v for q, _, v, _ in retrieval.top_n_each(points, points, 5, own=False).collect())
