@@ -44,6 +44,8 @@ SEGMENT_IDS = 65536
 END_ID = 2
 #: Words in a generation of those whose ids a worker remembers; it keeps two generations.
 CACHE_WORDS = 600_000
+#: Characters in which str.split and the tokenizer's white space differ, and U+0000.
+_APART = "\x00\x1c\x1d\x1e\x1f"
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: What a block starts with.
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
@@ -187,7 +189,7 @@ class WordEncoder:
     Such a tokenizer never joins anything across white space, so a text's ids are those of its pieces between white
     space. Pieces recur, so each worker encodes a piece once. Pieces of Latin letters with at most a full stop or comma
     after them go straight to the tokenizer's model, as its normaliser and pre-tokenizer would hand them over; all
-    other pieces, and texts in which a piece might be a special token, go through the whole tokenizer.
+    other pieces, and texts with a special token or a character of _APART, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -224,7 +226,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         self.known.renew()
         get = self.known.__getitem__
-        whole = [any(s in t for s in self.specials) or "\x00" in t for t in texts]
+        whole = [any(s in t for s in self.specials) or any(c in t for c in _APART) for t in texts]
         return [self.whole(t) if w else np.frombuffer(b"".join(map(get, t.split())), np.uint32) for t, w in zip(texts, whole, strict=True)]
 
 
