@@ -9,7 +9,7 @@ logs the bytes between as a quarantined gap with its reason, and goes on.
 
 Defined cases: a null html is the empty payload; a null url has no WARC-Target-URI; line ends in urls are
 percent-encoded; a null page_id is a record without page; of equal page_ids with equal payloads all are responses if
-theirs is the smallest id; an empty table gives no archive and an empty result; further columns are not archived.
+theirs is the smallest id; with different payloads each is planned on its own; an empty table gives no archive and an empty result; further columns are not archived.
 """
 
 from __future__ import annotations
@@ -36,22 +36,22 @@ END = "\r\n\r\n"
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, refers_to of the pages that become revisits: a row for each page whose payload an earlier page has."""
+    """page_id, digest, refers_to of what becomes a revisit: a row for each page and payload that an earlier page has."""
     digests = Scratch(pages.sparkSession, "warc").keep(
         pages.filter(F.octet_length("html") >= MIN_REVISIT_BYTES).select("page_id", F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("digest")), "digests"
     )
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return digests.join(first, "digest").filter("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return digests.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, out: str) -> None:
     """One record for each row of ``pages(page_id, url, html)``."""
     scratch = Scratch(pages.sparkSession, "warc")
     # Written first, so that its true size decides whether the join has to move the pages at all.
-    revisits = scratch.keep(plan_records(pages), "revisits").select(F.col("page_id").alias("_page"), "refers_to")
+    revisits = scratch.keep(plan_records(pages), "revisits").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     html = F.coalesce(F.col("html"), F.lit(""))
-    digest = F.sha2(html.cast("binary"), 256)
-    joined = pages.select("page_id", "url", "html").join(revisits, (F.col("page_id") == F.col("_page")) & (F.octet_length(html) >= MIN_REVISIT_BYTES), "left")
+    digested = pages.select("page_id", "url", "html", F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"))
+    joined = digested.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     again = F.col("refers_to").isNotNull()
     body = F.when(again, F.lit("")).otherwise(html)
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -62,7 +62,7 @@ def write_warc(pages: DataFrame, out: str) -> None:
         F.concat(F.lit(f"WARC-Record-ID: <{ID}"), F.col("page_id").cast("string"), F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), url),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), digest),
+        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.lower(F.hex("digest"))),
         F.concat(F.lit("X-Payload-Length: "), F.octet_length(html).cast("string")),
         F.concat(F.lit(f"WARC-Refers-To: <{ID}"), F.col("refers_to").cast("string"), F.lit(">")),
         F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),

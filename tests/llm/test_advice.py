@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lexispark.llm import tokens
+from lexispark.llm import tokens, warc
 from lexispark.llm.queries import tokenizer_path
 
 
@@ -13,3 +13,11 @@ def test_separators_that_only_python_splits_at():
     texts = ["a\x1cb", "hello \x1f world", "x\x1d", "\x1e", "a\x85b\xa0c\u2003d\u2028e\x0bf"]
     for text, got in zip(texts, encoder.encode(texts), strict=True):
         assert np.array_equal(got, tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_payloads_of_one_page_id_are_planned_apart(spark):
+    a, b = "a" * 100, "b" * 100
+    rows = [(1, "u", a), (2, "u", a), (2, "u", b), (3, "u", a), (4, "u", b), (4, "u", a)]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    kinds = sorted((r.page_id, "a" if r.payload_digest == warc.hashlib.sha256(a.encode()).hexdigest() else "b", r.record_type, r.refers_to) for r in got)
+    assert kinds == [(1, "a", "response", None), (2, "a", "revisit", 1), (2, "b", "response", None), (3, "a", "revisit", 1), (4, "a", "revisit", 1), (4, "b", "revisit", 2)]
