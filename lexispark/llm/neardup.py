@@ -18,9 +18,9 @@ is also passed over if more places of two sketches of the signatures (PLANES bit
 pair shares, only the first gives it. Components are found by rounds of joins; nothing is collected.
 
 Defined cases: documents without words (null, empty, white space) are never linked, not even with each other;
-documents shorter than a shingle are one shingle; null doc_ids are never linked; rows that repeat a doc_id with
-different texts share a class through that id; an empty table gives an empty result; further columns are kept by
-``drop_near_duplicates``.
+documents shorter than a shingle are one shingle; null doc_ids are never linked; rows that repeat a doc_id are classed
+by their own texts, and one row of each class is kept; an empty table gives an empty result; further columns are kept
+by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexispark.llm.common import Scratch, mix64, short_batches, words
 
@@ -151,6 +152,11 @@ def most_differing(least: float, k: int = COORDINATES) -> int:
     return math.ceil(k * share + DEVIATIONS * math.sqrt(k * share * (1 - share)))
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text, band hashes, number of shingles, bit sketch, for documents with words and id."""
     short_batches(docs.sparkSession)
@@ -167,11 +173,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             bands, bits = band_hashes(signatures), bit_sketches(signatures)
             lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, bits))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(some)), pa.array([xxhash.xxh3_128_digest(texts[i]) for i in some], pa.binary()), next(lists), pa.array([len(sets[i]) for i in some], pa.int64()), next(lists)],
+                [batch.column(0).take(pa.array(some)), batch.column(2).take(pa.array(some)), next(lists), pa.array([len(sets[i]) for i in some], pa.int64()), next(lists)],
                 ["doc_id", "digest", "bands", "size", "bits"],
             )
 
-    kept = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kept = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest(F.col("text")).alias("digest"))
     return kept.mapInArrow(run, "doc_id long, digest binary, bands array<long>, size long, bits array<long>")
 
 
@@ -229,21 +235,22 @@ def extend(known: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> D
 
 
 def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_links for each document with id: class_id is the smallest doc_id of its class, n_links the
-    number of verified links of its text to different texts."""
+    """doc_id, digest, class_id, n_links, leads for each document with id: class_id is the smallest doc_id of its class,
+    n_links the number of verified links of its text to different texts, leads whether it is the one that stays."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     sketch = scratch.keep(sketches(docs), "sketches")
-    reps = sketch.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    reps = sketch.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"))
     members = sketch.select("doc_id", "digest")
-    reps = scratch.keep(reps, "reps")
+    # Texts are numbered in the order of their smallest doc_ids, which several texts may have.
+    reps = scratch.keep(reps.orderBy("first_id", "digest").withColumn("rep", F.monotonically_increasing_id()), "reps")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     shared = scratch.keep(buckets.join(leaders.drop("size"), "bucket"), "shared")
     candidates = scratch.keep(
         shared.filter(F.col("rep") != F.col("leader")).groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands")), "candidates"
     )
-    texts = _texts(docs, shared.select(F.col("rep").alias("id")).distinct(), scratch)
+    texts = _texts(docs, reps.join(shared.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "first_id", "digest"), scratch)
 
     first = candidates.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
     linked = scratch.keep(verify(first, texts, least), "links-1")
@@ -287,9 +294,13 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     linked, known = linked.unionByName(more), extend(known, more, scratch, "components-4")
 
     degrees = linked.select(F.col("a").alias("rep")).union(linked.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = reps.select("digest", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")
-    classes = classes.select("digest", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return members.join(classes, "digest").select("doc_id", "class_id", "n_links")
+    classes = reps.select("digest", "rep", "first_id").join(known.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")
+    classes = classes.select("digest", "rep", "first_id", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # The component is its smallest text's number, which has its smallest doc_id.
+    joint = classes.filter("rep <> component").join(classes.select(F.col("rep").alias("component"), F.col("first_id").alias("class_id")), "component")
+    alone = classes.filter("rep = component").withColumn("class_id", F.col("first_id"))
+    classes = joint.select("digest", "class_id", "n_links", F.lit(False).alias("top")).union(alone.select("digest", "class_id", "n_links", F.lit(True)))
+    return members.join(classes, "digest").select("doc_id", "digest", "class_id", "n_links", (F.col("top") & (F.col("doc_id") == F.col("class_id"))).alias("leads"))
 
 
 def _across(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -313,25 +324,36 @@ def own_shingles(texts: DataFrame) -> DataFrame:
     return alone.groupBy("id").agg(F.sum("weight").alias("own"))
 
 
-def _texts(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    ids = scratch.keep(ids, "ids")
-    small = ids.count() <= BROADCAST_IDS
-    wanted = F.broadcast(ids) if small else ids
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.length("text") > 0).join(wanted, "id", "left_semi")
+def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, text for ``wanted(id, first_id, digest)``."""
+    wanted = scratch.keep(wanted, "ids")
+    small = wanted.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").filter(F.length("text") > 0).withColumn("digest", text_digest(F.col("text")))
+    found = texts.join(F.broadcast(wanted) if small else wanted, ["first_id", "digest"])
     return scratch.keep(found.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_links, kept for every row of ``docs``; a document that is never linked is its own class."""
-    found = cluster(docs, least).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    found = cluster(docs, least).dropDuplicates(["doc_id", "digest"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
+    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("doc_id")))
+    out = rows.join(found, ["doc_id", "digest"], "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("leads").isNull() | (F.col("leads") & (F.col("_rn") == 1))).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each class (its smallest doc_id) of ``docs``; columns unchanged."""
+    """One row of each class (of its smallest doc_id) of ``docs``; columns unchanged."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    gone = scratch.keep(cluster(docs, least).groupBy(F.col("doc_id").alias("_gone")).agg(F.min("class_id").alias("_class")).filter("_gone <> _class").select("_gone"), "gone")
-    small = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = cluster(docs, least).groupBy(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).agg(F.first("leads").alias("leads"), F.count("*").alias("n"))
+    # Rows to drop, and those that stay once though they are there several times.
+    marked = scratch.keep(rows.filter("NOT leads OR n > 1"), "gone")
+    several = marked.filter("leads")
+    n, repeated = marked.agg(F.count("*"), F.count_if("leads")).first()
+    sent = (lambda df: F.broadcast(df)) if n <= BROADCAST_IDS else (lambda df: df)
+    keyed = docs.withColumn("_digest_of", text_digest(F.col("text")))
+    same = (F.col("doc_id") == F.col("_gone")) & (F.col("_digest_of") == F.col("_digest"))
+    left = keyed.join(sent(marked.select("_gone", "_digest")), same, "left_anti")
+    if repeated:
+        left = left.union(keyed.join(sent(several.select("_gone", "_digest")), same, "left_semi").dropDuplicates(["doc_id", "_digest_of"]))
     return left.select(*docs.columns)

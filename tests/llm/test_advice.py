@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lexispark.llm import tokens, warc
+from lexispark.llm import neardup, tokens, warc
 from lexispark.llm.queries import tokenizer_path
 
 
@@ -21,3 +21,13 @@ def test_payloads_of_one_page_id_are_planned_apart(spark):
     got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     kinds = sorted((r.page_id, "a" if r.payload_digest == warc.hashlib.sha256(a.encode()).hexdigest() else "b", r.record_type, r.refers_to) for r in got)
     assert kinds == [(1, "a", "response", None), (2, "a", "revisit", 1), (2, "b", "response", None), (3, "a", "revisit", 1), (4, "a", "revisit", 1), (4, "b", "revisit", 2)]
+
+
+def test_repeated_doc_ids_are_classed_by_their_texts(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(100)) for c in "xy")
+    rows = [(5, x), (5, y), (7, y + " end"), (8, x), (9, "z " * 30), (9, "z " * 30), (None, x), (None, x), (10, None), (10, None), (11, y), (4, x + " more"), (5, x + " again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.kept) for r in neardup.classes(df).collect()))
+    assert got == sorted([(5, 4, False), (5, 5, True), (7, 5, False), (8, 4, False), (9, 9, True), (9, 9, False), (0, 0, True), (0, 0, True), (10, 10, True), (10, 10, True), (11, 5, False), (4, 4, True), (5, 4, False)])
+    left = [tuple(r) for r in neardup.drop_near_duplicates(df).collect()]
+    assert sorted(left, key=repr) == sorted([(5, y), (4, x + " more"), (9, "z " * 30), (None, x), (None, x), (10, None), (10, None)], key=repr)
