@@ -14,7 +14,7 @@ still hold several components are then searched for links between members of dif
 other member has cannot be shared: a member with too many of them has no further link at all, which settles documents
 that have a common passage and otherwise their own words; this and the sizes bound a pair's similarity exactly. A pair
 is also passed over if more places of two sketches of the signatures (PLANES bits a place) differ than do, but for some
-40 pairs in a million, at the least similarity (DEVIATIONS; bands miss 640 in a million there); of the buckets that a
+6 pairs in a million, at the least similarity (DEVIATIONS; bands miss 640 in a million there); of the buckets that a
 pair shares, only the first gives it. Components are found by rounds of joins; nothing is collected.
 
 Defined cases: documents without words (null, empty, white space) are never linked, not even with each other;
@@ -45,7 +45,7 @@ COORDINATES = BANDS * ROWS
 #: Bits of each coordinate in a sketch.
 PLANES = 3
 #: Standard deviations that a sketch's differing bits may exceed what is expected at the least similarity.
-DEVIATIONS = 4.0
+DEVIATIONS = 4.5
 #: Up to so many ids, the candidates' ids go to the documents by broadcast; beyond that, by a shuffled join.
 BROADCAST_IDS = 500_000
 _U = np.uint64
@@ -235,8 +235,8 @@ def extend(known: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> D
 
 
 def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, digest, class_id, n_links, leads for each document with id: class_id is the smallest doc_id of its class,
-    n_links the number of verified links of its text to different texts, leads whether it is the one that stays."""
+    """doc_id, digest, class_id, n_tree_links, leads for each document with id: class_id is the smallest doc_id of its class,
+    n_tree_links the number of links of its text to different texts that were verified to connect components, leads whether it is the one that stays."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     sketch = scratch.keep(sketches(docs), "sketches")
@@ -293,14 +293,14 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     more = scratch.keep(verify(pairs, texts, least), "links-4")
     linked, known = linked.unionByName(more), extend(known, more, scratch, "components-4")
 
-    degrees = linked.select(F.col("a").alias("rep")).union(linked.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degrees = linked.select(F.col("a").alias("rep")).union(linked.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_tree_links"))
     classes = reps.select("digest", "rep", "first_id").join(known.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")
-    classes = classes.select("digest", "rep", "first_id", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = classes.select("digest", "rep", "first_id", F.coalesce("component", "rep").alias("component"), F.coalesce("n_tree_links", F.lit(0)).cast("long").alias("n_tree_links"))
     # The component is its smallest text's number, which has its smallest doc_id.
     joint = classes.filter("rep <> component").join(classes.select(F.col("rep").alias("component"), F.col("first_id").alias("class_id")), "component")
     alone = classes.filter("rep = component").withColumn("class_id", F.col("first_id"))
-    classes = joint.select("digest", "class_id", "n_links", F.lit(False).alias("top")).union(alone.select("digest", "class_id", "n_links", F.lit(True)))
-    return members.join(classes, "digest").select("doc_id", "digest", "class_id", "n_links", (F.col("top") & (F.col("doc_id") == F.col("class_id"))).alias("leads"))
+    classes = joint.select("digest", "class_id", "n_tree_links", F.lit(False).alias("top")).union(alone.select("digest", "class_id", "n_tree_links", F.lit(True)))
+    return members.join(classes, "digest").select("doc_id", "digest", "class_id", "n_tree_links", (F.col("top") & (F.col("doc_id") == F.col("class_id"))).alias("leads"))
 
 
 def _across(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -334,12 +334,12 @@ def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_links, kept for every row of ``docs``; a document that is never linked is its own class."""
+    """doc_id, class_id, n_tree_links, kept for every row of ``docs``; a document that is never linked is its own class."""
     found = cluster(docs, least).dropDuplicates(["doc_id", "digest"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
     rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("doc_id")))
     out = rows.join(found, ["doc_id", "digest"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("leads").isNull() | (F.col("leads") & (F.col("_rn") == 1))).alias("kept"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_tree_links", F.lit(0)).alias("n_tree_links"), (F.col("leads").isNull() | (F.col("leads") & (F.col("_rn") == 1))).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

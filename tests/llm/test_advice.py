@@ -1,5 +1,7 @@
 """Cases of the first review."""
 
+import math
+
 import numpy as np
 
 from lexispark.llm import neardup, tokens, warc
@@ -31,3 +33,11 @@ def test_repeated_doc_ids_are_classed_by_their_texts(spark):
     assert got == sorted([(5, 4, False), (5, 5, True), (7, 5, False), (8, 4, False), (9, 9, True), (9, 9, False), (0, 0, True), (0, 0, True), (10, 10, True), (10, 10, True), (11, 5, False), (4, 4, True), (5, 4, False)])
     left = [tuple(r) for r in neardup.drop_near_duplicates(df).collect()]
     assert sorted(left, key=repr) == sorted([(5, y), (4, x + " more"), (9, "z " * 30), (None, x), (None, x), (10, None), (10, None)], key=repr)
+
+
+def test_sketch_bound_and_tree_links(spark):
+    k, share = neardup.COORDINATES, 0.2 * (1 - 2.0**-neardup.PLANES)
+    lost = sum(math.comb(k, i) * share**i * (1 - share) ** (k - i) for i in range(neardup.most_differing(0.8) + 1, k + 1))
+    assert lost < 1e-5
+    found = neardup.classes(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"))
+    assert "n_tree_links" in found.columns and "n_links" not in found.columns
