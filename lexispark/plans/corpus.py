@@ -122,3 +122,22 @@ def agg4_filter_ratio(spark, sf_dir):
     long_enough = (F.regexp_count("text", F.lit(r"\S+")) >= text.MIN_WORDS) & (F.length("text") >= text.MIN_CHARS)
     kept = F.count_if(long_enough)
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("raw"), kept.alias("kept"), F.round(100.0 * kept / F.count("*"), 6).alias("percent"))
+
+
+def _cleaned_chunks(spark, sf_dir):
+    """Chunks of the documents as web texts, cleaned before and after they are cut."""
+    web = lambda c: documents.clean_document(F.col(c), F.lit("web"), F.lit(False)).alias("text")
+    whole = table(spark, sf_dir, "documents").select(web("text")).withColumn("kind", F.lit("web"))
+    cut = whole.select(F.explode(documents.document_chunks("text", "kind", F.lit("text"))).alias("chunk"))
+    return cut.select(web("chunk")).select(documents.chunk_quality_reason(F.col("text"), F.lit("web")).alias("reason"))
+
+
+@query()
+def str7_quality_reasons_chunks(spark, sf_dir):
+    return _cleaned_chunks(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def agg4_filter_ratio_chunks(spark, sf_dir):
+    kept = F.count_if(F.col("reason") == "useful")
+    return _cleaned_chunks(spark, sf_dir).agg(F.count("*").alias("raw"), kept.alias("kept"), F.round(100.0 * kept / F.count("*"), 6).alias("percent"))
