@@ -1,14 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes: insult (with a weight), threat, target, negation, reported speech, clause end. Three small
+Words become classes: insult (with a weight), threat, target, negation, reported speech, clause end, other. Three small
 transducers read the classes of a clause: ABUSE follows insult / target and threat / target patterns and gives each
-insult or threat a weight; NEGATION and REPORT give factors to what stands in their scope. They are composed into one
-table, which scores matched clauses, not words alone. A document's strongest clause and the sum of its clauses go
-through a logistic curve fitted on the training sample.
+insult or threat a weight; NEGATING and REPORTING give factors to what stands in their scope, whose length is counted
+by their states. They are composed into one table, which scores matched clauses, not words alone. A document's
+strongest clause and the sum of its clauses go through a logistic curve fitted on the training sample.
 
 The insult lexicon is a short seed list plus terms learned from labelled training rows (at most TRAIN_ROWS): words and
-word stems (prefixes) that stand, after many different words, in toxic texts and hardly ever in others. Counting
-different preceding words keeps the words of a copied document out.
+word stems (prefixes) of which the share of toxic texts that have them is MIN_LIFT times that of other texts, and that
+stand after at least MIN_CONTEXTS different words in toxic texts, which keeps the words of a copied document out.
 
 Defined cases: null and empty texts get the score of a text without matched clause; null labels are left out, repeated
 labels of a document count once (the highest); without training rows of both classes the seeds and a fixed curve
@@ -31,21 +31,25 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import held_out, short_batches
 
 TRAIN_ROWS = 8_000
-#: Lengths of the stems that are learned beside whole words, and the most terms that are kept.
+#: Lengths of the stems that are learned beside whole words.
 STEMS = (4, 5, 6)
-TERMS = 500
 MIN_CONTEXTS, MIN_LIFT = 4, 10.0
 CACHE_WORDS = 150_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 # Seed words of the classes.
 SEEDS = {
-    INSULT: "idiot idiots moron morons stupid scum trash pathetic loser losers worthless disgusting clown imbecile filth vermin idiota imbécil idiote imbécile abruti dummkopf abschaum",
-    THREAT: "kill hurt destroy beat stab shoot strangle töten umbringen tuer matar golpear",
-    TARGET: "you your yours u he she they them those him her du ihr dich euch sie vous toi tu ils elles ustedes usted ellos",
-    NEGATION: "not never isn aren wasn nicht kein keine niemals pas jamais nunca",
-    REPORT: "said says told wrote quoted called claimed reported sagte schrieb zitierte dit écrit dijo escribió",
-}
+    INSULT: (
+        "idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "pathetic", "loser", "losers", "worthless", "disgusting", "clown", "imbecile", "filth", "vermin",
+        "idiota", "imbécil", "idiote", "imbécile", "abruti", "dummkopf", "abschaum",
+    ),
+    THREAT: ("kill", "hurt", "destroy", "beat", "stab", "shoot", "strangle", "töten", "umbringen", "tuer", "matar", "golpear"),
+    TARGET: (
+        "you", "your", "yours", "u", "he", "she", "they", "them", "those", "him", "her", "du", "ihr", "dich", "euch", "sie", "vous", "toi", "tu", "ils", "elles", "ustedes", "usted", "ellos",
+    ),
+    NEGATION: ("not", "never", "isn", "aren", "wasn", "nicht", "kein", "keine", "niemals", "pas", "jamais", "nunca"),
+    REPORT: ("said", "says", "told", "wrote", "quoted", "called", "claimed", "reported", "sagte", "schrieb", "zitierte", "dit", "écrit", "dijo", "escribió"),
+}
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 #: Words after a negation, or after a word of reported speech, that are in its scope.
 SCOPE = 3
@@ -55,11 +59,11 @@ THREAT_ALONE, THREAT_TARGET, INSULT_TARGET = 0.2, 2.5, 1.5
 
 
 class Transducer:
-    """Deterministic: (state, class) -> (state, weight); classes without arc stay, with the state's own weight."""
+    """Deterministic: (state, class) -> (state, weight); where no arc is given, the state's ``rest`` arc is taken."""
 
-    def __init__(self, states: int, arcs: dict[tuple[int, int], tuple[int, float]], rest: list[float]):
-        self.states, self.rest = states, rest
-        self.table = [[arcs.get((s, c), (s, rest[s])) for c in range(END + 1)] for s in range(states)]
+    def __init__(self, states: int, arcs: dict[tuple[int, int], tuple[int, float]], rest: list[tuple[int, float]]):
+        self.states = states
+        self.table = [[arcs.get((s, c), rest[s]) for c in range(END + 1)] for s in range(states)]
 
     def compose(self, other: Transducer) -> Transducer:
         """Both read the same classes; weights multiply."""
@@ -68,10 +72,16 @@ class Transducer:
             for c in range(END + 1):
                 (p, u), (q, v) = self.table[a][c], other.table[b][c]
                 arcs[a * other.states + b, c] = (p * other.states + q, u * v)
-        return Transducer(self.states * other.states, arcs, [x * y for x in self.rest for y in other.rest])
+        return Transducer(self.states * other.states, arcs, [(0, 0.0)] * (self.states * other.states))
 
 
-# States of ABUSE: 0 nothing yet, 1 target, 2 insult, 3 threat; of the others: 0 out of scope, 1 in scope.
+def scope(opener: int, factor: float, length: int = SCOPE) -> Transducer:
+    """State n: n more words are in the scope that ``opener`` opened; a clause end closes it."""
+    arcs = {(s, c): (length if c == opener else 0, 1.0) for s in range(length + 1) for c in (opener, END)}
+    return Transducer(length + 1, arcs, [(max(0, s - 1), factor if s else 1.0) for s in range(length + 1)])
+
+
+# States of ABUSE: 0 nothing yet, 1 target, 2 insult, 3 threat.
 ABUSE = Transducer(
     4,
     {
@@ -81,19 +91,16 @@ ABUSE = Transducer(
         (3, TARGET): (1, THREAT_TARGET), (3, INSULT): (2, INSULT_TARGET), (3, THREAT): (3, THREAT_ALONE),
         **{(s, END): (0, 0.0) for s in range(4)},
     },
-    [0.0] * 4,
+    [(s, 0.0) for s in range(4)],
 )
-NEGATING = Transducer(2, {(0, NEGATION): (1, 1.0), (1, NEGATION): (1, 1.0), (0, END): (0, 1.0), (1, END): (0, 1.0)}, [1.0, NEGATED])
-REPORTING = Transducer(2, {(0, REPORT): (1, 1.0), (1, REPORT): (1, 1.0), (0, END): (0, 1.0), (1, END): (0, 1.0)}, [1.0, REPORTED])
-GRAMMAR = ABUSE.compose(NEGATING).compose(REPORTING)
-_NEGATES = 2  # of a composed state s: abuse = s // 4, negation = s // 2 % 2, report = s % 2
+GRAMMAR = ABUSE.compose(scope(NEGATION, NEGATED)).compose(scope(REPORT, REPORTED))
 
 
 class Scorer:
     """Clause scores of texts, with a lexicon of insult terms and weights."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.words = {w: (c, 1.0) for c, ws in SEEDS.items() for w in ws.split()}
+        self.words = {w: (c, 1.0) for c, ws in SEEDS.items() for w in ws}
         self.lexicon, self.known = lexicon, {}
         self.stems = sorted({len(k) - 1 for k in lexicon if k.endswith("*")}, reverse=True)
 
@@ -114,25 +121,15 @@ class Scorer:
         for w in set(tokens).difference(known):
             known[w] = self.of(w)
         scores: list[float] = []
-        state, score, until_neg, until_rep = 0, 0.0, -1, -1
+        state, score = 0, 0.0
         table = GRAMMAR.table
-        for i, (kind, weight) in enumerate(map(known.__getitem__, tokens)):
-            if kind == OTHER:
-                continue
-            if state & _NEGATES and i > until_neg:
-                state &= ~_NEGATES
-            if state & 1 and i > until_rep:
-                state &= ~1
+        for kind, weight in map(known.__getitem__, tokens):
             state, w = table[state][kind]
-            if kind == END:
-                if score:
-                    scores.append(score)
+            if w:
+                score += w * weight
+            if kind == END and score:
+                scores.append(score)
                 score = 0.0
-            elif kind == NEGATION:
-                until_neg = i + SCOPE
-            elif kind == REPORT:
-                until_rep = i + SCOPE
-            score += w * weight
         return [*scores, score] if score else scores
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -150,26 +147,27 @@ def learn_lexicon(sample: DataFrame, positives: int, negatives: int) -> dict[str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts: dict[str, set[int]] = defaultdict(set)
-        against: Counter[str] = Counter()
+        having: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = _TOKEN.findall((text or "").lower())
+                having[bool(label)].update({t for word in set(tokens) for t in terms(word)})
                 if label:
                     for before, word in zip(["", *tokens], tokens, strict=False):
                         for t in terms(word):
                             contexts[t].add(hash_text(before))
-                else:
-                    against.update({t for word in set(tokens) for t in terms(word)})
-        rows = [(t, c, None) for t, cs in contexts.items() for c in cs] + [(t, None, n) for t, n in against.items()]
+        rows = [(t, c, 0, 0) for t, cs in contexts.items() for c in cs] + [(t, None, having[1][t], having[0][t]) for t in {*having[0], *having[1]}]
         for i in range(0, len(rows), 50_000):
-            a, b, c = zip(*rows[i : i + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["term", "context", "against"])
+            columns = zip(zip(*rows[i : i + 50_000], strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["term", "context", "toxic", "other"])
 
-    counted = sample.mapInArrow(count, "term string, context long, against long").groupBy("term").agg(F.countDistinct("context").alias("contexts"), F.coalesce(F.sum("against"), F.lit(0)).alias("against"))
+    counted = sample.mapInArrow(count, "term string, context long, toxic long, other long").groupBy("term")
+    counted = counted.agg(F.countDistinct("context").alias("contexts"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     least = max(MIN_CONTEXTS, round(0.005 * positives))
-    lift = (F.col("contexts") / positives) / ((F.col("against") + 0.5) / negatives)
-    best = counted.filter(F.col("contexts") >= least).withColumn("lift", lift).filter(F.col("lift") >= MIN_LIFT).orderBy(F.desc("lift"), "term").limit(TERMS)
-    return {r["term"]: min(2.0, math.log(r["lift"]) / math.log(100.0)) for r in best.collect()}
+    lift = (F.col("toxic") / positives) / ((F.col("other") + 0.5) / negatives)
+    # Bounded by the sample's toxic texts: a term is in at least ``least`` of their contexts.
+    best = counted.filter(F.col("contexts") >= least).withColumn("lift", lift).filter(F.col("lift") >= MIN_LIFT).orderBy(F.desc("lift"), "term")
+    return {r["term"]: min(2.0, math.log(r["lift"]) / math.log(100.0)) for r in best.select("term", "lift").collect()}
 
 
 def hash_text(text: str) -> int:
