@@ -6,15 +6,16 @@ starts of all SEED-byte strings within a window of LENGTH bytes, the one with th
 about one in 80 bytes, are indexed, and a window is looked up by its anchor.
 
 Suffix arrays are ordered by a 64-bit fingerprint of the suffix's first SEED bytes instead of the bytes themselves:
-equal prefixes are neighbours in either order, and that is all a merge-scan needs. Documents come in batches. A new
-batch's array is merge-scanned against the levels there are: suffixes whose seed occurs in both are long-match
-candidates. A level holds each seed once, with the number of its suffixes. Two levels of equal size are merged into the
-next one, as in a binary counter, so n batches leave at most log2(n) + 1 levels, and each entry is rewritten at most
-log2(n) times.
-
-Runs of consecutive windows with one anchor are compared as a whole first, among the runs with one seed, by a 64-bit
-fingerprint of the bytes that the run's windows cover. Equal ones are repeats in all their windows, whatever the number
-of copies. Where one seed has several different surroundings, one text of each is read again, and its windows are
+equal prefixes are neighbours in either order, and that is all a merge-scan needs. An array lists each seed once, with
+the place of one of its suffixes and their number; so a seed that very many documents share is one entry. Documents come
+in batches. A new batch's array is merge-scanned against the array of every level there is: seeds that occur in both,
+and seeds that occur twice in the batch, are the long-match candidates, and only what these scans find is compared any
+further. Two levels of equal size are merged into the next one, as in a binary counter, so n batches leave at most
+log2(n) + 1 levels, and each entry is rewritten at most log2(n) times.
+
+Runs of consecutive windows with one anchor are compared as a whole first, among the runs with one seed, by a second,
+unrelated 64-bit hash of the bytes that the run's windows cover. Equal ones are repeats in all their windows, whatever the
+number of copies. Where one seed has several different surroundings, one text of each is read again, and its windows are
 compared one by one, among those of the seed, by their fingerprints.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; strings are judged on the input; matches
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Scratch, mix64, release, short_batches
+from lexispark.llm.common import Scratch, forget, mix64, release, short_batches, trim
 
 LENGTH, SEED = 200, 40
 BATCHES = 4
@@ -65,9 +67,6 @@ class Hashes:
         n = len(self.sums) - length
         return mix64((self.sums[length:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.empty(0, _U)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
-
 
 def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every run of ``width`` values, by running minima of blocks from both sides."""
@@ -82,8 +81,8 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """key, whole, first, count, offset for each run of windows with one anchor: fingerprint of the anchor's seed, of the
-    run's bytes with the anchor's place, first window's start, number of windows, anchor minus first."""
+    """key, whole, first, count, offset for each run of windows with one anchor: fingerprint of the anchor's seed, hash of
+    the run's bytes seeded by the anchor's place, first window's start, number of windows, anchor minus first."""
     parts = []
     step = _PIECE - LENGTH - SEED
     for base in range(0, max(1, len(data) - LENGTH + 1), step):
@@ -97,8 +96,10 @@ def anchor_runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         count = np.diff(np.append(first, len(anchor)))
         offset = anchor[first] - first
-        shape = (offset * LENGTH + count).astype(_U) * _U(_BASE)
-        parts.append((seeds[anchor[first]], mix64(prints.of(first, first + count - 1 + LENGTH) + shape), first + base, count, offset))
+        view = memoryview(np.ascontiguousarray(piece))
+        ends = first + count - 1 + LENGTH
+        whole = map(xxhash.xxh3_64_intdigest, map(view.__getitem__, map(slice, first.tolist(), ends.tolist())), (offset * LENGTH + count).tolist())
+        parts.append((seeds[anchor[first]], np.fromiter(whole, _U, len(first)), first + base, count, offset))
     if not parts:
         return tuple(np.empty(0, _U if i < 2 else np.int64) for i in range(5))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
@@ -124,6 +125,7 @@ def entries(docs: DataFrame, batches: int) -> DataFrame:
     """The suffixes that are indexed: seed, run, and where; with the batch of the document."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for rb in rows:
             out = []
             for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
@@ -136,6 +138,7 @@ def entries(docs: DataFrame, batches: int) -> DataFrame:
                 out.append((key.view(np.int64), whole.view(np.int64), np.full(len(key), doc), pack(first, count, offset, name), np.full(len(key), mix_int(doc) % batches, np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "whole", "doc", "place", "batch"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENTRY)
 
@@ -151,46 +154,54 @@ class IndexFamily:
         self.spark, self.scratch, self.levels, self.added = spark, scratch, {}, 0
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Indexes ``batch(key)``; returns (lazily) the seeds that the batch shares with existing levels."""
+        """Indexes ``batch(key, doc, place)``; returns key, doc, place of the batch's first suffix for each seed that
+        the batch has twice, or shares with an existing level."""
         self.added += 1
-        array = batch.groupBy("key").agg(F.count("*").alias("n"))
         level, name = 0, f"array-{self.added}"
+        place = F.first("doc").alias("doc"), F.first("place").alias("place")
+        array = batch.groupBy("key").agg(F.count("*").alias("n"), *place)
         array = self.scratch.keep(array.sortWithinPartitions("key"), name)
-        matches = [array.select("key").join(old.select("key"), "key") for old, _ in self.levels.values()]
+        own = array.filter("n > 1").select("key", "doc", "place")
+        found = reduce(DataFrame.unionByName, [own] + [array.filter("n = 1").join(old.select("key"), "key", "left_semi").select("key", "doc", "place") for old, _ in self.levels.values()])
+        found = self.scratch.keep(found, f"matches-{self.added}")
         while level in self.levels:
             old, old_name = self.levels.pop(level)
-            merged = old.unionByName(array).groupBy("key").agg(F.sum("n").alias("n"))
             level, merged_name = level + 1, f"level-{level + 1}-{self.added}"
-            array = self.scratch.keep(merged.sortWithinPartitions("key"), merged_name)
-            for done in (old_name, name):
-                self.scratch.drop(done)
+            both = old.unionByName(array).groupBy("key").agg(F.sum("n").alias("n"), *place)
+            array = self.scratch.keep(both.sortWithinPartitions("key"), merged_name)
+            self.scratch.drop(old_name, name)
             name = merged_name
-            release(self.spark)
+        release(self.spark)
         self.levels[level] = array, name
-        found = array.select("key").limit(0)
-        for m in matches:
-            found = found.unionByName(m)
         return found
 
-    def repeated(self) -> DataFrame:
-        """Seeds that occur more than once in all levels together: a merge-scan of what levels there are."""
-        levels = [d for d, _ in self.levels.values()]
-        if len(levels) == 1:
-            return levels[0].filter("n > 1").select("key")
-        every = levels[0]
-        for d in levels[1:]:
-            every = every.unionByName(d)
-        return every.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    def sizes(self) -> DataFrame:
+        """key, n of all levels together."""
+        levels = [d.select("key", "n") for d, _ in self.levels.values()]
+        return levels[0] if len(levels) == 1 else reduce(DataFrame.unionByName, levels).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+#: A key is hot with more than this share of the rows, so there are at most as many hot keys.
+HOT_SHARE = 500
+#: The windows of a seed with more surroundings than this are dealt out by fingerprint, into a slice for each so many.
+HOT = 200
+#: Runs whose windows are handed on together.
+WINDOW_ROWS = 2_000
 
 
-#: Per-document lists up to so many rows of 40 bytes go to the documents by broadcast; beyond that, by a shuffled join.
-BROADCAST_ROWS = 2_000_000
-#: Seeds with more surroundings than this have their windows dealt out by fingerprint.
-HOT, SLICES = 2_000, 64
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], counted: DataFrame, rows: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key. ``counted(keys, n)`` says how many of the so many rows of
+    ``left`` a key has: the few keys that hold a good part of them are joined where they are, by broadcast."""
+    hot = counted.filter(F.col("n") * HOT_SHARE > rows).select(keys).collect()
+    if not hot:
+        return left.join(right, keys)
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot, counted.select(keys).schema))
+    there = left.join(F.broadcast(right.join(hot, keys, "left_semi")), keys)
+    return there.unionByName(left.join(hot, keys, "left_anti").join(right, keys))
 
 
-def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, int]:
-    """doc, tag, spans (sorted array of struct<s,e>) of the documents with repeated strings, and how many spans in all."""
+def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """doc, tag, spans (sorted array of struct<s,e>) of the documents with repeated strings."""
     spark = docs.sparkSession
     short_batches(spark)
     scratch = Scratch(spark, "suffixes")
@@ -198,24 +209,27 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame,
     entries(docs, batches).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(ENTRY).parquet(path)
     family = IndexFamily(spark, scratch)
-    for b in range(batches):
-        family.add(stored.filter(F.col("batch") == b).select("key"))
-    found = scratch.keep(stored.drop("batch").join(family.repeated(), "key"), "found")
-    scratch.drop("entries")
+    matches = [family.add(stored.filter(F.col("batch") == b).select("key", "doc", "place")) for b in range(batches)]
+    seeds = reduce(DataFrame.unionByName, matches).select("key").distinct()
+    found = scratch.keep(join_dealt(stored.drop("batch"), seeds, ["key"], family.sizes(), stored.count()), "found")
+    scratch.drop("entries", *(f"matches-{b + 1}" for b in range(batches)), *(name for _, name in family.levels.values()))
     release(spark)
 
     # Runs with equal bytes: one row for each, with the number of copies.
     runs = scratch.keep(found.groupBy("key", "whole").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("place").alias("place")), "runs")
     release(spark)
-    full = scratch.keep(found.join(runs.filter("n > 1").select("key", "whole"), ["key", "whole"]).select("doc", "place"), "full")
+    copied = runs.filter("n > 1").select("key", "whole", "n")
+    full = scratch.keep(join_dealt(found, copied.drop("n"), ["key", "whole"], copied, found.count()).select("doc", "place"), "full")
     scratch.drop("found")
     release(spark)
 
     # Seeds with several surroundings: window by window.
-    several = runs.groupBy("key").agg(F.count("*").alias("surroundings")).filter("surroundings > 1")
-    asked = scratch.keep(runs.join(several, "key").select("key", "n", "doc", "place", (F.col("surroundings") > HOT).alias("hot")), "asked")
-    windows = _windows(docs, asked, scratch)
-    partial = scratch.keep(_compare(windows), "partial")
+    several = scratch.keep(runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "several")
+    asked = join_dealt(runs, several.select("key", F.ceil(F.col("n") / HOT).alias("slices")), ["key"], several, runs.count())
+    asked = scratch.keep(asked.select("key", "n", "doc", "place", "slices"), "asked")
+    scratch.drop("runs")
+    partial = scratch.keep(_compare(_windows(docs, asked)), "partial")
+    scratch.drop("asked")
     release(spark)
 
     first, count = F.shiftrightunsigned("place", 32), F.shiftrightunsigned("place", 8).bitwiseAND(F.lit(255))
@@ -223,9 +237,9 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame,
     spans = full.select("doc", name, F.array(F.struct(first.cast("int").alias("s"), (first + count - 1 + LENGTH).cast("int").alias("e"))).alias("spans"))
     spans = spans.unionByName(partial.select("doc", name, "spans").filter(F.size("spans") > 0))
     spans = scratch.keep(_merge_spans(spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))), "spans")
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    scratch.drop("full", "partial", "several")
     release(spark)
-    return spans, total
+    return spans
 
 
 def _merge_spans(spans: DataFrame) -> DataFrame:
@@ -237,16 +251,15 @@ def _merge_spans(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(run, "doc long, tag long, spans array<struct<s:int,e:int>>")
 
 
-def _attach(docs: DataFrame, lists: DataFrame, rows: int, how: str) -> DataFrame:
-    """doc_id, text and the lists of the document; ``lists`` has doc, tag and is broadcast only if small."""
+def _attach(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """doc_id, text and the lists of the document; ``lists`` has doc, tag. The texts are shuffled by doc_id."""
     by_doc = lists.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in lists.columns if c != "doc"])).alias("lists"))
-    wanted = F.broadcast(by_doc) if rows <= BROADCAST_ROWS else by_doc
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.coalesce("doc_id", F.lit(0)) == F.col("doc"), how).select("doc_id", "text", "lists")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc.hint("shuffle_hash"), F.coalesce("doc_id", F.lit(0)) == F.col("doc"), how).select("doc_id", "text", "lists")
 
 
-def _windows(docs: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
+def _windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """key, slice, n, doc, place, at (index of each window in its run), prints, for the runs that are asked for."""
-    lists = asked.select("doc", F.struct("place", "key", "n", "hot").alias("run"))
+    lists = asked.select("doc", F.struct("place", "key", "n", "slices").alias("run"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
@@ -262,25 +275,29 @@ def _windows(docs: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
                         prints = Hashes(np.frombuffer(data, np.uint8)).all(LENGTH).view(np.int64)
                     first, count = r["place"] >> 32, r["place"] >> 8 & 255
                     got = prints[first : first + count]
-                    if not r["hot"]:
+                    if r["slices"] == 1:
                         out.append((r["key"], 0, r["n"], doc_id or 0, r["place"], np.arange(count), got))
                         continue
-                    of = got % SLICES
+                    of = got % r["slices"]
                     for s in np.unique(of):
                         at = np.flatnonzero(of == s)
                         out.append((r["key"], int(s), r["n"], doc_id or 0, r["place"], at, got[at]))
-                    if len(out) > 2000:
+                    if len(out) > WINDOW_ROWS:
                         yield _window_rows(out)
                         out = []
+                if len(out) > WINDOW_ROWS:
+                    yield _window_rows(out)
+                    out = []
             if out:
                 yield _window_rows(out)
+        trim()
 
-    return _attach(docs, lists, asked.count(), "inner").mapInArrow(run, "key long, slice int, n long, doc long, place long, at array<int>, prints array<long>")
+    return _attach(docs, lists, "inner").mapInArrow(run, "key long, slice long, n long, doc long, place long, at array<int>, prints array<long>")
 
 
 def _window_rows(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows, strict=True))
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.int64(),) * 5
     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c[5]])]), pa.int32())
     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c[5]), pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c[6]), pa.int64()))]
     return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(c, kinds, strict=False)), *lists], ["key", "slice", "n", "doc", "place", "at", "prints"])
@@ -302,6 +319,7 @@ def _compare(windows: DataFrame) -> DataFrame:
                 held = held.slice(last)
         if held is not None:
             yield _shared(held)
+        trim()
 
     return windows.repartition("key", "slice").sortWithinPartitions("key", "slice").mapInArrow(run, "doc long, place long, spans array<struct<s:int,e:int>>")
 
@@ -345,7 +363,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) for each row of ``docs``."""
-    spans, total = repeated_spans(docs, batches)
+    spans = repeated_spans(docs, batches)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
@@ -363,4 +381,4 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return _attach(docs, spans, total, "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return _attach(docs, spans, "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
