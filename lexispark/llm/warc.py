@@ -3,13 +3,16 @@
 Writing is DataFrame work: digests, the first page of every payload, record text, Spark's text writer with the WARC
 record end as line separator. Archives are plain (one record after the other), so damage stays local.
 
-Reading takes whole archive files. The salvage reader follows the records; where a check fails (version line, headers,
+Pages are written by size class, with so many records to a file that a file's payloads have at most FILE_BYTES, or it
+holds a single record. Reading takes whole archive files. The salvage reader follows the records; where a check fails (version line, headers,
 length, record end, payload digest), it searches on for the next gzip member that opens, or the next version line,
 logs the bytes between as a quarantined gap with its reason, and goes on.
 
 Defined cases: a null html is the empty payload; a null url has no WARC-Target-URI; line ends in urls are
 percent-encoded; a null page_id is a record without page; of equal page_ids with equal payloads all are responses if
-theirs is the smallest id; with different payloads each is planned on its own; an empty table gives no archive and an empty result; further columns are not archived.
+theirs is the smallest id; with different payloads each is planned on its own; very large
+pages have a file of their own; gzip members that grow beyond FILE_BYTES are quarantined; an empty table gives an
+empty archive and an empty result; further columns, whatever their names, are not archived.
 """
 
 from __future__ import annotations
@@ -28,18 +31,25 @@ from lexispark.llm.common import Scratch
 
 #: Payloads below so many bytes are always written in full.
 MIN_REVISIT_BYTES = 100
-#: Bounds an archive file, which the reader holds whole.
-RECORDS_PER_FILE = 5000
+#: Bounds an archive file, which the reader holds whole, and what a gzip member may grow to.
+FILE_BYTES = 1 << 27
+#: Largest payloads of the size classes; beyond the last one, a record is a file.
+CLASSES = (1 << 15, 1 << 19, 1 << 23)
 VERSION = "WARC/1.1"
 ID = "urn:page:"
 END = "\r\n\r\n"
+#: Bytes that are inflated at once.
+_PIECE = 1 << 20
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
+def payload_digests(pages: DataFrame) -> DataFrame:
+    """page_id, digest, size of the payloads that may be revisited."""
+    html = F.col("html")
+    return pages.filter(F.octet_length(html) >= MIN_REVISIT_BYTES).select("page_id", F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"), F.octet_length(html).alias("size"))
+
+
+def plan_records(digests: DataFrame) -> DataFrame:
     """page_id, digest, refers_to of what becomes a revisit: a row for each page and payload that an earlier page has."""
-    digests = Scratch(pages.sparkSession, "warc").keep(
-        pages.filter(F.octet_length("html") >= MIN_REVISIT_BYTES).select("page_id", F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("digest")), "digests"
-    )
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return digests.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
@@ -47,8 +57,10 @@ def plan_records(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, out: str) -> None:
     """One record for each row of ``pages(page_id, url, html)``."""
     scratch = Scratch(pages.sparkSession, "warc")
+    digests = scratch.keep(payload_digests(pages), "digests")
+    largest = digests.agg(F.max("size")).first()[0] or 0
     # Written first, so that its true size decides whether the join has to move the pages at all.
-    revisits = scratch.keep(plan_records(pages), "revisits").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
+    revisits = scratch.keep(plan_records(digests), "revisits").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     html = F.coalesce(F.col("html"), F.lit(""))
     digested = pages.select("page_id", "url", "html", F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"))
     joined = digested.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
@@ -71,7 +83,12 @@ def write_warc(pages: DataFrame, out: str) -> None:
         F.lit(""),
         body,
     )
-    joined.select(lines.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(out)
+    size = F.octet_length(html)
+    for i, (above, most) in enumerate(zip((-1, *CLASSES), (*CLASSES, None))):
+        if largest > above:
+            of_class = joined.filter((size > above) & (size <= most) if most else size > above)
+            of_class.select(lines.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_BYTES // most if most else 1).text(f"{out}/{i}")
+    scratch.drop()
 
 
 @dataclass
@@ -120,18 +137,24 @@ class Salvage:
             self.gaps.append(Gap(bad_from, n, reason))
 
     def _member(self, at: int) -> tuple[list[Record], int] | str:
-        inflate = zlib.decompressobj(31)
+        inflate, view, plain, to = zlib.decompressobj(31), memoryview(self.data), bytearray(), at
         try:
-            plain = inflate.decompress(self.data[at:])
+            while not inflate.eof and (to < len(view) or inflate.unconsumed_tail):
+                if len(plain) > FILE_BYTES:
+                    return "gzip: member is too large"
+                piece = inflate.unconsumed_tail or view[to : to + _PIECE]
+                if not inflate.unconsumed_tail:
+                    to += len(piece)
+                plain += inflate.decompress(piece, _PIECE)
         except zlib.error as e:
             return f"gzip: {e}"
         if not inflate.eof:
             return "gzip: member is cut short"
-        inner = Salvage(plain)
+        inner = Salvage(bytes(plain))
         records = list(inner)
         if inner.gaps and not records:
             return inner.gaps[0].reason
-        end = len(self.data) - len(inflate.unused_data)
+        end = to - len(inflate.unused_data)
         self.gaps += [Gap(at, end, f"in member: {g.reason}") for g in inner.gaps]
         return records, end
 
