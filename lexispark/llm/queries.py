@@ -22,8 +22,8 @@ def tokenizer_path() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return plan.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_repeats")).alias("taken"))
+    plan = mixing.plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
