@@ -11,7 +11,8 @@ document is moved.
 
 Defined cases: null and empty texts match nothing; items with fewer than MIN_MATCH words are too short to be evidence
 and match nothing; repeated items match alike; an empty benchmark leaves every document clean; an empty table gives an
-empty result; further columns are kept by ``decontaminate``.
+empty result; very long texts are searched whole; rows that repeat a doc_id are judged one by one; further columns,
+whatever their names, are kept as they are by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import short_batches
+from lexispark.llm.common import forget, fresh, short_batches, trim
 
 SHINGLE = MIN_MATCH = 5
 THRESHOLD = 0.8
@@ -165,35 +166,40 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Index]:
             yield index
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with _items array<long> (ascending, distinct) and _coverage double (the highest, 0 without items)."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: items array<long> (ascending, distinct) and coverage double (the
+    highest, 0 without items)."""
     spark = docs.sparkSession
     short_batches(spark)
-    out = docs.withColumns({"_items": F.array().cast("array<bigint>"), "_coverage": F.lit(0.0)})
+    found, most = fresh(docs, "_items", "_coverage")
+    out = docs.withColumns({found: F.array().cast("array<bigint>"), most: F.lit(0.0)})
     schema = out.schema
     for index in blocks(benchmark):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in batches:
                 names = batch.schema.names
-                texts, items, best = (batch.column(names.index(c)).to_pylist() for c in ("text", "_items", "_coverage"))
+                texts, items, best = (batch.column(names.index(c)).to_pylist() for c in ("text", found, most))
                 for i, text in enumerate(texts):
                     for item, coverage in sent.value.hits(text, threshold):
                         items[i], best[i] = [*items[i], item], max(best[i], coverage)
-                own = {"_items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64())), "_coverage": pa.array(best, pa.float64())}
+                own = {found: pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64())), most: pa.array(best, pa.float64())}
                 yield pa.RecordBatch.from_arrays([own.get(c, batch.column(i)) for i, c in enumerate(names)], names)
+            trim()
 
         out = out.mapInArrow(run, schema)
-    return out
+    return out, found, most
 
 
 def report(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, contaminated, item_ids, coverage for each row of ``docs``."""
-    found = contaminated(docs.select("doc_id", "text"), benchmark, threshold)
-    return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("item_ids"), F.round("_coverage", 6).alias("coverage"))
+    out, found, most = contaminated(docs.select("doc_id", "text"), benchmark, threshold)
+    return out.select("doc_id", (F.size(found) > 0).alias("contaminated"), F.col(found).alias("item_ids"), F.round(most, 6).alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; columns unchanged."""
-    return contaminated(docs, benchmark, threshold).filter(F.size("_items") == 0).select(*docs.columns)
+    out, found, _ = contaminated(docs, benchmark, threshold)
+    return out.filter(F.size(found) == 0).select(*docs.columns)

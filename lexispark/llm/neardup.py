@@ -36,18 +36,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.llm.common import Scratch, mix64, short_batches, words
+from lexispark.llm.common import Scratch, forget, fresh, mix64, short_batches, trim, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
 COORDINATES = BANDS * ROWS
+#: Shingles of the documents whose darts are thrown together.
+SHINGLES_AT_ONCE = 200_000
 #: Bits of each coordinate in a sketch.
 PLANES = 3
 #: Standard deviations that a sketch's differing bits may exceed what is expected at the least similarity.
 DEVIATIONS = 4.5
 #: Up to so many ids, the candidates' ids go to the documents by broadcast; beyond that, by a shuffled join.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 250_000
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
 
@@ -161,21 +163,37 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text, band hashes, number of shingles, bit sketch, for documents with words and id."""
     short_batches(docs.sparkSession)
 
+    def some_at_once(sets: list[np.ndarray]) -> Iterator[list[int]]:
+        """The sets that are not empty, in groups of bounded size (one set at least)."""
+        group, held = [], 0
+        for i, s in enumerate(sets):
+            if len(s):
+                if group and held + len(s) > SHINGLES_AT_ONCE:
+                    yield group
+                    group, held = [], 0
+                group.append(i)
+                held += len(s)
+        if group:
+            yield group
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler = Shingler()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sets = [shingler.shingles(t) for t in texts]
-            some = [i for i, s in enumerate(sets) if len(s)]
-            if not some:
-                continue
-            signatures = dart_signatures([sets[i] for i in some])
-            bands, bits = band_hashes(signatures), bit_sketches(signatures)
-            lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, bits))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(some)), batch.column(2).take(pa.array(some)), next(lists), pa.array([len(sets[i]) for i in some], pa.int64()), next(lists)],
-                ["doc_id", "digest", "bands", "size", "bits"],
-            )
+            sets = [shingler.shingles(t) for t in batch.column(1).to_pylist()]
+            for some in some_at_once(sets):
+                yield sketched(batch, sets, some)
+        shingler.known.clear()
+        trim()
+
+    def sketched(batch: pa.RecordBatch, sets: list[np.ndarray], some: list[int]) -> pa.RecordBatch:
+        signatures = dart_signatures([sets[i] for i in some])
+        bands, bits = band_hashes(signatures), bit_sketches(signatures)
+        lists = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, bits))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(some)), batch.column(2).take(pa.array(some)), next(lists), pa.array([len(sets[i]) for i in some], pa.int64()), next(lists)],
+            ["doc_id", "digest", "bands", "size", "bits"],
+        )
 
     kept = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest(F.col("text")).alias("digest"))
     return kept.mapInArrow(run, "doc_id long, digest binary, bands array<long>, size long, bits array<long>")
@@ -199,6 +217,8 @@ def verify(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             a, ta, b, tb = (batch.column(c).to_pylist() for c in range(4))
             good = [similarity(of(w, x), of(y, z)) >= least for w, x, y, z in zip(a, ta, b, tb, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        shingler.known.clear()
+        trim()
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -345,15 +365,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of each class (of its smallest doc_id) of ``docs``; columns unchanged."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    rows = cluster(docs, least).groupBy(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).agg(F.first("leads").alias("leads"), F.count("*").alias("n"))
+    own, gone, of = fresh(docs, "_digest", "_gone", "_gone_digest")
+    rows = cluster(docs, least).groupBy(F.col("doc_id").alias(gone), F.col("digest").alias(of)).agg(F.first("leads").alias("leads"), F.count("*").alias("n"))
     # Rows to drop, and those that stay once though they are there several times.
     marked = scratch.keep(rows.filter("NOT leads OR n > 1"), "gone")
-    several = marked.filter("leads")
     n, repeated = marked.agg(F.count("*"), F.count_if("leads")).first()
     sent = (lambda df: F.broadcast(df)) if n <= BROADCAST_IDS else (lambda df: df)
-    keyed = docs.withColumn("_digest_of", text_digest(F.col("text")))
-    same = (F.col("doc_id") == F.col("_gone")) & (F.col("_digest_of") == F.col("_digest"))
-    left = keyed.join(sent(marked.select("_gone", "_digest")), same, "left_anti")
+    keyed = docs.withColumn(own, text_digest(F.col("text")))
+    same = (F.col("doc_id") == F.col(gone)) & (F.col(own) == F.col(of))
+    left = keyed.join(sent(marked.select(gone, of)), same, "left_anti")
     if repeated:
-        left = left.union(keyed.join(sent(several.select("_gone", "_digest")), same, "left_semi").dropDuplicates(["doc_id", "_digest_of"]))
+        left = left.union(keyed.join(sent(marked.filter("leads").select(gone, of)), same, "left_semi").dropDuplicates(["doc_id", own]))
     return left.select(*docs.columns)

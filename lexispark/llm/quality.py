@@ -8,7 +8,8 @@ batch of documents at a time.
 Defined cases: null and empty texts have zero statistics and get a score like any other; a null doc_id counts as
 training part; labels that are null are left out, repeated labels of a document count once (the highest); without any
 training row of either class every score is the share of good labels (0.5 without labels); an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are ignored, and kept as they are by ``keep_good``; very long
+texts are measured whole; rows that repeat a doc_id are scored one by one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import held_out, short_batches, words
+from lexispark.llm.common import forget, fresh, held_out, short_batches, trim, words
 
 #: At most so many labelled rows are learned from; beyond that, those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -171,10 +172,12 @@ def with_score(docs: DataFrame, forest: Forest, name: str = "score") -> DataFram
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             x = np.array([statistics(t) for t in texts], float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(x), pa.float64())], [*batch.schema.names, name])
+        trim()
 
     source = docs.drop(name)
     return source.mapInArrow(run, source.withColumn(name, F.lit(0.0)).schema)
@@ -182,4 +185,5 @@ def with_score(docs: DataFrame, forest: Forest, name: str = "score") -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject; columns unchanged."""
-    return with_score(docs, train(docs, labels, most), "_lexispark_score").filter(F.col("_lexispark_score") >= threshold).select(*docs.columns)
+    (score,) = fresh(docs, "_score")
+    return with_score(docs, train(docs, labels, most), score).filter(F.col(score) >= threshold).select(*docs.columns)

@@ -26,7 +26,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.llm.common import Scratch, short_batches
+from lexispark.llm.common import Scratch, remembered, short_batches, trim
 
 BLOCK = 256
 PERCENTILE = 0.97
 #: A segment is closed once it holds so many ids.
 SEGMENT_IDS = 65536
 END_ID = 2
-#: Words in a generation of those whose ids a worker remembers; it keeps two generations.
-CACHE_WORDS = 600_000
+#: Words in a generation of those whose ids a worker remembers, some 200 bytes each; it keeps two generations.
+CACHE_WORDS = 400_000
 #: Characters in which str.split and the tokenizer's white space differ, and U+0000.
 _APART = "\x00\x1c\x1d\x1e\x1f"
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -230,10 +229,9 @@ class WordEncoder:
         return [self.whole(t) if w else np.frombuffer(b"".join(map(get, t.split())), np.uint32) for t, w in zip(texts, whole, strict=True)]
 
 
-@lru_cache(1)
 def word_encoder(path: str) -> WordEncoder:
-    """One for each Python worker, with what it remembers, across tasks."""
-    return WordEncoder(path)
+    """One for each Python worker, with what it remembers, across tasks, until another operator remembers something."""
+    return remembered(f"tokens {path}", lambda: WordEncoder(path))
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -264,6 +262,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
                     yield close()
         if ids:
             yield close()
+        trim()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, SEGMENT).write.option("compression", "zstd").parquet(out)

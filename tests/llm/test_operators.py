@@ -172,15 +172,26 @@ def test_family_levels(spark):
     from lexispark.llm.common import Scratch
 
     family = suffixes.IndexFamily(spark, Scratch(spark, "test"))
-    batches = [spark.createDataFrame([(k,) for k in ks], "key long") for ks in ([1, 2, 2], [3, 4], [1, 5], [6])]
-    sizes, matches = [], []
-    for b in batches[:3]:
-        matches.append({r.key for r in family.add(b).collect()} if len(family.levels) != 1 or len(sizes) == 2 else family.add(b) and None)
-        sizes.append(sorted(family.levels))
-    assert sizes == [[0], [1], [0, 1]] and matches[2] == {1}
-    assert {r.key for r in family.repeated().collect()} == {1, 2}
-    family.add(batches[3])
-    assert sorted(family.levels) == [2] and {r.key for r in family.repeated().collect()} == {1, 2}
+    batches = [[1, 2, 2], [3, 4], [1, 5], [6, 4, 2]]
+    # Seeds that a batch has twice, or shares with a level there is, and levels after it.
+    want = [({2}, [0]), (set(), [1]), ({1}, [0, 1]), ({4, 2}, [2])]
+    for b, (keys, (found, levels)) in enumerate(zip(batches, want, strict=True)):
+        got = family.add(spark.createDataFrame([(k, 10 * b + i, i) for i, k in enumerate(keys)], "key long, doc long, place long")).collect()
+        assert {r.key for r in got} == found and sorted(family.levels) == levels
+        assert all(keys[r.place] == r.key and r.doc == 10 * b + r.place for r in got)
+    array = {r.key: (r.n, r.doc, r.place) for r in family.levels[2][0].collect()}
+    assert {k: n for k, (n, _, _) in array.items()} == {1: 2, 2: 3, 3: 1, 4: 2, 5: 1, 6: 1}
+    assert all(batches[doc // 10][place] == k for k, (_, doc, place) in array.items())
+
+
+def test_results_come_from_the_merge_scans(spark, monkeypatch):
+    rng = random.Random(15)
+    shared = prose(rng, 60)
+    df = docs(spark, [prose(rng, 20) + shared, shared + prose(rng, 20)])
+    assert all(r.n_removed for r in suffixes.remove_repeats(df).collect())
+    add = suffixes.IndexFamily.add
+    monkeypatch.setattr(suffixes.IndexFamily, "add", lambda self, batch: add(self, batch).limit(0))
+    assert not any(r.n_removed for r in suffixes.remove_repeats(df).collect())
 
 
 # 5 secrets
