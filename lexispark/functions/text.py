@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode-aware regular expressions see it, with the separators U+001C to U+001F.
-SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space as Unicode-aware regular expressions see it, with the separators U+001C to U+001F. The flag makes ``\s`` one
+#: test of a character's property: five times as fast as a class that lists the characters.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+#: What has to be replaced to leave single blanks only: runs, and white space other than a blank.
+RUNS = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
+#: The same characters one by one.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# Fixed patterns of the quality rules: words, links, identifiers, and signs that count as text.
+WORD = "[A-Za-zА-Яа-яЁё0-9_]{2,}"
+LINK = r"(?iU)https?://[^\s\x1c-\x1f]+|www\.[^\s\x1c-\x1f]+"
+IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{2,}"
+NOT_USEFUL = "[^\\p{L}\\p{N}.,:;!?()\\[\\]{}+\\-_=/%'\"]"
 # Fixed separators of the chunker, in order of preference.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 # Fixed chunk sizes and overlaps by kind of source.
@@ -16,50 +28,73 @@ MIN_CHARS, MIN_WORDS, MIN_USEFUL_SHARE = 120, 15, 0.55
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def one_blank(text: Column) -> Column:
+    """Every run of white space as one blank, stripped."""
+    return strip(F.regexp_replace(text, RUNS, " "))
 
 
 def clean(text: Column) -> Column:
     """Line ends to LF, runs of white space in a line to one blank, at most one empty line in a row, stripped."""
     lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    joined = F.array_join(F.transform(lines, lambda x: strip(F.regexp_replace(x, f"{SPACE}+", " "))), "\n")
+    joined = F.array_join(F.transform(lines, lambda x: one_blank(x)), "\n")
     return strip(F.regexp_replace(joined, "\n{3,}", "\n\n"))
 
 
+def fold(text: Column) -> Column:
+    """What is compared instead of a line: white space and case aside (sharp s is ss)."""
+    return F.lower(F.upper(one_blank(text)))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def drop_repeated_lines(text: Column) -> Column:
-    """A line equal to the last non-blank kept line (white space and case aside) goes; blank lines between do not matter."""
-    key = lambda x: F.lower(strip(F.regexp_replace(x, f"{SPACE}+", " ")))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("kept"))
+    """A line equal to the last non-blank kept line (white space and case aside) goes; blank lines between do not matter.
+
+    A line that goes equals the kept one before it, so the last non-blank line is all that has to be looked at.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"), fold(x).alias("key")))
+
+    def joined(rows: Column) -> Column:
+        def piece(row: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(rows, i - 1))
+            blank = F.coalesce(row["at"] - before["at"] > 1, F.lit(False))
+            kept = F.coalesce(row["key"] != before["key"], F.lit(True))
+            return F.concat(F.when(blank, "\n").otherwise(""), F.when(kept, F.concat(row["line"], F.lit("\n"))).otherwise(""))
 
-    def step(acc: Column, line: Column) -> Column:
-        k = key(line)
-        repeated = (k != "") & (k == acc["last"])
-        return F.struct(F.when(k == "", acc["last"]).otherwise(k).alias("last"), F.when(repeated, acc["kept"]).otherwise(F.array_append(acc["kept"], line)).alias("kept"))
+        return F.array_join(F.transform(rows, piece), "")
 
-    kept = F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["kept"])
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(let(F.filter(lines, lambda x: x["key"] != ""), joined), "\n{3,}", "\n\n"))
 
 
 def quality_reason(text: Column) -> Column:
     """``useful`` or the first rule that a chunk breaks."""
-    t = strip(text)
-    visible = F.length(F.regexp_replace(t, f"{SPACE}", ""))
-    useful = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-    n_words = F.regexp_count(t, F.lit(r"\S+"))
-    return (
-        F.when(F.coalesce(t, F.lit("")) == "", "empty")
-        .when(F.length(t) < MIN_CHARS, "too_short")
-        .when(n_words < MIN_WORDS, "too_few_words")
-        .when(visible == 0, "no_visible_text")
-        .when(useful / visible < MIN_USEFUL_SHARE, "mostly_symbols")
-        .when((F.regexp_count(t, F.lit(r"https?://\S+")) >= 5) & (n_words < 40), "mostly_links")
-        .otherwise("useful")
-    )
+
+    def judged(t: Column) -> Column:
+        visible = F.length(F.regexp_replace(t, SPACE, ""))
+        useful = F.length(F.regexp_replace(t, NOT_USEFUL, ""))
+        n_words = F.regexp_count(t, F.lit(WORD))
+        return (
+            F.when(F.coalesce(t, F.lit("")) == "", "empty")
+            .when(F.length(t) < MIN_CHARS, "too_short")
+            .when(n_words < MIN_WORDS, "too_few_words")
+            .when(visible == 0, "no_visible_characters")
+            .when(useful / visible < MIN_USEFUL_SHARE, "mostly_symbols")
+            .when((F.regexp_count(t, F.lit(LINK)) >= 5) & (n_words < 40), "mostly_links")
+            .otherwise("useful")
+        )
+
+    return let(strip(text), judged)
 
 
 def code_quality_reason(text: Column) -> Column:
-    t = strip(text)
-    return F.when(F.length(t) < 80, "code_too_short").when(F.regexp_count(t, F.lit("[A-Za-z_][A-Za-z0-9_]{2,}")) < 3, "code_without_identifiers").otherwise("useful")
+    short = lambda t: F.when(F.coalesce(t, F.lit("")) == "", "empty").when(F.length(t) < 80, "code_too_short")
+    return let(strip(text), lambda t: short(t).when(F.regexp_count(t, F.lit(IDENTIFIER)) < 3, "not_enough_code_content").otherwise("useful"))
 
 
 def profile(source_type: Column) -> Column:
@@ -69,33 +104,3 @@ def profile(source_type: Column) -> Column:
     for kind, p in PROFILES.items():
         out = F.when(source_type == kind, pair(p)).otherwise(out)
     return out
-
-
-def chunk_spans(text: Column, size: int, overlap: int) -> Column:
-    """array<struct<s,e>> of fixed-size chunks (0-based, end exclusive) of a stripped text; a chunk ends after the best
-    separator in its last 35 %, else at ``size``."""
-    if overlap >= size:
-        raise ValueError("overlap must be smaller than size")
-    low = int(size * 0.65)
-    n = F.length(text)
-
-    def end_of(start: Column) -> Column:
-        window = F.substring(text, start + low + 1, F.lit(size - low))
-        back = F.reverse(window)
-        cuts = []
-        for sep in SEPARATORS:
-            at = F.instr(back, F.lit(sep[::-1]))
-            cuts.append(F.when(at > 0, start + size - at + 1))
-        return F.when(start + size < n, F.coalesce(*cuts, start + size)).otherwise(n)
-
-    first = F.struct(F.lit(0).alias("s"), F.lit(False).alias("done"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
-
-    def step(acc: Column, _: Column) -> Column:
-        def bound(e: Column) -> Column:
-            after = F.when(e - overlap > acc["s"], e - overlap).otherwise(e)
-            return F.struct(after.alias("s"), (e >= n).alias("done"), F.array_append(acc["spans"], F.struct(acc["s"].alias("s"), e.alias("e"))).alias("spans"))
-
-        return F.when(acc["done"], acc).otherwise(F.get(F.transform(F.array(end_of(acc["s"]).cast("int")), bound), 0))
-
-    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / F.lit(max(1, low - overlap))).cast("int")))
-    return F.when(n > 0, F.aggregate(steps, first, step, lambda acc: acc["spans"])).otherwise(F.array().cast("array<struct<s:int,e:int>>"))

@@ -41,6 +41,40 @@ def normalize_crawl_url(url: Column) -> Column:
     return _join(p, path, F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~F.array_contains(tracked, F.lower(F.split_part(x, F.lit("="), F.lit(1))))))
 
 
+def resolved(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    segments = F.split(path, "/")
+    dots = F.element_at(segments, -1).isin(".", "..")
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+        return F.when(x == ".", acc).when(x == "..", up).otherwise(F.array_append(acc, x))
+
+    joined = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.when(dots, F.concat(joined, F.lit("/"))).otherwise(joined)).otherwise(path)
+
+
+def absolute(base: dict[str, Column], href: Column) -> Column:
+    """A link as a whole URL, by the parts of the page that it stands on."""
+    origin = F.concat(base["scheme"], F.lit("://"), base["host"])
+    folder = F.regexp_replace(base["path"], "[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    rest = F.regexp_extract(href, "([?#].*)?$", 1)
+    path = F.regexp_extract(href, "^([^?#]*)", 1)
+    rooted = F.when(path.startswith("/"), path).when(path == "", base["path"]).otherwise(F.concat(folder, path))
+    whole = F.concat(origin, resolved(rooted), rest)
+    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href)).otherwise(whole)
+
+
+def file_name(url: Column) -> Column:
+    """Last part of the path with its percent codes resolved, else the host, else ``web-document``."""
+    p = parts(url)
+    last = F.element_at(F.split(F.regexp_replace(p["path"], "/+$", ""), "/"), -1)
+    plain = F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+    host = F.regexp_replace(p["host"], r":\d+$", "")
+    return F.coalesce(F.nullif(F.coalesce(plain, last), F.lit("")), F.nullif(host, F.lit("")), F.lit("web-document"))
+
+
 def source_type(url: Column) -> Column:
     p = parts(url)
     segments = F.size(F.filter(F.split(p["path"], "/"), lambda x: x != ""))

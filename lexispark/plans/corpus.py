@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexispark.functions import documents, ids, text, urls
-from lexispark.operators import prompts, sync
-from lexispark.plans.queries import _ALL_VIEWS, ORACLES, QUERIES, all_chunks, query, table
+from lexispark.operators import chat, pipelines, prompts, sync
+from lexispark.plans.queries import _SPACE, _VIEWS, ORACLES, QUERIES, _stripped, all_chunks, chunk_ctes, query, reason_sql, table
 from lexispark.sources import crawl
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -24,12 +24,25 @@ def src2_crawl(spark, sf_dir):
 _HOST = "lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1))"
 
 
-@query(f"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) || '://' || {_HOST} AS origin, unnest(regexp_extract_all(coalesce(nullif(regexp_extract(html, '(?is)<body\\b[^>]*>(.*)</body>', 1), ''), html), '<a href="(/[^"#?]*)"', 1)) AS href FROM pages)
-SELECT DISTINCT page_id, origin || href AS link FROM p
-WHERE len(list_intersect(string_split(lower(href), '/'), ['login','logout','signin','signup','register','search','account','profile','settings','privacy','terms','feed','feedback','sandbox'])) = 0""")
+# Articles of this table have no links: in every page whose id is not divisible by 4 the article is another element, so that
+# links are taken from the body, and some links of other kinds are added; in the others nothing is found.
+_VARIANT = """CASE WHEN page_id % 4 = 0 THEN html ELSE concat(replace(replace(html, '<article', '<section'), '</article', '</section'), '<a href="../up/./p?utm_source=x&amp;b=2&amp;a=1">u</a><a href="pic.PNG">i</a><a href="doc.pdf">d</a><a href="mailto:x@y">m</a><a href="https://elsewhere.example/z">z</a></body>') END"""
+
+
+@query(f"""WITH v AS (SELECT page_id, url, {_VARIANT} AS html FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) || '://' || {_HOST} AS origin, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS base,
+  CASE WHEN page_id % 4 = 0 THEN regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1) ELSE coalesce(nullif(regexp_extract(html, '(?is)<body\\b[^>]*>(.*)</body>', 1), ''), html) END AS part FROM v),
+h AS (SELECT page_id, origin, base, unnest(regexp_extract_all(part, '<a href="([^"]*)"', 1)) AS href FROM p),
+a AS (SELECT page_id, CASE WHEN href LIKE '/%' THEN regexp_replace(href, '[?#].*$', '') WHEN href = 'doc.pdf' THEN regexp_replace(base, '[^/]*$', '') || 'doc.pdf'
+  WHEN href LIKE '../up%' THEN CASE WHEN regexp_replace(base, '[^/]*$', '') IN ('', '/') THEN '' ELSE regexp_replace(regexp_replace(base, '[^/]*$', ''), '[^/]+/$', '') END || 'up/p' END AS path,
+  CASE WHEN href LIKE '../up%' THEN '?a=1&b=2' WHEN href LIKE '/%?%' THEN '?' || array_to_string(list_sort(string_split(regexp_extract(href, '\\?([^#]*)', 1), '&')), '&') ELSE '' END AS q, origin FROM h),
+n AS (SELECT page_id, origin, CASE WHEN path = '/' THEN '/' ELSE regexp_replace(CASE WHEN path LIKE '/%' THEN path ELSE '/' || path END, '/+$', '') END AS path, q FROM a WHERE path IS NOT NULL)
+SELECT DISTINCT page_id, origin || path || q AS link FROM n
+WHERE len(list_intersect(string_split(lower(path), '/'), ['login','logout','signin','signup','register','search','account','profile','settings','privacy','terms','feed','feedback','sandbox'])) = 0
+  AND lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) IN ('', '.html', '.htm', '.txt', '.md', '.markdown', '.json', '.xml', '.csv', '.pdf', '.docx', '.pptx')""")
 def flt8_admitted_links(spark, sf_dir):
-    """Over the whole body: the articles of this table have no links."""
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(crawl.links(F.col("url"), F.col("html"), ("body",))).alias("link"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_VARIANT).alias("html"))
+    return pages.select("page_id", F.explode(crawl.links(F.col("url"), F.col("html"))).alias("link"))
 
 
 @query(f"""WITH u AS (SELECT page_id, {_HOST} AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM u)
@@ -46,13 +59,54 @@ def str18_source_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize_source_url(F.col("url")).alias("url"))
 
 
-@query()
+def _without(html: str, *tags: str) -> str:
+    for tag in tags:
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '<x>', 'g')"
+    return f"regexp_replace(regexp_replace({html}, '(?s)<!--.*?-->', '<x>', 'g'), '<[A-Za-z/!][^>]*>', chr(1), 'g')"
+
+
+_ENTITIES = "replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+@query(f"""WITH p AS (SELECT page_id, string_split({_without('html', 'script', 'style', 'noscript', 'nav', 'footer')}, chr(1)) AS nodes FROM pages),
+t AS (SELECT page_id, array_to_string(list_filter(list_transform(nodes, lambda x: {_stripped(_ENTITIES)}), lambda x: x <> ''), chr(10)) AS text FROM p)
+SELECT page_id, length(text)::INTEGER AS n_chars, sha256(text) AS content_hash FROM t""")
 def str24_html_text(spark, sf_dir):
     t = documents.html_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", t.alias("text")).select("page_id", F.length("text").alias("n_chars"), ids.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query()
+_NOISE_LINES = (
+    "cookies?|accept cookies?|cookie settings|privacy policy|terms( of service| and conditions)?|sign in|log in|login|register|sign up|subscribe|newsletter|advertisement|sponsored|share|share this|read more|load more|back to top|menu|navigation|home|"
+    "войти|регистрация|зарегистрироваться|подписаться|поделиться|реклама|читать далее|читать ещё|загрузить ещё|наверх|меню|главная|политика конфиденциальности|пользовательское соглашение"
+)
+_NOISE_PHRASES = (
+    "we use cookies|this website uses cookies|accept all cookies|manage cookies|используем cookie|используем файлы cookie|согласие на обработку|настройки cookie|all rights reserved|все права защищены|follow us on|подписывайтесь на нас|"
+    "share on facebook|share on twitter|share on linkedin|поделиться в facebook|поделиться в twitter|поделиться в telegram|поделиться в телеграм"
+)
+
+
+def _noise(key: str) -> str:
+    """SQL for whether a line is noise, by its key (lower case, runs of white space to one blank, stripped)."""
+    tokens = f"regexp_extract_all({key}, '[A-Za-zА-Яа-яЁё0-9_]{{2,}}')"
+    social = f"len({tokens}) > 0 AND len(list_filter({tokens}, lambda w: w NOT IN ('facebook', 'twitter', 'x', 'linkedin', 'telegram', 'youtube', 'instagram', 'vk'))) = 0"
+    return f"({key} = '' OR regexp_matches({key}, '^({_NOISE_LINES})$') OR regexp_matches({key}, '{_NOISE_PHRASES}') OR ({social}))"
+
+
+def clean_ctes(source: str, name: str) -> str:
+    """CTEs up to ``name(id, t)``: the web texts ``t`` of ``source(id, t)`` cleaned. Entities and compatibility forms are
+    left as they are: the driver's tables hold none."""
+    lines = f"string_split(regexp_replace(t, '\\r\\n?', chr(10), 'g'), chr(10))"
+    one = _stripped("regexp_replace(line, '[ \\t]+', ' ', 'g')")
+    key = "lower(" + _stripped(f"regexp_replace(line, '{_SPACE}+', ' ', 'g')") + ")"
+    return f"""{name}_l AS (SELECT id, unnest({lines}) AS line, generate_subscripts({lines}, 1) AS i FROM {source}),
+{name}_k AS (SELECT id, i, {one} AS line, {key} AS k FROM {name}_l), {name}_f AS (SELECT * FROM {name}_k WHERE line = '' OR NOT {_noise('k')}),
+{name}_n AS (SELECT id, k, line, row_number() OVER (PARTITION BY id ORDER BY i) AS j, i FROM {name}_f), {name}_p AS (SELECT id, i, line, k, lag(k) OVER w AS before, j - lag(j) OVER w AS gap FROM {name}_n WHERE k <> '' WINDOW w AS (PARTITION BY id ORDER BY i)),
+{name}_j AS (SELECT id, string_agg(CASE WHEN gap > 1 THEN chr(10) ELSE '' END || CASE WHEN before IS NULL OR k <> before THEN line || chr(10) ELSE '' END, '' ORDER BY i) AS t FROM {name}_p GROUP BY id),
+{name} AS (SELECT s.id, CASE WHEN s.t IS NOT NULL THEN {_stripped("regexp_replace(coalesce(j.t, ''), '\\n{3,}', chr(10) || chr(10), 'g')")} END AS t FROM {source} s LEFT JOIN {name}_j j USING (id))"""
+
+
+@query(f"WITH d AS (SELECT doc_id AS id, text AS t FROM documents), {clean_ctes('d', 'c')} SELECT id AS doc_id, sha256(t) AS content_hash FROM c")
 def str5_clean_documents(spark, sf_dir):
     cleaned = documents.clean_document(F.col("text"), F.lit("web"), F.lit(False))
     return table(spark, sf_dir, "documents").select("doc_id", cleaned.alias("t")).select("doc_id", ids.content_hash(F.col("t")).alias("content_hash"))
@@ -94,50 +148,44 @@ def win7_reindexed_chunks(spark, sf_dir):
     return prompts.reindex(left).select("vec_id", "document_id", "chunk_index", "document_chunk_count")
 
 
-@query("""SELECT vec_id AS point_id, CASE WHEN vec_id % 4 = 0 THEN 'new' ELSE 'old' END AS payload FROM embeddings WHERE vec_id % 6 <> 5 OR vec_id % 4 = 0""")
+@query("""SELECT vec_id AS point_id, CASE WHEN vec_id % 8 = 0 THEN 'newer' WHEN vec_id % 4 = 0 THEN 'new' ELSE 'old' END AS payload FROM embeddings WHERE vec_id % 6 <> 5 OR vec_id % 4 = 0""")
 def snk7_vector_upsert(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return sync.latest_points(e.filter("vec_id % 6 <> 5").selectExpr("vec_id AS point_id", "'old' AS payload"), e.filter("vec_id % 4 = 0").selectExpr("vec_id AS point_id", "'new' AS payload"))
+    writes = e.filter("vec_id % 4 = 0").selectExpr("vec_id AS point_id", "'new' AS payload", "1 AS write_order").union(e.filter("vec_id % 8 = 0").selectExpr("vec_id AS point_id", "'newer' AS payload", "2 AS write_order"))
+    return sync.latest_points(e.filter("vec_id % 6 <> 5").selectExpr("vec_id AS point_id", "'old' AS payload"), writes)
 
 
-@query("""SELECT vec_id FROM embeddings WHERE vec_id % 12 NOT IN (SELECT doc_id FROM documents WHERE doc_id < 12 AND doc_id % 5 = 2)""")
+@query(f"WITH {_VIEWS} SELECT id AS vec_id FROM chunks WHERE document_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 = 2)")
 def snk5_delete_chunks(spark, sf_dir):
-    gone = table(spark, sf_dir, "documents").filter("doc_id < 12 AND doc_id % 5 = 2").select(F.col("doc_id").alias("document_id"))
-    return table(spark, sf_dir, "embeddings").selectExpr("vec_id", "vec_id % 12 AS document_id").join(gone, "document_id", "left_anti").select("vec_id")
-
-
-@query(f"WITH {_ALL_VIEWS} SELECT id AS vec_id FROM chunks WHERE document_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 = 2)")
-def snk5_delete_chunks_all(spark, sf_dir):
     gone = table(spark, sf_dir, "documents").filter("doc_id % 5 = 2").select(F.col("doc_id").alias("document_id"))
     return all_chunks(spark, sf_dir).join(gone, "document_id", "left_anti").select(F.col("id").alias("vec_id"))
 
 
 @query("""SELECT conv_id, max(turn) AS last_turn, count(*) AS messages FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id DESC LIMIT 200""")
 def top6_sessions(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count("*").alias("messages")).orderBy(F.desc("last_turn"), F.desc("conv_id")).limit(200)
+    return chat.sessions(table(spark, sf_dir, "conversations"), 500)
 
 
-@query(r"""SELECT count(*) AS raw, count(*) FILTER (n >= 15 AND c >= 120) AS kept, round(100.0 * count(*) FILTER (n >= 15 AND c >= 120) / count(*), 6) AS percent FROM (SELECT len(regexp_extract_all(text, '\S+')) AS n, length(text) AS c FROM documents)""")
-def agg4_filter_ratio(spark, sf_dir):
-    long_enough = (F.regexp_count("text", F.lit(r"\S+")) >= text.MIN_WORDS) & (F.length("text") >= text.MIN_CHARS)
-    kept = F.count_if(long_enough)
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("raw"), kept.alias("kept"), F.round(100.0 * kept / F.count("*"), 6).alias("percent"))
+def _judged(spark, sf_dir):
+    """All chunks of the documents as web texts of one source for each language."""
+    docs = table(spark, sf_dir, "documents").selectExpr("lang AS source_id", "doc_id AS document_id", "'web' AS source_type", "'text' AS document_type", "text")
+    return pipelines.judged_chunks(docs)
 
 
-def _cleaned_chunks(spark, sf_dir):
-    """Chunks of the documents as web texts, cleaned before and after they are cut."""
-    web = lambda c: documents.clean_document(F.col(c), F.lit("web"), F.lit(False)).alias("text")
-    whole = table(spark, sf_dir, "documents").select(web("text")).withColumn("kind", F.lit("web"))
-    cut = whole.select(F.explode(documents.document_chunks("text", "kind", F.lit("text"))).alias("chunk"))
-    return cut.select(web("chunk")).select(documents.chunk_quality_reason(F.col("text"), F.lit("web")).alias("reason"))
+_KEYS = _stripped(f"regexp_replace(y, '{_SPACE}+', ' ', 'g')")
+_LINES = f"list_filter(list_transform(string_split(t, chr(10)), lambda y: lower({_KEYS})), lambda y: y <> '')"
+_JUDGED = f"""WITH RECURSIVE d AS (SELECT doc_id AS id, text AS t FROM documents), {clean_ctes('d', 'c')}, {chunk_ctes('c', 1400, 150, 'cut')},
+filled AS (SELECT id AS document_id, (row_number() OVER (PARTITION BY id ORDER BY i) - 1)::INTEGER AS raw_index, x FROM (SELECT id, i, {_stripped('substr(t, s + 1, e - s)')} AS x FROM cut) WHERE x <> ''),
+pieces AS (SELECT (document_id, raw_index) AS id, x AS t FROM filled), {clean_ctes('pieces', 'again')}, r AS (SELECT id, t, {reason_sql('t')} AS reason FROM again),
+j AS (SELECT id[1] AS document_id, id[2] AS raw_index, CASE WHEN reason = 'useful' AND 2 * len(list_filter({_LINES}, lambda z: {_noise('z')})) >= len({_LINES}) THEN 'web_boilerplate' ELSE reason END AS reason FROM r)"""
 
 
-@query()
-def str7_quality_reasons_chunks(spark, sf_dir):
-    return _cleaned_chunks(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
+@query(f"{_JUDGED} SELECT document_id, raw_index, reason FROM j")
+def str7_chunk_reasons(spark, sf_dir):
+    return _judged(spark, sf_dir).select("document_id", "raw_index", "reason")
 
 
-@query()
-def agg4_filter_ratio_chunks(spark, sf_dir):
+@query(f"{_JUDGED} SELECT count(*) AS raw, count(*) FILTER (reason = 'useful') AS kept, round(100.0 * count(*) FILTER (reason = 'useful') / count(*), 6) AS percent FROM j")
+def agg4_filter_ratio(spark, sf_dir):
     kept = F.count_if(F.col("reason") == "useful")
-    return _cleaned_chunks(spark, sf_dir).agg(F.count("*").alias("raw"), kept.alias("kept"), F.round(100.0 * kept / F.count("*"), 6).alias("percent"))
+    return _judged(spark, sf_dir).agg(F.count("*").alias("raw"), kept.alias("kept"), F.round(100.0 * kept / F.count("*"), 6).alias("percent"))

@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexispark.functions import ids, text, urls
+from lexispark.functions import documents, ids, text, urls
 from lexispark.operators import chat, evaluation, retrieval, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,108 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Stand-ins for the store's tables, over the driver's.
+# Stand-ins for the store's tables, over the driver's: chunks belong to any of the documents, and every vector whose id is
+# divisible by 20 is asked.
 _VIEWS = """
-chunks AS (SELECT vec_id AS id, vec_id % 12 AS document_id, vec_id // 12 AS chunk_index FROM embeddings),
-docs AS (SELECT doc_id AS id, doc_id % 4 AS source_id, doc_id % 5 <> 2 AS is_active FROM documents WHERE doc_id < 12),
-sources AS (SELECT i AS id, CASE WHEN i = 3 THEN 'failed' ELSE 'indexed' END AS status FROM range(4) r(i))"""
-
-
-def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "vec_id % 12 AS document_id", "vec_id DIV 12 AS chunk_index")
-    docs = table(spark, sf_dir, "documents").filter("doc_id < 12").selectExpr("doc_id AS id", "doc_id % 4 AS source_id", "doc_id % 5 <> 2 AS is_active")
-    return chunks, docs, spark.range(4).selectExpr("id", "CASE WHEN id = 3 THEN 'failed' ELSE 'indexed' END AS status")
-
-
-_HITS = f"""WITH {_VIEWS},
-hits AS (
-  SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score
-  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 100)"""
-
-
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "embeddings")
-    return retrieval.top_n(points, points.filter("vec_id = 0"))
-
-
-@query(f"{_HITS} SELECT * FROM hits")
-def top1_vector_top_n(spark, sf_dir):
-    return hits(spark, sf_dir)
-
-
-@query(f"""{_HITS},
-valid AS (
-  SELECT c.id AS chunk_id, c.document_id, c.chunk_index, h.score, d.source_id FROM hits h JOIN chunks c ON c.id = h.vec_id JOIN docs d ON d.id = c.document_id AND d.is_active
-  JOIN sources s ON s.id = d.source_id AND s.status = 'indexed')
-SELECT source_id, document_id, chunk_id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) AS rn FROM valid)
-WHERE rn <= 4 ORDER BY score DESC, chunk_id LIMIT 20""")
-def top2_candidate_retrieval(spark, sf_dir):
-    points = table(spark, sf_dir, "embeddings")
-    return retrieval.retrieve(points, points.filter("vec_id = 0"), *views(spark, sf_dir))
-
-
-@query(f"""{_HITS}
-SELECT count(*) AS hits, count(*) FILTER (c.id IS NULL) AS no_chunk, count(*) FILTER (d.id IS NULL) AS no_document, count(*) FILTER (NOT d.is_active) AS inactive, count(*) FILTER (s.status <> 'indexed') AS not_indexed
-FROM hits h LEFT JOIN chunks c ON c.id = h.vec_id LEFT JOIN docs d ON d.id = c.document_id LEFT JOIN sources s ON s.id = d.source_id""")
-def flt3_validity_counters(spark, sf_dir):
-    chunks, docs, sources = views(spark, sf_dir)
-    h = hits(spark, sf_dir).join(chunks.withColumnRenamed("id", "c"), F.col("c") == F.col("vec_id"), "left")
-    h = h.join(docs.withColumnRenamed("id", "d"), F.col("d") == F.col("document_id"), "left").join(F.broadcast(sources.withColumnRenamed("id", "s")), F.col("s") == F.col("source_id"), "left")
-    return h.agg(F.count("*").alias("hits"), F.count_if(F.col("c").isNull()).alias("no_chunk"), F.count_if(F.col("d").isNull()).alias("no_document"), F.count_if(~F.col("is_active")).alias("inactive"), F.count_if(F.col("status") != "indexed").alias("not_indexed"))
-
-
-@query(f"""WITH {_VIEWS} SELECT c.id, c.document_id, c.chunk_index, d.source_id FROM chunks c JOIN docs d ON d.id = c.document_id JOIN sources s ON s.id = d.source_id WHERE d.is_active AND s.status = 'indexed'""")
-def jn2_valid_chunks(spark, sf_dir):
-    chunks, docs, sources = views(spark, sf_dir)
-    d = docs.filter("is_active").select(F.col("id").alias("document_id"), "source_id")
-    s = sources.filter("status = 'indexed'").select(F.col("id").alias("source_id"))
-    return chunks.join(d, "document_id").join(F.broadcast(s), "source_id").select("id", "document_id", "chunk_index", "source_id")
-
-
-@query(f"""WITH {_VIEWS} SELECT d.source_id, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM chunks c JOIN docs d ON d.id = c.document_id GROUP BY 1""")
-def agg5_counts_by_source(spark, sf_dir):
-    chunks, docs, _ = views(spark, sf_dir)
-    joined = chunks.join(docs.select(F.col("id").alias("document_id"), "source_id"), "document_id")
-    # One partial sum for each document first: count distinct then needs no second pass over the chunks.
-    return joined.groupBy("source_id", "document_id").agg(F.count("*").alias("n")).groupBy("source_id").agg(F.sum("n").alias("chunks"), F.count("*").alias("documents"))
-
-
-def _ranked(spark, sf_dir):
-    """Ten fixed questions (vectors 0..9) against all vectors; documents are vec_id % 97, relevant are those of equal label."""
-    points = table(spark, sf_dir, "embeddings")
-    asked = F.broadcast(points.filter("vec_id < 10").select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("q"), F.col("label").alias("wanted")))
-    from lexispark.functions.vectors import dot
-
-    scored = points.join(asked, F.col("vec_id") != F.col("case_id")).select("case_id", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "vec_id"))).filter("rank <= 40")
-    gold = points.join(asked, (F.col("label") == F.col("wanted")) & (F.col("vec_id") != F.col("case_id"))).select("case_id", (F.col("vec_id") % 97).alias("document_id"))
-    return ranked.select("case_id", "rank", (F.col("vec_id") % 97).alias("document_id")), gold
-
-
-_METRICS = """WITH asked AS (SELECT vec_id AS case_id, embedding AS q, label AS wanted FROM embeddings WHERE vec_id < 10),
-scored AS (SELECT case_id, vec_id, row_number() OVER (PARTITION BY case_id ORDER BY round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]), 6) DESC, vec_id) AS rank FROM embeddings JOIN asked ON vec_id <> case_id),
-first AS (SELECT case_id, vec_id % 97 AS document_id, min(rank) AS r FROM scored WHERE rank <= 40 GROUP BY ALL),
-ranked AS (SELECT case_id, document_id, row_number() OVER (PARTITION BY case_id ORDER BY r, document_id) AS rank FROM first),
-gold AS (SELECT DISTINCT case_id, vec_id % 97 AS document_id FROM embeddings JOIN asked ON label = wanted AND vec_id <> case_id),
-totals AS (SELECT case_id, count(*) AS n_relevant FROM gold GROUP BY 1),
-sums AS (SELECT r.case_id, k, count(*) AS n, count(g.case_id) AS found, min(rank) FILTER (g.case_id IS NOT NULL) AS f
-  FROM ranked r LEFT JOIN gold g USING (case_id, document_id), (VALUES (3), (5), (10), (20)) ks(k) WHERE rank <= k GROUP BY ALL),
-metrics AS (SELECT t.case_id, ks.k, (coalesce(found, 0) > 0)::DOUBLE AS hit_rate, round(coalesce(found / n, 0), 6) AS precision, round(coalesce(found, 0) / n_relevant, 6) AS recall, round(coalesce(1 / f, 0), 6) AS reciprocal_rank
-  FROM totals t CROSS JOIN (VALUES (3), (5), (10), (20)) ks(k) LEFT JOIN sums s ON s.case_id = t.case_id AND s.k = ks.k)"""
-
-
-@query(f"{_METRICS} SELECT * FROM metrics")
-def fn9_ranking_metrics(spark, sf_dir):
-    return evaluation.ranking_metrics(*_ranked(spark, sf_dir))
-
-
-@query(f"{_METRICS} SELECT k, count(*) AS case_count, round(avg(hit_rate), 6) AS hit_rate, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr FROM metrics GROUP BY k")
-def agg6_macro_average(spark, sf_dir):
-    return evaluation.macro_average(evaluation.ranking_metrics(*_ranked(spark, sf_dir)))
-
-
-# The same over whole tables: chunks belong to any of the documents, and every vector whose id is divisible by 20 is asked.
-_ALL_VIEWS = """
 chunks AS (SELECT vec_id AS id, vec_id % n AS document_id, vec_id // n AS chunk_index FROM embeddings, (SELECT greatest(count(*), 1) AS n FROM documents)),
 docs AS (SELECT doc_id AS id, doc_id % 4 AS source_id, doc_id % 5 <> 2 AS is_active FROM documents),
 sources AS (SELECT i AS id, CASE WHEN i = 3 THEN 'failed' ELSE 'indexed' END AS status FROM range(4) r(i))"""
@@ -141,7 +41,7 @@ def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id").crossJoin(F.broadcast(total)).selectExpr("vec_id AS id", "vec_id % n AS document_id", "vec_id DIV n AS chunk_index")
 
 
-def all_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "doc_id % 4 AS source_id", "doc_id % 5 <> 2 AS is_active")
     return all_chunks(spark, sf_dir), docs, spark.range(4).selectExpr("id", "CASE WHEN id = 3 THEN 'failed' ELSE 'indexed' END AS status")
 
@@ -151,56 +51,62 @@ def asked_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return points, points.filter("vec_id % 20 = 0")
 
 
-_ALL_HITS = f"""WITH {_ALL_VIEWS},
+_HITS = f"""WITH {_VIEWS},
 scores AS (
   SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score
   FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0),
 hits AS (SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 100)"""
 
 
-@query(f"WITH {_ALL_VIEWS} SELECT c.id, c.document_id, c.chunk_index, d.source_id FROM chunks c JOIN docs d ON d.id = c.document_id JOIN sources s ON s.id = d.source_id WHERE d.is_active AND s.status = 'indexed'")
-def jn2_valid_chunks_all(spark, sf_dir):
-    chunks, docs, sources = all_views(spark, sf_dir)
+@query(f"WITH {_VIEWS} SELECT c.id, c.document_id, c.chunk_index, d.source_id FROM chunks c JOIN docs d ON d.id = c.document_id JOIN sources s ON s.id = d.source_id WHERE d.is_active AND s.status = 'indexed'")
+def jn2_valid_chunks(spark, sf_dir):
+    chunks, docs, sources = views(spark, sf_dir)
     d = docs.filter("is_active").select(F.col("id").alias("document_id"), "source_id")
     s = sources.filter("status = 'indexed'").select(F.col("id").alias("source_id"))
     return chunks.join(d, "document_id").join(F.broadcast(s), "source_id").select("id", "document_id", "chunk_index", "source_id")
 
 
-@query(f"WITH {_ALL_VIEWS} SELECT d.source_id, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM chunks c JOIN docs d ON d.id = c.document_id GROUP BY 1")
-def agg5_counts_by_source_all(spark, sf_dir):
-    chunks, docs, _ = all_views(spark, sf_dir)
+@query(f"WITH {_VIEWS} SELECT d.source_id, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM chunks c JOIN docs d ON d.id = c.document_id GROUP BY 1")
+def agg5_counts_by_source(spark, sf_dir):
+    chunks, docs, _ = views(spark, sf_dir)
     joined = chunks.join(docs.select(F.col("id").alias("document_id"), "source_id"), "document_id")
     return joined.groupBy("source_id", "document_id").agg(F.count("*").alias("n")).groupBy("source_id").agg(F.sum("n").alias("chunks"), F.count("*").alias("documents"))
 
 
-@query(f"{_ALL_HITS} SELECT * FROM hits")
-def top1_vector_top_n_all(spark, sf_dir):
+@query(f"{_HITS} SELECT * FROM hits")
+def top1_vector_top_n(spark, sf_dir):
     return retrieval.top_n_each(*asked_points(spark, sf_dir))
 
 
-@query(f"""{_ALL_HITS},
+@query(f"""{_HITS},
 valid AS (
   SELECT h.query_id, c.id AS chunk_id, c.document_id, c.chunk_index, h.score, d.source_id FROM hits h JOIN chunks c ON c.id = h.vec_id JOIN docs d ON d.id = c.document_id AND d.is_active
   JOIN sources s ON s.id = d.source_id AND s.status = 'indexed'),
 capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS rn FROM valid)
 SELECT query_id, source_id, document_id, chunk_id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM capped WHERE rn <= 4) WHERE place <= 20""")
-def top2_candidate_retrieval_all(spark, sf_dir):
-    return retrieval.retrieve_each(*asked_points(spark, sf_dir), *all_views(spark, sf_dir))
+def top2_candidate_retrieval(spark, sf_dir):
+    return retrieval.retrieve_each(*asked_points(spark, sf_dir), *views(spark, sf_dir))
 
 
-@query(f"""{_ALL_HITS}
-SELECT h.query_id, count(*) AS hits, count(*) FILTER (c.id IS NULL) AS no_chunk, count(*) FILTER (d.id IS NULL) AS no_document, count(*) FILTER (NOT d.is_active) AS inactive, count(*) FILTER (s.status <> 'indexed') AS not_indexed
-FROM hits h LEFT JOIN chunks c ON c.id = h.vec_id LEFT JOIN docs d ON d.id = c.document_id LEFT JOIN sources s ON s.id = d.source_id GROUP BY h.query_id""")
-def flt3_validity_counters_all(spark, sf_dir):
-    chunks, docs, sources = all_views(spark, sf_dir)
-    # What is known of each chunk is joined first: hits are more than chunks.
-    known = chunks.withColumnRenamed("id", "c").join(docs.withColumnRenamed("id", "d"), F.col("d") == F.col("document_id"), "left").join(F.broadcast(sources.withColumnRenamed("id", "s")), F.col("s") == F.col("source_id"), "left")
-    h = retrieval.top_n_each(*asked_points(spark, sf_dir)).join(known, F.col("c") == F.col("vec_id"), "left")
-    return h.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(F.col("c").isNull()).alias("no_chunk"), F.count_if(F.col("d").isNull()).alias("no_document"), F.count_if(~F.col("is_active")).alias("inactive"), F.count_if(F.col("status") != "indexed").alias("not_indexed"))
+@query(f"""{_HITS},
+held AS (SELECT id, document_id, chunk_index FROM chunks WHERE id % 19 <> 0), known AS (SELECT id, id % 5 AS source_id, is_active FROM docs WHERE id % 23 <> 0),
+v AS (SELECT h.query_id, h.vec_id, h.score, c.document_id, CASE WHEN h.vec_id % 13 = 0 OR c.id IS NULL THEN 'missing_chunk' WHEN d.id IS NULL THEN 'missing_document' WHEN NOT d.is_active THEN 'inactive_document'
+  WHEN s.id IS NULL THEN 'missing_source' WHEN s.status <> 'indexed' THEN 'source_status' ELSE 'valid' END AS v
+  FROM hits h LEFT JOIN held c ON c.id = h.vec_id LEFT JOIN known d ON d.id = c.document_id LEFT JOIN sources s ON s.id = d.source_id),
+j AS (SELECT query_id, CASE WHEN v = 'valid' AND row_number() OVER (PARTITION BY query_id, document_id, v ORDER BY score DESC, vec_id) > 4 THEN 'document_limit' ELSE v END AS v FROM v)
+SELECT query_id, count(*) AS hits, count(*) FILTER (v = 'missing_chunk') AS missing_chunk, count(*) FILTER (v = 'missing_document') AS missing_document, count(*) FILTER (v = 'inactive_document') AS inactive_document,
+  count(*) FILTER (v = 'missing_source') AS missing_source, count(*) FILTER (v = 'source_status') AS source_status, count(*) FILTER (v = 'document_limit') AS document_limit, count(*) FILTER (v = 'valid') AS valid FROM j GROUP BY 1""")
+def flt3_validity_counters(spark, sf_dir):
+    """Some payloads are no numbers, and some chunks, documents and sources are missing."""
+    chunks, docs, sources = views(spark, sf_dir)
+    payload = F.when(F.col("vec_id") % 13 == 0, "none").otherwise(F.col("vec_id").cast("string"))
+    hits = retrieval.top_n_each(*asked_points(spark, sf_dir)).select("query_id", payload.alias("chunk_id"), "score")
+    known = docs.filter("id % 23 <> 0").withColumn("source_id", F.col("id") % 5)
+    return retrieval.verdict_counts(retrieval.judged_hits(hits, chunks.filter("id % 19 <> 0"), known, sources))
 
 
-def _ranked_all(spark, sf_dir):
-    """Every vector whose id is divisible by 20 against all others; documents and relevance as in _ranked."""
+def _ranked(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all others; documents are vec_id % 97, relevant are those of equal label."""
     points, asked = asked_points(spark, sf_dir)
     ranked = retrieval.top_n_each(points, asked, 40, unit=False, own=False).select(F.col("query_id").alias("case_id"), "rank", (F.col("vec_id") % 97).alias("document_id"))
     # Documents of each label with their numbers of vectors: a question's own vector does not count.
@@ -209,17 +115,26 @@ def _ranked_all(spark, sf_dir):
     return ranked, gold.select("case_id", "document_id")
 
 
-_ALL_METRICS = _METRICS.replace("WHERE vec_id < 10", "WHERE vec_id % 20 = 0")
+_METRICS = """WITH asked AS (SELECT vec_id AS case_id, embedding AS q, label AS wanted FROM embeddings WHERE vec_id % 20 = 0),
+scored AS (SELECT case_id, vec_id, row_number() OVER (PARTITION BY case_id ORDER BY round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]), 6) DESC, vec_id) AS rank FROM embeddings JOIN asked ON vec_id <> case_id),
+first AS (SELECT case_id, vec_id % 97 AS document_id, min(rank) AS r FROM scored WHERE rank <= 40 GROUP BY ALL),
+ranked AS (SELECT case_id, document_id, row_number() OVER (PARTITION BY case_id ORDER BY r, document_id) AS rank FROM first),
+gold AS (SELECT DISTINCT case_id, vec_id % 97 AS document_id FROM embeddings JOIN asked ON label = wanted AND vec_id <> case_id),
+totals AS (SELECT case_id, count(*) AS n_relevant FROM gold GROUP BY 1),
+sums AS (SELECT r.case_id, k, count(*) AS n, count(g.case_id) AS found, min(rank) FILTER (g.case_id IS NOT NULL) AS f
+  FROM ranked r LEFT JOIN gold g USING (case_id, document_id), (VALUES (3), (5), (10), (20)) ks(k) WHERE rank <= k GROUP BY ALL),
+metrics AS (SELECT t.case_id, ks.k, (coalesce(found, 0) > 0)::DOUBLE AS hit_rate, round(coalesce(found / n, 0), 6) AS precision, round(coalesce(found, 0) / n_relevant, 6) AS recall, round(coalesce(1 / f, 0), 6) AS reciprocal_rank
+  FROM totals t CROSS JOIN (VALUES (3), (5), (10), (20)) ks(k) LEFT JOIN sums s ON s.case_id = t.case_id AND s.k = ks.k)"""
 
 
-@query(f"{_ALL_METRICS} SELECT * FROM metrics")
-def fn9_ranking_metrics_all(spark, sf_dir):
-    return evaluation.ranking_metrics(*_ranked_all(spark, sf_dir))
+@query(f"{_METRICS} SELECT * FROM metrics")
+def fn9_ranking_metrics(spark, sf_dir):
+    return evaluation.ranking_metrics(*_ranked(spark, sf_dir))
 
 
-@query(f"{_ALL_METRICS} SELECT k, count(*) AS case_count, round(avg(hit_rate), 6) AS hit_rate, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr FROM metrics GROUP BY k")
-def agg6_macro_average_all(spark, sf_dir):
-    return evaluation.macro_average(evaluation.ranking_metrics(*_ranked_all(spark, sf_dir)))
+@query(f"{_METRICS} SELECT k, count(*) AS case_count, round(avg(hit_rate), 6) AS hit_rate, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr FROM metrics GROUP BY k")
+def agg6_macro_average(spark, sf_dir):
+    return evaluation.macro_average(evaluation.ranking_metrics(*_ranked(spark, sf_dir)))
 
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -238,27 +153,48 @@ def str1_clean_and_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ids.content_hash(cleaned).alias("content_hash"), F.length(cleaned).alias("cleaned_chars"))
 
 
-_QUALITY = f"""WITH s AS (SELECT key, {_stripped('t')} AS t FROM (SELECT 'd' || doc_id AS key, text AS t FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations UNION ALL SELECT 'p' || page_id, html FROM pages)),
-m AS (SELECT *, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS visible, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS useful, len(regexp_extract_all(t, '\\S+')) AS n_words, len(regexp_extract_all(t, 'https?://\\S+')) AS n_urls FROM s)
-SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(t, '') = '' THEN 'empty' WHEN length(t) < 120 THEN 'too_short' WHEN n_words < 15 THEN 'too_few_words' WHEN visible = 0 THEN 'no_visible_text'
-  WHEN useful / visible < 0.55 THEN 'mostly_symbols' WHEN n_urls >= 5 AND n_words < 40 THEN 'mostly_links' ELSE 'useful' END AS reason FROM m) GROUP BY reason"""
+# The signs beside letters and digits that count as text, as a class of either regular expression language.
+_NOT_USEFUL = r"[^\p{L}\p{N}.,:;!?()\[\]{}+\-_=/%''" + '"]'
+_NOT_SPACE = "[^" + _SPACE[1:]
+
+
+def reason_sql(t: str) -> str:
+    """SQL for why a stripped text is not useful, code and web rules aside."""
+    visible = f"length(regexp_replace({t}, '{_SPACE}', '', 'g'))"
+    words = f"len(regexp_extract_all({t}, '[A-Za-zА-Яа-яЁё0-9_]{{2,}}'))"
+    return f"""CASE WHEN coalesce({t}, '') = '' THEN 'empty' WHEN length({t}) < 120 THEN 'too_short' WHEN {words} < 15 THEN 'too_few_words' WHEN {visible} = 0 THEN 'no_visible_characters'
+  WHEN length(regexp_replace({t}, '{_NOT_USEFUL}', '', 'g')) / {visible} < 0.55 THEN 'mostly_symbols' WHEN len(regexp_extract_all({t}, '(?i)https?://{_NOT_SPACE}+|www\\.{_NOT_SPACE}+')) >= 5 AND {words} < 40 THEN 'mostly_links' ELSE 'useful' END"""
+
+
+_TEXTS = "SELECT 'd' AS kind, doc_id AS id, text AS t FROM documents UNION ALL SELECT 'c', conv_id * 100000 + turn, text FROM conversations UNION ALL SELECT 'p', page_id, html FROM pages"
 
 
-@query(_QUALITY)
+@query(f"SELECT kind, id, {reason_sql('t')} AS reason FROM (SELECT kind, id, {_stripped('t')} AS t FROM ({_TEXTS}))")
 def str7_quality_reasons(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select("text").union(table(spark, sf_dir, "conversations").select("text")).union(table(spark, sf_dir, "pages").select("html"))
-    return texts.select(text.quality_reason(F.col("text")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    texts = table(spark, sf_dir, "documents").selectExpr("'d' AS kind", "doc_id AS id", "text AS t").union(table(spark, sf_dir, "conversations").selectExpr("'c'", "conv_id * 100000 + turn", "text"))
+    return texts.union(table(spark, sf_dir, "pages").selectExpr("'p'", "page_id", "html")).select("kind", "id", text.quality_reason(F.col("t")).alias("reason"))
 
 
-@query()
+def chunk_ctes(source: str, size: int, overlap: int, name: str) -> str:
+    """A CTE ``name(id, i, s, e, t)``: the fixed-size chunks of the stripped, non-empty texts ``t`` of ``source(id, t)``. The
+    window of a cut is read backwards, so that the first find of a separator is its last."""
+    low = int(size * 0.65)
+    cut = ", ".join(f"CASE WHEN strpos(b, {x}) > 0 THEN s + {size + 1} - strpos(b, {x}) END" for x in ("chr(10) || chr(10)", "chr(10)", "' .'", "' !'", "' ?'", "' ;'", "' ,'", "' '"))
+    end = f"CASE WHEN s + {size} < length(t) THEN coalesce({cut}, s + {size}) ELSE length(t) END"
+    return f"""{name} AS (SELECT id, 0::BIGINT AS i, s, ({end})::BIGINT AS e, t FROM (SELECT id, t, 0::BIGINT AS s, reverse(substr(t, {low + 1}, {size - low})) AS b FROM {source} WHERE t <> '')
+  UNION ALL SELECT id, i, s, ({end})::BIGINT, t FROM (SELECT id, i, s, t, reverse(substr(t, s + {low + 1}, {size - low})) AS b
+    FROM (SELECT id, i + 1 AS i, t, CASE WHEN e - {overlap} > s THEN e - {overlap} ELSE e END AS s FROM {name} WHERE e < length(t))))"""
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {_stripped('text')} AS t FROM documents), {chunk_ctes("d", 1400, 150, "cut")}
+SELECT id AS doc_id, i::INTEGER AS chunk_index, s::INTEGER AS start, e::INTEGER AS "end", sha256({_stripped('substr(t, s + 1, e - s)')}) AS content_hash FROM cut""")
 def str10_chunks(spark, sf_dir):
-    stripped = table(spark, sf_dir, "documents").select("doc_id", text.strip(F.col("text")).alias("t"))
-    spans = stripped.select("doc_id", "t", F.posexplode(text.chunk_spans(F.col("t"), 1400, 150)).alias("chunk_index", "span"))
-    content = F.substring("t", F.col("span.s") + 1, F.col("span.e") - F.col("span.s"))
-    return spans.select("doc_id", "chunk_index", F.col("span.s").alias("start"), F.col("span.e").alias("end"), ids.content_hash(text.strip(content)).alias("content_hash"))
+    spans = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(documents.spans_of(1400, 150)("text")).alias("chunk_index", "x"))
+    return spans.select("doc_id", "chunk_index", F.col("x.s").alias("start"), F.col("x.e").alias("end"), ids.content_hash(F.col("x.chunk")).alias("content_hash"))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('1:' || doc_id || ':0:' || sha256(text))) AS h FROM documents)
+SELECT doc_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
 def fn2_point_ids(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", ids.point_id(F.lit(1), F.col("doc_id"), F.lit(0), ids.content_hash(F.col("text"))).alias("point_id"))
@@ -285,9 +221,14 @@ def snk2_document_upsert(spark, sf_dir):
     return sync.plan_upsert(*_sides(spark, sf_dir))
 
 
-@query(f"{_SYNC} SELECT outcome, count(*) AS n FROM plan GROUP BY outcome")
+@query(f"""{_SYNC}, f AS (SELECT external_id, CASE WHEN external_id::BIGINT % 17 = 0 THEN 'failed' ELSE outcome END AS outcome FROM plan)
+SELECT count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed,
+  (SELECT string_agg(m, '; ' ORDER BY external_id) FROM (SELECT external_id, 'could not read ' || external_id AS m FROM f WHERE outcome = 'failed' ORDER BY external_id LIMIT 3)) AS messages FROM f""")
 def agg3_ingestion_outcomes(spark, sf_dir):
-    return sync.plan_upsert(*_sides(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
+    plan = sync.plan_upsert(*_sides(spark, sf_dir))
+    broke = F.col("external_id").cast("long") % 17 == 0
+    rows = plan.select("external_id", F.when(broke, "failed").otherwise(F.col("outcome")).alias("outcome"), F.concat(F.lit("could not read "), "external_id").alias("error"))
+    return sync.outcome_counts(rows).withColumn("messages", F.array_join("messages", "; "))
 
 
 @query("""SELECT vec_id % 50 AS document_id, (bool_and(vec_id % 211 <> 5) AND min(expected) = max(expected) AND max(expected) = count(*) AND min(i) = 0 AND max(i) = count(*) - 1 AND count(DISTINCT i) = count(*)) AS current
@@ -337,28 +278,13 @@ def str19_crawl_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize_crawl_url(F.col("url")).alias("url"))
 
 
-# Fixed keyword rules, first match wins.
-CATEGORIES = (("purchase", "ARCHIVE"), ("signup", "CORE"), ("error", "SYSTEM"), ("view", "SEARCH"))
-
-
-@query("""SELECT category, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT value, CASE WHEN contains(event_type, 'purchase') THEN 'ARCHIVE' WHEN contains(event_type, 'signup') THEN 'CORE' WHEN contains(event_type, 'error') THEN 'SYSTEM' WHEN contains(event_type, 'view') THEN 'SEARCH' ELSE 'ANALYSIS' END AS category FROM events) GROUP BY category""")
-def flt22_log_categories(spark, sf_dir):
-    category = F.lit("ANALYSIS")
-    for word, name in reversed(CATEGORIES):
-        category = F.when(F.contains("event_type", F.lit(word)), name).otherwise(category)
-    return table(spark, sf_dir, "events").groupBy(category.alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
-
-
 @query("""SELECT event_id, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 80)""")
 def agg12_recent_entries(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(F.desc("event_id")).limit(80).select("event_id", "event_type")
 
 
-@query("""WITH a AS (SELECT DISTINCT label, vec_id % 97 AS d FROM embeddings)
-SELECT x.label AS a, y.label AS b, round(100.0 * count(*) / ((SELECT count(*) FROM a WHERE label = x.label) + (SELECT count(*) FROM a WHERE label = y.label) - count(*)), 6) AS overlap FROM a x JOIN a y ON x.d = y.d AND x.label < y.label GROUP BY x.label, y.label""")
+@query("""WITH a AS (SELECT DISTINCT label, vec_id % 4 AS s, vec_id % 97 AS d FROM embeddings)
+SELECT x.label AS a, y.label AS b, count(*) AS common, round(100.0 * count(*) / ((SELECT count(*) FROM a WHERE label = x.label) + (SELECT count(*) FROM a WHERE label = y.label) - count(*)), 6) AS overlap
+FROM a x JOIN a y ON x.d = y.d AND x.s = y.s AND x.label < y.label GROUP BY x.label, y.label""")
 def jn8_document_overlap(spark, sf_dir):
-    sets = table(spark, sf_dir, "embeddings").selectExpr("label", "vec_id % 97 AS d").distinct()
-    sized = sets.join(sets.groupBy("label").agg(F.count("*").alias("n")), "label")
-    x, y = (sized.select("d", F.col("label").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    both = x.join(y, "d").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return both.select("a", "b", F.round(100.0 * F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("overlap"))
+    return evaluation.overlap(table(spark, sf_dir, "embeddings").selectExpr("label AS query_id", "vec_id % 4 AS source_id", "vec_id % 97 AS document_id"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lexispark.functions import urls
+from lexispark.functions import classify, urls
 
 # Paths, wiki name spaces and query keys that are not followed.
 IGNORED_PARTS = ("login", "logout", "signin", "signup", "register", "search", "account", "profile", "settings", "privacy", "terms", "feed", "feedback", "sandbox")
@@ -41,45 +42,149 @@ def ignored_fandom(title: Column) -> Column:
     return _prefixed(F.replace(title, F.lit(" "), F.lit("_")), FANDOM_PREFIXES)
 
 
-CONTENT = ("main", "article", "body")
+CONTENT = ("main", "article", "role", "body")
+HREF = "(?is)<a\\b[^>]*?\\bhref=[\"']([^\"']*)[\"']"
 
 
 def content(page: Column, within: tuple[str, ...] = CONTENT) -> Column:
     """The part of a page that links are taken from: the first element of ``within`` that it has, else all of it."""
-    found = [F.nullif(F.regexp_extract(page, f"(?is)<{tag}\\b[^>]*>(.*)</{tag}>", 1), F.lit("")) for tag in within]
+    by_role = F.nullif(F.regexp_extract(page, "(?is)<(\\w+)\\b[^>]*\\brole=[\"']main[\"'][^>]*>(.*)</\\1>", 2), F.lit(""))
+    found = [by_role if tag == "role" else F.nullif(F.regexp_extract(page, f"(?is)<{tag}\\b[^>]*>(.*)</{tag}>", 1), F.lit("")) for tag in within]
     return F.coalesce(*found, page)
 
 
+def hrefs(page: Column) -> Column:
+    return F.transform(F.regexp_extract_all(page, F.lit(HREF), F.lit(1)), lambda h: F.trim(F.replace(h, F.lit("&amp;"), F.lit("&"))))
+
+
 def links(url: Column, page: Column, within: tuple[str, ...] = CONTENT) -> Column:
     """Sorted distinct URLs of the same host that a page links to and that are followed."""
     base = urls.parts(url)
-    origin = F.concat(base["scheme"], F.lit("://"), base["host"])
-    folder = F.regexp_replace(base["path"], "[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
+    wanted = F.filter(hrefs(content(page, within)), lambda h: (h != "") & ~F.exists(F.array(*map(F.lit, SCHEMES_SKIPPED)), lambda s: F.startswith(h, s)))
+    full = F.transform(wanted, lambda h: urls.normalize_crawl_url(urls.absolute(base, h)))
+
+    def followed(u: Column) -> Column:
+        kind = classify.suffix(urls.parts(u)["path"])
+        return u.isNotNull() & (urls.parts(u)["host"] == base["host"]) & ~ignored_path(u) & ~ignored_wiki(u) & kind.isin(*classify.CRAWLED_EXTENSIONS)
+
+    return F.array_sort(F.array_distinct(F.filter(full, followed)))
+
+
+def fandom_links(pages: DataFrame, prefix: str = "/wiki/") -> DataFrame:
+    """page_id, place, title, url of the wiki pages that ``pages(page_id, url, html)`` link to: titles that differ in case
+    and underscores only are one, at the place of its first link and with the title and URL of its last."""
+    base = urls.parts(F.col("url"))
+    found = pages.select("page_id", base["host"].alias("host"), F.posexplode(F.transform(hrefs(F.col("html")), lambda h: urls.absolute(base, h))).alias("at", "link"))
+    p = urls.parts(F.col("link"))
+    found = found.filter((F.col("link") != "") & (p["host"] == F.col("host")) & p["path"].startswith(prefix))
+    raw = F.substring(p["path"], len(prefix) + 1, 1 << 20)
+    title = F.trim(F.replace(F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw), F.lit("_"), F.lit(" ")))
+    found = found.select("page_id", "at", title.alias("title"), F.concat(p["scheme"], F.lit("://"), F.col("host"), p["path"]).alias("url"), raw.alias("raw"))
+    found = found.filter((F.col("raw") != "") & ~ignored_fandom(F.col("title")))
+    last = F.max_by(F.struct("title", "url"), "at")
+    return found.groupBy("page_id", F.lower("title").alias("key")).agg(F.min("at").alias("place"), last.alias("last")).select("page_id", "place", "last.title", "last.url")
+
 
-    def absolute(h: Column) -> Column:
-        rooted = F.when(h.startswith("//"), F.concat(base["scheme"], F.lit(":"), h)).when(h.startswith("/"), F.concat(origin, h))
-        return F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).otherwise(F.coalesce(rooted, F.concat(origin, folder, h)))
+def grabber(url: Column) -> Column:
+    """Which crawl a web source takes: ``fandom`` for wikis of that host, else ``site``."""
+    host = F.regexp_replace(urls.parts(url)["host"], r":\d+$", "")
+    return F.when(host.endswith(".fandom.com"), "fandom").otherwise("site")
 
-    hrefs = F.transform(F.regexp_extract_all(content(page, within), F.lit("(?is)<a\\b[^>]*?\\bhref=[\"']([^\"']*)[\"']"), F.lit(1)), F.trim)
-    wanted = F.filter(hrefs, lambda h: (h != "") & ~F.exists(F.array(*map(F.lit, SCHEMES_SKIPPED)), lambda s: F.startswith(F.lower(h), s)))
-    full = F.transform(wanted, lambda h: urls.normalize_crawl_url(absolute(h)))
-    kept = F.filter(full, lambda u: u.isNotNull() & (urls.parts(u)["host"] == base["host"]) & ~ignored_path(u) & ~ignored_wiki(u))
-    return F.array_sort(F.array_distinct(kept))
+
+def _settled(level: DataFrame) -> DataFrame:
+    """A level cut off from what it came from: by a checkpoint where the session has a folder for it, else kept."""
+    reliable = level.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return level.checkpoint() if reliable else level.persist()
 
 
 def crawl(edges: DataFrame, roots: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """page, depth of the first ``max_pages`` pages by (depth, page) within ``max_depth`` links of ``roots(page)``.
 
-    ``edges(source, target)``. One join and one anti join for each level; each level is cut off by a checkpoint where
-    the session has a folder for them. Limits are clamped to 1 page and depth 0 at least.
+    ``edges(source, target)``. One join and one anti join for each level, up to the level that fills ``max_pages``.
+    Limits are clamped to 1 page and depth 0 at least.
     """
     max_pages, max_depth = max(1, int(max_pages)), max(0, int(max_depth))
-    reliable = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     frontier = seen = roots.select("page", F.lit(0).alias("depth")).distinct()
+    n = 0
     for depth in range(1, max_depth + 1):
         reached = edges.join(frontier.select(F.col("page").alias("source")), "source").select(F.col("target").alias("page")).distinct()
-        frontier = reached.join(seen.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = frontier.checkpoint() if reliable else frontier
-        seen = seen.unionByName(frontier)
+        frontier = _settled(reached.join(seen.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)))
+        new = frontier.count()
+        n, seen = n + new, seen.unionByName(frontier)
+        if not new or n >= max_pages:
+            break
     return seen.orderBy("depth", "page").limit(max_pages)
+
+
+def crawl_site(pages: DataFrame, root: str, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """url, depth, parent, mime_type of the documents that a breadth-first crawl from ``root`` takes.
+
+    ``pages(url, final_url, mime_type, html)`` holds what was fetched; final_url (null: none) is where a redirect ended,
+    a page with null html failed. A page is visited once by its own and by its final URL; HTML pages are expanded, other
+    supported files taken only. A root that failed is an error; other failures are skipped. Of several parents of one
+    level the smallest URL counts; within a level documents are in order of their URLs.
+    """
+    max_pages, max_depth = max(1, int(max_pages)), max(0, int(max_depth))
+    at = lambda c: urls.normalize_crawl_url(F.col(c))
+    kind = classify.suffix(urls.parts(F.col("url"))["path"])
+    html = classify.is_html(F.col("mime_type"), kind)
+    fetched = pages.filter(F.col("html").isNotNull() & (html | classify.is_crawled(F.col("mime_type"), kind)))
+    fetched = fetched.select(at("url").alias("asked"), F.coalesce(at("final_url"), at("url")).alias("url"), "mime_type", html.alias("is_html"), "html")
+    spark = pages.sparkSession
+    frontier = spark.range(1).select(urls.normalize_crawl_url(F.lit(root)).alias("asked"), F.lit(None).cast("string").alias("parent"))
+    visited, taken, n = frontier.select("asked"), None, 0
+    for depth in range(max_depth + 1):
+        got = fetched.join(frontier, "asked").groupBy("url").agg(F.min(F.struct("parent", "mime_type", "is_html", "html")).alias("p")).select("url", "p.*")
+        if taken is not None:
+            got = got.join(taken.select("url"), "url", "left_anti")
+        level = _settled(got.withColumn("depth", F.lit(depth)))
+        new = level.count()
+        if not depth and not new:
+            raise ValueError(f"the root {root} could not be fetched")
+        rows = level.select("url", "depth", "parent", "mime_type")
+        taken = rows if taken is None else taken.unionByName(rows)
+        n += new
+        if not new or n >= max_pages or depth == max_depth:
+            break
+        found = level.filter("is_html").select(F.col("url").alias("parent"), F.explode(links(F.col("url"), F.col("html"))).alias("asked"))
+        visited = visited.unionByName(level.select(F.col("url").alias("asked")))
+        frontier = _settled(found.groupBy("asked").agg(F.min("parent").alias("parent")).join(visited, "asked", "left_anti"))
+        visited = visited.unionByName(frontier.select("asked"))
+    return taken.orderBy("depth", "url").limit(max_pages)
+
+
+def search_hits(results: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, rank, url, title, snippet of ``results(query_id, position, url, title, snippet)`` of a web search: empty
+    and other than http(s) URLs go, fragments too, the first of equal URLs stays, a missing title is the host's name.
+    ``most`` is clamped to 1..20."""
+    most = min(20, max(1, int(most)))
+    url = F.trim(F.coalesce("url", F.lit("")))
+    plain = results.withColumn("url", F.regexp_replace(url, "#.*$", "")).filter(F.col("url").rlike("^(?i)https?:"))
+    first = Window.partitionBy("query_id", "url").orderBy("position")
+    once = plain.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
+    host = F.nullif(F.regexp_replace(urls.parts(F.col("url"))["host"], r":\d+$", ""), F.lit(""))
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), host, F.lit("Internet source"))
+    order = Window.partitionBy("query_id").orderBy("position")
+    ranked = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return ranked.select("query_id", "rank", "url", title.alias("title"), F.trim(F.coalesce("snippet", F.lit(""))).alias("snippet"))
+
+
+# Fixed patterns: what a request to search begins with, in two languages.
+SEARCH_PREFIXES = (
+    r"^\s*(?:пожалуйста\s+)?(?:поищи|найди|посмотри)(?:\s+тогда)?(?:\s+мне)?(?:\s+ответ)?(?:\s+в\s+интернете|\s+в\s+сети|\s+онлайн)?(?:\s+информацию)?(?:\s+про|\s+о|\s+об)?(?:\s+то)?[\s,:;-]*",
+    r"^\s*(?:please\s+)?(?:search|find|look\s+up)(?:\s+the)?(?:\s+answer)?(?:\s+online|\s+on\s+the\s+web|\s+on\s+the\s+internet)?(?:\s+for|\s+about)?[\s,:;-]*",
+)
+QUERY_CHARS, DOMAIN_WORD = 240, "Frostpunk"
+
+
+def web_query(question: Column, word: str = DOMAIN_WORD) -> Column:
+    """A question as a search query: without its prefix, cut at a blank, with the domain's word in front."""
+    q = F.trim(question)
+    for p in SEARCH_PREFIXES:
+        q = F.regexp_replace(q, f"(?iu){p}", "")
+    q = F.btrim(F.regexp_replace(q, r"\s+", " "), F.lit(" ,.;:-"))
+    q = F.when(q == "", F.trim(question)).otherwise(q)
+    cut = F.substring(q, 1, QUERY_CHARS)
+    at_blank = F.nullif(F.trim(F.regexp_replace(cut, " [^ ]*$", "")), F.lit(""))
+    q = F.when(F.length(q) > QUERY_CHARS, F.coalesce(at_blank, q)).otherwise(q)
+    return F.when(F.contains(F.lower(q), F.lit(word.lower())), q).otherwise(F.concat(F.lit(f"{word} "), q))

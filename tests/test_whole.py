@@ -6,8 +6,8 @@ import __spark_entry__ as entry
 from lexispark.operators import retrieval
 
 SMALL = "/root/testdata/sf0.001"
-DOCUMENTS = ("jn2_valid_chunks_all", "agg5_counts_by_source_all", "snk5_delete_chunks_all")
-QUESTIONS = ("top1_vector_top_n_all", "top2_candidate_retrieval_all", "flt3_validity_counters_all", "fn9_ranking_metrics_all", "agg6_macro_average_all")
+DOCUMENTS = ("jn2_valid_chunks", "agg5_counts_by_source", "snk5_delete_chunks")
+QUESTIONS = ("top1_vector_top_n", "top2_candidate_retrieval", "flt3_validity_counters", "fn9_ranking_metrics", "agg6_macro_average")
 
 
 def by_sql(name):
@@ -27,12 +27,12 @@ def test_whole_tables(spark, name):
 
 
 def test_documents_beyond_the_first_twelve(spark):
-    assert entry.queries()["jn2_valid_chunks_all"](spark, SMALL).filter("document_id >= 12").count() > 0
+    assert entry.queries()["jn2_valid_chunks"](spark, SMALL).filter("document_id >= 12").count() > 0
 
 
 def test_every_twentieth_vector_is_asked(spark):
     asked = spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id % 20 = 0").count()
-    assert entry.queries()["fn9_ranking_metrics_all"](spark, SMALL).select("case_id").distinct().count() == asked > 10
+    assert entry.queries()["fn9_ranking_metrics"](spark, SMALL).select("case_id").distinct().count() == asked > 10
 
 
 def test_blocks_give_the_same(spark):
