@@ -45,7 +45,7 @@ def clean(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """What is compared instead of a line: white space and case aside (sharp s is ss)."""
-    return F.lower(F.upper(one_blank(text)))
+    return F.replace(F.lower(one_blank(text)), F.lit("ß"), F.lit("ss"))
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

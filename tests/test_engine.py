@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.functions import ids, text, urls
+from lexispark.functions import documents, ids, text, urls
 from lexispark.operators import chat, evaluation, retrieval, sync
 
 
@@ -35,11 +35,12 @@ def chunks(t, size, overlap):
 
 def test_chunks(spark):
     texts = ["a", "x" * 100, "x" * 101, "word " * 80, "One. Two! " * 30, "p\n\nq" * 60, "a;b, c? " * 40]
-    got = column(spark, texts, lambda v: text.chunk_spans(v, 100, 15))
-    assert [[tuple(s) for s in g] for g in got] == [chunks(t, 100, 15) for t in texts]
-    assert column(spark, ["", None], lambda v: text.chunk_spans(v, 100, 15))[0] == []
+    spans = documents.spans_of(100, 15)
+    got = column(spark, texts, spans)
+    assert [[(s.s, s.e) for s in g] for g in got] == [chunks(t.strip(), 100, 15) for t in texts]
+    assert column(spark, ["", None], spans) == [[], None]
     with pytest.raises(ValueError):
-        text.chunk_spans(F.col("v"), 10, 10)
+        documents.spans_of(10, 10)
 
 
 def test_cleaning(spark):
@@ -49,9 +50,10 @@ def test_cleaning(spark):
 
 def test_quality(spark):
     words = "plain words " * 20
-    rows = ["", None, "short", "longword" * 20, words, "### $$$ %%% " * 15, "see http://a.example/x/y/z?q=abcdef " * 6]
-    assert column(spark, rows, text.quality_reason) == ["empty", "empty", "too_short", "too_few_words", "useful", "mostly_symbols", "too_few_words"]
-    assert column(spark, ["x" * 79, "1 2 3 " * 20, "def name(value): return value " * 4], text.code_quality_reason) == ["code_too_short", "code_without_identifiers", "useful"]
+    rows = ["", None, "short", "longword" * 20, words, "### $$$ %%% " * 15, "see http://a.example/x/y/z?q=abcdef " * 6, "ab ### $$$ " * 20, "ab ((( --- " * 20, "go WWW.a.example/path/to/page " * 5, "a b c d " * 30, "\u3000" * 200]
+    want = ["empty", "empty", "too_short", "too_few_words", "useful", "too_few_words", "mostly_links", "mostly_symbols", "useful", "mostly_links", "too_few_words", "empty"]
+    assert column(spark, rows, text.quality_reason) == want
+    assert column(spark, ["x" * 79, "1 2 3 " * 20, "def name(value): return value " * 4], text.code_quality_reason) == ["code_too_short", "not_enough_code_content", "useful"]
 
 
 def test_ids(spark):
