@@ -48,6 +48,8 @@ SHINGLES_AT_ONCE = 200_000
 PLANES = 3
 #: Standard deviations that a sketch's differing bits may exceed what is expected at the least similarity.
 DEVIATIONS = 4.5
+#: Open members of a bucket that are compared with all of it in one task.
+SLICE = 1000
 #: Up to so many ids, the candidates' ids go to the documents by broadcast; beyond that, by a shuffled join.
 BROADCAST_IDS = 250_000
 _U = np.uint64
@@ -297,9 +299,13 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     linked, known = linked.unionByName(more), extend(known, more, scratch, "components-3")
     open_ = open_.drop("component").join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = scratch.keep(open_, "open-3")
+    # A bucket with many members is compared in slices: each of them meets all of the bucket's members in a task of its own.
+    sliced = open_.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices"))
+    open_ = open_.join(sliced, "bucket")
     longs = -(-COORDINATES // 64)
     parts = range(longs * PLANES)
-    left, right = (open_.select("bucket", *[F.col(c).alias(f"{r}_{c}") for c in ("rep", "component", "size", "own", "bands")], *[F.get("bits", F.lit(i)).alias(f"{r}{i}") for i in parts]) for r in "ab")
+    dealt = {"a": F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("slices") - 1))}
+    left, right = (open_.select("bucket", dealt[r].alias("slice"), *[F.col(c).alias(f"{r}_{c}") for c in ("rep", "component", "size", "own", "bands")], *[F.get("bits", F.lit(i)).alias(f"{r}{i}") for i in parts]) for r in "ab")
     unlike = [F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in parts]
     differing = sum((F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), unlike[i::longs])) for i in range(longs)), F.lit(0))
     bound = lambda x, y: F.col(f"{x}_size") - F.col(f"{x}_own") >= (F.col(f"{y}_size") + F.col(f"{x}_own")) * F.lit(least)
@@ -307,7 +313,7 @@ def cluster(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Band hashes tell their band: what stands before the bucket's in both lists is where the pair may have met before.
     before = lambda r: F.slice(f"{r}_bands", F.lit(1), F.array_position("a_bands", left["bucket"]).cast("int") - 1)
     alike = alike & ~F.arrays_overlap(before("a"), before("b"))
-    pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_rep") > F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & alike)
+    pairs = left.join(right, (left["bucket"] == right["bucket"]) & (left["slice"] == right["slice"]) & (F.col("a_rep") > F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & alike)
     pairs = pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
     pairs = pairs.join(candidates.select("a", "b").union(spokes), ["a", "b"], "left_anti")
     more = scratch.keep(verify(pairs, texts, least), "links-4")

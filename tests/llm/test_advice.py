@@ -1,6 +1,7 @@
 """Cases of the first review."""
 
 import math
+import random
 
 import numpy as np
 
@@ -41,3 +42,19 @@ def test_sketch_bound_and_tree_links(spark):
     assert lost < 1e-5
     found = neardup.classes(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"))
     assert "n_tree_links" in found.columns and "n_links" not in found.columns
+
+
+def test_sliced_buckets_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(80)] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    run = lambda: sorted((r.doc_id, r.class_id) for r in neardup.classes(df).collect())
+    whole = run()
+    monkeypatch.setattr(neardup, "SLICE", 3)
+    assert run() == whole and 1 < len({c for _, c in whole}) < 60
