@@ -135,3 +135,17 @@ def researched(hits: DataFrame, attempts: int = 3) -> DataFrame:
     tried = prompts.attempted(judged, attempts).select("query_id", "rank", F.lit(True).alias("_tried"))
     status = F.when(F.col("blocked"), "blocked").when(F.col("_tried").isNull(), "untried").when(F.col("known"), "duplicate").when(F.col("importable"), "indexed").otherwise("failed")
     return judged.join(tried, ["query_id", "rank"], "left").withColumn("status", status).select("query_id", "rank", "url", "status")
+
+
+def imported(hits: DataFrame, results: DataFrame, clean_up: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What became of ``hits(position, source_id, outcome)``, registered as added, duplicate or invalid, by the runs of
+    ``results(source_id, status, error)``, and the sources to remove: those that failed, if ``clean_up``. Null status: crashed."""
+    added = F.col("outcome") == "added"
+    joined = hits.join(results, "source_id", "left").withColumn("status", F.coalesce("status", F.lit("failed")))
+    failed = added & ~F.col("status").isin("indexed", "busy")
+    busy = F.coalesce("error", F.lit("Source is already being indexed."))
+    error = F.when(~added, F.col("outcome")).when(F.col("status") == "busy", busy).when(failed, F.col("error"))
+    status = F.when(F.col("outcome") == "duplicate", "duplicate").when(~added, "failed").otherwise(F.col("status"))
+    kept = added & ~failed if clean_up else added
+    told = joined.select("position", F.when(kept, F.col("source_id")).alias("source_id"), status.alias("status"), error.alias("error"))
+    return told, joined.filter(failed & F.lit(clean_up)).select("source_id")

@@ -81,6 +81,34 @@ def delete_points(points: DataFrame, gone: DataFrame, by: str) -> DataFrame:
     return points.join(gone.select(by).distinct(), by, "left_anti")
 
 
+def without_failed(failed: DataFrame, points: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points and chunks after a rebuild that failed for ``failed(document_id)``: what it has written of them goes."""
+    return delete_points(points, failed, "document_id"), chunks.join(failed.select("document_id").distinct(), "document_id", "left_anti")
+
+
+def with_source_name(rows: DataFrame, sources: DataFrame, default: str = "Unknown") -> DataFrame:
+    """``rows`` with source_name, by source_id from ``sources(id, name)``."""
+    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    return rows.join(names, "source_id", "left").withColumn("source_name", F.coalesce("source_name", F.lit(default)))
+
+
+def with_grabbed_facts(sources: DataFrame, documents: DataFrame) -> DataFrame:
+    """Sources after a grab of ``documents(source_id, position, metadata)``: git sources take branch and commit_sha of their
+    first document, web sources etag and last_modified of the first that is_root; keys that are missing become null, and
+    sources without such a document stay as they are."""
+    value = lambda *keys: F.struct(*[F.col("metadata")[k].alias(k) for k in keys])
+    root = F.when(F.lower(F.col("metadata")["is_root"]) == "true", F.col("position"))
+    found = documents.groupBy(F.col("source_id").alias("id")).agg(
+        F.min_by(value("branch", "commit_sha"), F.col("position")).alias("_first"), F.min_by(value("etag", "last_modified"), root).alias("_root")
+    )
+    out = sources.join(found, "id", "left")
+    for kind, of, columns in (("git", "_first", {"git_branch": "branch", "git_commit_sha": "commit_sha"}), ("web", "_root", {"etag": "etag", "last_modified": "last_modified"})):
+        taken = (F.col("source_type") == kind) & F.col(of).isNotNull()
+        for column, key in columns.items():
+            out = out.withColumn(column, F.when(taken, F.col(of)[key]).otherwise(F.col(column)))
+    return out.drop("_first", "_root")
+
+
 def ensure_points_table(spark: SparkSession, name: str, buckets: int = 64) -> None:
     """The table of points, bucketed by source, so that removal and look-up by source need no shuffle; there already: kept."""
     spark.sql(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text
 from lexispark.operators import chat, evaluation, pipelines, prompts, registry, retrieval, sync
-from lexispark.plans import corpus, rules  # noqa: F401
+from lexispark.plans import corpus, rules, shown  # noqa: F401
 from lexispark.plans.queries import _CLEAN, _HITS, _METRICS, _VIEWS, ORACLES, QUERIES, _ranked, _stripped, all_chunks, asked_points, query, table, views
 from lexispark.sources import crawl
 
