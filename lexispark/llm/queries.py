@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontamination, maxscore, mixing, neardup, quality, secrets, suffixes, tokens, toxicity, warc
+from lexispark.llm import decontamination, maxscore, mixing, neardup, periodic, quality, secrets, suffixes, tokens, toxicity, warc
+from lexispark.llm.common import WORD
 
 #: The tokenizer file that op3 uses, and the installed package that knows its place.
 TOKENIZER = "word_bpe_49k.json"
@@ -64,10 +65,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The contract's rewriting: where h % 10 is 0, the n words from a on repeat the first p of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size("_words"), F.floor(h / 10)
+    a = F.pmod(g, n)
+    period = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", F.when(i < a, i).otherwise(a + F.pmod(i - a, period)).cast("int")))
+    # Only the texts to be rewritten are split here.
+    planted = F.when(F.coalesce(h % 10 == 0, F.lit(False)), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = docs.select("doc_id", "text", planted.alias("_words"))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(_with_planted_periods(table(spark, sf_dir, "documents")))
+    # The longest run; of those, the first, then that of the smallest period.
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda a, r: F.when(a.isNull() | (r["length"] > a["length"]), r).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    ops = [op1_mixing, op2_quality, op3_tokens, op4_suffixes, op5_secrets, op6_neardup, op7_warc, op8_maxscore, op9_decontamination, op10_toxicity]
+    ops = [op1_mixing, op2_quality, op3_tokens, op4_suffixes, op5_secrets, op6_neardup, op7_warc, op8_maxscore, op9_decontamination, op10_toxicity, op11_periodic]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -154,8 +181,42 @@ FROM t LEFT JOIN joined USING (doc_id)
 """
 
 
+#: Equal words three in a row at a distance of q, in stretches without a gap, are the words that repeat with period q.
+_PERIODIC = r"""
+WITH bits AS (
+  SELECT doc_id, text, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: list_transform(range(0, 8), lambda b: (ascii(substring(doc_id::VARCHAR, i, 1)) >> b) & 1))) AS bits
+  FROM documents),
+hashed AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, bits::BIGINT[]), lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT) AS h
+  FROM bits),
+places AS (SELECT *, len(words)::BIGINT AS n, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM hashed),
+shaped AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - a) // (3 + (h // 10) % 8) END AS p FROM places),
+word AS (
+  SELECT row, i, CASE WHEN p IS NULL OR i < a THEN words[i + 1] ELSE words[1 + a + (i - a) % p] END AS w
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM shaped)),
+three AS (
+  SELECT row, i, hash(w, lead(w) OVER o, lead(w, 2) OVER o) AS t FROM word WINDOW o AS (PARTITION BY row ORDER BY i)
+  QUALIFY lead(w, 2) OVER o IS NOT NULL),
+pairs AS (SELECT x.row, y.i - x.i AS q, x.i FROM three x JOIN three y ON x.row = y.row AND x.t = y.t AND x.i < y.i),
+stretches AS (
+  SELECT row, q, min(i) AS start, count(*) + 2 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM pairs) GROUP BY row, q, island),
+runs AS (SELECT row, start::BIGINT AS start, length::BIGINT AS length, min(q)::BIGINT AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY row, start, length),
+each AS (
+  SELECT row, count(*) AS n_runs, arg_min({'s': start, 'l': length, 'p': period}, [-length, start, period]) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY row),
+gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT row, string_agg(w, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT s.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s AS start, best.l AS length, best.p AS period, (1000 * best.l) // best.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM shaped s LEFT JOIN each USING (row) LEFT JOIN kept USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op1_mixing": _MIX, "op5_secrets": _SECRETS, "op7_warc": _WARC, "op8_maxscore": _MAXSCORE}
+    found = {"op1_mixing": _MIX, "op5_secrets": _SECRETS, "op7_warc": _WARC, "op8_maxscore": _MAXSCORE, "op11_periodic": _PERIODIC}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
