@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontamination, maxscore, mixing, neardup, periodic, quality, secrets, suffixes, tokens, toxicity, warc
+from lexispark.llm import alignment, decontamination, maxscore, mixing, neardup, packing, periodic, quality, secrets, suffixes, tokens, toxicity, warc
 from lexispark.llm.common import WORD
 
 #: The tokenizer file that op3 uses, and the installed package that knows its place.
@@ -16,10 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +91,18 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    ops = [op1_mixing, op2_quality, op3_tokens, op4_suffixes, op5_secrets, op6_neardup, op7_warc, op8_maxscore, op9_decontamination, op10_toxicity, op11_periodic]
+    ops = [op1_mixing, op2_quality, op3_tokens, op4_suffixes, op5_secrets, op6_neardup, op7_warc, op8_maxscore, op9_decontamination, op10_toxicity, op11_periodic, op12_alignment, op13_packing]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
