@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lexispark.functions import classify, documents, ids, text
 from lexispark.operators import evaluation, prompts, retrieval, sync
+from lexispark.storage import settled
 
 KEY = ("source_id", "external_id")
 
@@ -33,12 +34,14 @@ def parse_files(grabbed: DataFrame) -> DataFrame:
 
 
 def ingest(existing: DataFrame, parsed: DataFrame) -> DataFrame:
-    """One row a key (source_id, external_id) of either side with outcome, error and the resulting document.
+    """Parsed files are written out once, without their texts, before both sides are taken from them: no file is read or
+    parsed twice. One row a key (source_id, external_id) of either side with outcome, error and the resulting document.
 
     ``existing(source_id, external_id, content_hash, version, is_active, title, metadata)``; ``parsed`` as of parse_files,
     keys unique. What failed counts as seen: it stays as it was, active or not, with outcome ``failed``; a failed key
     that was not there before has no version. The rest is upsert_documents, by which missing documents go inactive.
     """
+    parsed = settled(parsed.select(*KEY, "content_hash", "name", "metadata", "error"), "parsed")
     good = parsed.filter("error IS NULL").select(*KEY, "content_hash", F.col("name").alias("title"), "metadata")
     failed = parsed.filter("error IS NOT NULL").select(*[F.col(k).alias(f"_{k}") for k in KEY], "error")
     planned = sync.upsert_documents(existing, good)

@@ -109,12 +109,31 @@ def with_grabbed_facts(sources: DataFrame, documents: DataFrame) -> DataFrame:
     return out.drop("_first", "_root")
 
 
-def ensure_points_table(spark: SparkSession, name: str, buckets: int = 64) -> None:
-    """The table of points, bucketed by source, so that removal and look-up by source need no shuffle; there already: kept."""
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} (point_id STRING, source_id BIGINT, document_id BIGINT, chunk_id BIGINT, embedding ARRAY<FLOAT>) "
-        f"USING parquet CLUSTERED BY (source_id) SORTED BY (document_id) INTO {int(buckets)} BUCKETS"
-    )
+POINTS = "point_id STRING, source_id BIGINT, document_id BIGINT, chunk_id BIGINT, embedding ARRAY<FLOAT>"
+
+
+def ensure_points_table(spark: SparkSession, name: str, buckets: int = 64, path: str | None = None) -> None:
+    """The table of points, bucketed and sorted by document, so that joins, groups and removals by document need no shuffle
+    of points; there already: kept."""
+    at = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({POINTS}) USING parquet CLUSTERED BY (document_id) SORTED BY (document_id) INTO {int(buckets)} BUCKETS{at}")
+
+
+def insert_points(points: DataFrame, name: str) -> DataFrame:
+    """Appends to the table, with one file a bucket and insert; returns the whole table."""
+    spark = points.sparkSession
+    columns = spark.table(name).columns
+    buckets = spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").first()["data_type"]
+    points.select(columns).repartition(int(buckets), "document_id").write.insertInto(name)
+    return spark.table(name)
+
+
+def points_by_document(points: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id, source_id and the number of its points for each of ``documents(id, source_id)``; points are grouped where
+    they lie, and one row for each document that has any is joined."""
+    n = points.groupBy("document_id").agg(F.count("*").alias("n_points"))
+    joined = documents.join(n, documents["id"] == n["document_id"], "left")
+    return joined.select(documents["id"].alias("document_id"), documents["source_id"], F.coalesce("n_points", F.lit(0)).alias("n_points"))
 
 
 def with_status(sources: DataFrame, results: DataFrame, now: Column) -> DataFrame:

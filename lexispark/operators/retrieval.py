@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexispark.functions.vectors import cosine
-
-#: Queries of one block (at 64 components some 2 MB go to each executor), and points that meet a block at once.
-BLOCK, POINTS = 4096, 1024
+from lexispark.operators.vector_index import VectorIndex
 
 
 def top_n(points: DataFrame, query: DataFrame, limit: int = 100) -> DataFrame:
@@ -23,72 +17,13 @@ def top_n(points: DataFrame, query: DataFrame, limit: int = 100) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(limit)
 
 
-class Nearest:
-    """Running best ``limit`` points of one partition for a block of queries, flat: place of the query, score, id."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, limit: int, unit: bool, own: bool):
-        self.ids, self.vectors, self.limit, self.unit, self.own = ids, vectors, limit, unit, own
-        self.best = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-        self.least = np.full(len(ids), -np.inf)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        width = max(vectors.shape[1], self.vectors.shape[1])
-        q, x = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (self.vectors, vectors))
-        scores = q @ x.T
-        if self.unit:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores /= np.sqrt(np.outer((q * q).sum(1), (x * x).sum(1)))
-        scores = np.round(scores, 6)
-        some = scores >= self.least[:, None]  # never for what is not a number
-        if not self.own:
-            some &= self.ids[:, None] != ids
-        at, of = np.nonzero(some)
-        at, score, found = (np.concatenate(x) for x in zip(self.best, (at, scores[at, of], ids[of]), strict=True))
-        order = np.lexsort((found, -score, at))
-        at, score, found = at[order], score[order], found[order]
-        kept = np.arange(len(at)) - np.searchsorted(at, at) < self.limit
-        self.best = at, score, found = at[kept], score[kept], found[kept]
-        full = np.bincount(at, minlength=len(self.ids)) == self.limit
-        self.least[full] = score[np.searchsorted(at, np.flatnonzero(full), "right") - 1]
-
-    def rows(self) -> pa.RecordBatch:
-        at, score, found = self.best
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[at], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
-
-
-def _matrix(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    lists = [np.asarray(v, np.float64) for v in rows.column(1).to_numpy(zero_copy_only=False)]
-    out = np.zeros((len(lists), max(map(len, lists), default=0)))
-    for row, v in zip(out, lists, strict=True):
-        row[: len(v)] = v
-    return rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64), out
-
-
-def top_n_each(points: DataFrame, queries: DataFrame, limit: int = 100, unit: bool = True, own: bool = True, block: int = BLOCK) -> DataFrame:
+def top_n_each(points: DataFrame, queries: DataFrame, limit: int = 100, unit: bool = True, own: bool = True, lists: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` the ``limit`` nearest of ``points`` (both vec_id,
     embedding) by cosine, or by inner product where not ``unit``; ties by id; without ``own``, a query does not meet its
-    own id. Queries go out in blocks of bounded size, one pass over the points for each block."""
-    spark = points.sparkSession
-    whole = lambda df: df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(F.exists("embedding", F.isnull), F.lit(True))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    candidates, asked = whole(points), whole(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = max(1, -(-asked.count() // block))
-    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for b in range(blocks):
-        table = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        if not table.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast(_matrix(table.combine_chunks().to_batches()[0]))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            nearest = Nearest(*sent.value, limit, unit, own)
-            for batch in batches:
-                for start in range(0, batch.num_rows, POINTS):
-                    nearest.add(*_matrix(batch.slice(start, POINTS)))
-            yield nearest.rows()
-
-        found = found.unionByName(candidates.mapInArrow(search, "query_id long, vec_id long, score double"))
+    own id. Exact, over an index of so many inverted lists (see VectorIndex)."""
+    found = VectorIndex(points, unit, lists).search(queries, limit, own)[0]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
 
 
 def retrieve_each(points: DataFrame, queries: DataFrame, chunks: DataFrame, docs: DataFrame, sources: DataFrame, limit: int = 20, over_fetch: int = 100, most: int = 4) -> DataFrame:

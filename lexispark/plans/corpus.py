@@ -76,21 +76,14 @@ def str24_html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.alias("text")).select("page_id", F.length("text").alias("n_chars"), ids.content_hash(F.col("text")).alias("content_hash"))
 
 
-_NOISE_LINES = (
-    "cookies?|accept cookies?|cookie settings|privacy policy|terms( of service| and conditions)?|sign in|log in|login|register|sign up|subscribe|newsletter|advertisement|sponsored|share|share this|read more|load more|back to top|menu|navigation|home|"
-    "войти|регистрация|зарегистрироваться|подписаться|поделиться|реклама|читать далее|читать ещё|загрузить ещё|наверх|меню|главная|политика конфиденциальности|пользовательское соглашение"
-)
-_NOISE_PHRASES = (
-    "we use cookies|this website uses cookies|accept all cookies|manage cookies|используем cookie|используем файлы cookie|согласие на обработку|настройки cookie|all rights reserved|все права защищены|follow us on|подписывайтесь на нас|"
-    "share on facebook|share on twitter|share on linkedin|поделиться в facebook|поделиться в twitter|поделиться в telegram|поделиться в телеграм"
-)
+_NOISE_LINES, _NOISE_PHRASES = "|".join(documents.NOISE_LINES), "|".join(documents.NOISE_PHRASES)
 
 
 def _noise(key: str) -> str:
     """SQL for whether a line is noise, by its key (lower case, runs of white space to one blank, stripped)."""
     tokens = f"regexp_extract_all({key}, '[A-Za-zА-Яа-яЁё0-9_]{{2,}}')"
-    social = f"len({tokens}) > 0 AND len(list_filter({tokens}, lambda w: w NOT IN ('facebook', 'twitter', 'x', 'linkedin', 'telegram', 'youtube', 'instagram', 'vk'))) = 0"
-    return f"({key} = '' OR regexp_matches({key}, '^({_NOISE_LINES})$') OR regexp_matches({key}, '{_NOISE_PHRASES}') OR ({social}))"
+    social = f"len({tokens}) > 0 AND len(list_filter({tokens}, lambda w: w NOT IN {documents.SOCIAL})) = 0"
+    return f"({key} = '' OR regexp_matches({key}, '{_NOISE_LINES}') OR regexp_matches({key}, '{_NOISE_PHRASES}') OR ({social}))"
 
 
 def clean_ctes(source: str, name: str) -> str:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text
 from lexispark.operators import chat, evaluation, pipelines, prompts, registry, retrieval, sync
-from lexispark.plans import corpus, rules, shown  # noqa: F401
+from lexispark.operators.numbering import numbered
+from lexispark.plans import corpus, rules, shown, stores  # noqa: F401
 from lexispark.plans.queries import _CLEAN, _HITS, _METRICS, _VIEWS, ORACLES, QUERIES, _ranked, _stripped, all_chunks, asked_points, query, table, views
 from lexispark.sources import crawl
 
@@ -278,10 +279,9 @@ def shared_words(question, of):
 
 def _asked(spark, sf_dir):
     points, asked = asked_points(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark")
+    items = numbered(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
     total = items.agg(F.count("*").alias("n"))
-    numbered = items.join(items.select(F.col("item_id").alias("_other")), F.col("_other") < F.col("item_id"), "left").groupBy("item_id", "text").agg(F.count("_other").alias("i"))
-    questions = asked.crossJoin(F.broadcast(total)).withColumn("i", F.expr("(vec_id DIV 20) % n")).join(F.broadcast(numbered), "i").select(F.col("vec_id").alias("query_id"), F.col("text").alias("question"), "embedding")
+    questions = asked.crossJoin(F.broadcast(total)).withColumn("number", F.expr("(vec_id DIV 20) % n")).join(items, "number").select(F.col("vec_id").alias("query_id"), F.col("text").alias("question"), "embedding")
     _, docs, sources = views(spark, sf_dir)
     chunks = all_chunks(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"), "document_id")
     docs = docs.selectExpr("*", "concat('Document ', id) AS title", "concat('e', id) AS external_id")

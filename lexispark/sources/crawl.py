@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexispark.functions import classify, urls
+from lexispark.storage import settled
 
 # Paths, wiki name spaces and query keys that are not followed.
 IGNORED_PARTS = ("login", "logout", "signin", "signup", "register", "search", "account", "profile", "settings", "privacy", "terms", "feed", "feedback", "sandbox")
@@ -91,12 +92,6 @@ def grabber(url: Column) -> Column:
     return F.when(host.endswith(".fandom.com"), "fandom").otherwise("site")
 
 
-def _settled(level: DataFrame) -> DataFrame:
-    """A level cut off from what it came from: by a checkpoint where the session has a folder for it, else kept."""
-    reliable = level.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return level.checkpoint() if reliable else level.persist()
-
-
 def crawl(edges: DataFrame, roots: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """page, depth of the first ``max_pages`` pages by (depth, page) within ``max_depth`` links of ``roots(page)``.
 
@@ -108,7 +103,7 @@ def crawl(edges: DataFrame, roots: DataFrame, max_pages: int = MAX_PAGES, max_de
     n = 0
     for depth in range(1, max_depth + 1):
         reached = edges.join(frontier.select(F.col("page").alias("source")), "source").select(F.col("target").alias("page")).distinct()
-        frontier = _settled(reached.join(seen.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = settled(reached.join(seen.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)))
         new = frontier.count()
         n, seen = n + new, seen.unionByName(frontier)
         if not new or n >= max_pages:
@@ -137,7 +132,7 @@ def crawl_site(pages: DataFrame, root: str, max_pages: int = MAX_PAGES, max_dept
         got = fetched.join(frontier, "asked").groupBy("url").agg(F.min(F.struct("parent", "mime_type", "is_html", "html")).alias("p")).select("url", "p.*")
         if taken is not None:
             got = got.join(taken.select("url"), "url", "left_anti")
-        level = _settled(got.withColumn("depth", F.lit(depth)))
+        level = settled(got.withColumn("depth", F.lit(depth)))
         new = level.count()
         if not depth and not new:
             raise ValueError(f"the root {root} could not be fetched")
@@ -148,7 +143,7 @@ def crawl_site(pages: DataFrame, root: str, max_pages: int = MAX_PAGES, max_dept
             break
         found = level.filter("is_html").select(F.col("url").alias("parent"), F.explode(links(F.col("url"), F.col("html"))).alias("asked"))
         visited = visited.unionByName(level.select(F.col("url").alias("asked")))
-        frontier = _settled(found.groupBy("asked").agg(F.min("parent").alias("parent")).join(visited, "asked", "left_anti"))
+        frontier = settled(found.groupBy("asked").agg(F.min("parent").alias("parent")).join(visited, "asked", "left_anti"))
         visited = visited.unionByName(frontier.select("asked"))
     return taken.orderBy("depth", "url").limit(max_pages)
 

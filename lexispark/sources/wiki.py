@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexispark.functions import text, urls
-from lexispark.sources.crawl import MAX_DEPTH, MAX_PAGES, _settled, fandom_links, grabber
+from lexispark.sources.crawl import MAX_DEPTH, MAX_PAGES, fandom_links, grabber
+from lexispark.storage import settled
 
 MARK = "/wiki/"
 #: What stays as it is in an article's path, though a form encoder escapes it; ``*`` is the other way round.
@@ -74,7 +75,7 @@ def crawl_wiki(articles: DataFrame, root: str, max_pages: int = MAX_PAGES, max_d
         got = fetched.join(frontier, "key").groupBy("key", "parent", *order).agg(F.min(F.struct("name", "html")).alias("p")).select("parent", *order, "p.*")
         # The window numbers what is left of max_pages at most.
         first = got.orderBy(*order).limit(max_pages - n).withColumn("place", F.row_number().over(Window.orderBy(*order)) + F.lit(n))
-        level = _settled(first.select("place", "name", F.concat(F.lit(base), article_path(F.col("name"))).alias("url"), "parent", F.lit(depth).alias("depth"), "html"))
+        level = settled(first.select("place", "name", F.concat(F.lit(base), article_path(F.col("name"))).alias("url"), "parent", F.lit(depth).alias("depth"), "html"))
         new = level.count()
         if not depth and not new:
             raise ValueError(f"the root {root} could not be fetched")
@@ -86,6 +87,6 @@ def crawl_wiki(articles: DataFrame, root: str, max_pages: int = MAX_PAGES, max_d
         linked = fandom_links(level.select(F.col("place").alias("page_id"), "url", "html"), f"{prefix}{MARK}")
         linked = linked.groupBy(title_key(F.col("title")).alias("key")).agg(F.min(F.struct(F.col("page_id").alias("parent_place"), F.col("place").alias("link_place"))).alias("at"))
         parents = level.select(F.col("place").alias("parent_place"), F.col("url").alias("parent"))
-        frontier = _settled(linked.join(visited, "key", "left_anti").select("key", "at.*").join(parents, "parent_place").select("key", "parent", *order))
+        frontier = settled(linked.join(visited, "key", "left_anti").select("key", "at.*").join(parents, "parent_place").select("key", "parent", *order))
         visited = visited.unionByName(frontier.select("key"))
     return taken

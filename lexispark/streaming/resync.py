@@ -8,13 +8,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from lexispark.operators import sync
+from lexispark.operators.store import BUCKETS, BucketStore
 
 STATE = "source_id long, external_id string, content_hash string, version int, is_active boolean"
 INCOMING = "source_id long, external_id string, content_hash string, seq long"
+KEY = ("source_id", "external_id")
 
 
-def state(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    return spark.read.schema(STATE).parquet(f"{path}/batch={batch}") if batch >= 0 else spark.createDataFrame([], STATE)
+def document_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> BucketStore:
+    return BucketStore(spark, path, STATE, KEY, buckets)
 
 
 def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -25,11 +27,14 @@ def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return plan.withColumn("is_active", F.col("is_active") | (F.col("outcome") == "deactivated")).drop("outcome")
 
 
-def start(spark: SparkSession, drop: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Reads JSON files of ``drop`` as they come and writes the state after batch n to ``out/batch=n``. A batch that is
-    run again after a failure overwrites its own folder from the one before, so the result is the same."""
+def start(store: BucketStore, drop: str, checkpoint: str, name: str = "resync", files: int = 100) -> StreamingQuery:
+    """Reads JSON files of ``drop`` as they come; micro-batch n is commit n of the store, which rewrites the buckets of the
+    batch's keys only. A batch that is run again after a failure is either committed already or was not seen at all.
+    Every hundredth batch drops the files that no late reader needs any more."""
 
     def upsert(batch: DataFrame, n: int) -> None:
-        merge(state(batch.sparkSession, out, n - 1), batch).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        store.commit(name, n, batch, lambda old: merge(old, batch))
+        if n % 100 == 99:
+            store.vacuum()
 
-    return spark.readStream.schema(INCOMING).option("maxFilesPerTrigger", 100).json(drop).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return store.spark.readStream.schema(INCOMING).option("maxFilesPerTrigger", files).json(drop).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -108,8 +108,9 @@ def test_resync_stream(spark, tmp_path):
         (tmp_path / "drop" / name).write_text("\n".join(json.dumps(dict(zip(("source_id", "external_id", "content_hash", "seq"), r))) for r in rows))
 
     put("1.json", (1, "a", "h1", 1), (1, "a", "h2", 2), (1, "b", "h1", 1))
-    resync.start(spark, drop, out, marks).awaitTermination(60)
+    kept = resync.document_store(spark, out, 4)
+    resync.start(kept, drop, marks).awaitTermination(60)
     put("2.json", (1, "a", "h3", 1), (1, "c", "h1", 1))
-    resync.start(spark, drop, out, marks).awaitTermination(60)
-    got = {(r.external_id, r.content_hash, r.version, r.is_active) for r in resync.state(spark, out, 1).collect()}
+    resync.start(kept, drop, marks).awaitTermination(60)
+    got = {(r.external_id, r.content_hash, r.version, r.is_active) for r in kept.rows().collect()}
     assert got == {("a", "h3", 2, True), ("b", "h1", 1, True), ("c", "h1", 1, True)}

@@ -35,8 +35,8 @@ def test_every_twentieth_vector_is_asked(spark):
     assert entry.queries()["fn9_ranking_metrics"](spark, SMALL).select("case_id").distinct().count() == asked > 10
 
 
-def test_blocks_give_the_same(spark):
+def test_any_number_of_lists_gives_the_same(spark):
     points = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
-    one, many = (sorted(map(tuple, retrieval.top_n_each(points, points, 5, block=b).collect())) for b in (4096, 7))
+    one, many = (sorted(map(tuple, retrieval.top_n_each(points, points, 5, lists=n).collect())) for n in (1, 7))
     assert one == many and len(one) == 60 * 5
     assert all(q != v for q, _, v, _ in retrieval.top_n_each(points, points, 5, own=False).collect())
