@@ -32,8 +32,8 @@ from lexispark.llm.tokens import word_encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: About so many pieces of one length are ranked by a task.
-PART_PIECES = 50_000
+#: About so many pieces of one length are ranked together.
+PART_PIECES = 1_000
 
 
 class Slot(NamedTuple):
@@ -109,11 +109,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def ranked(found: DataFrame, n_pieces: int, part_pieces: int = PART_PIECES) -> DataFrame:
+def ranked(found: DataFrame, histogram: dict[int, int], part_pieces: int = PART_PIECES) -> DataFrame:
     """With ``rank``, from 0, of each piece among those of its length. Equal rows may change places, which changes nothing."""
-    parts = max(1, -(-n_pieces // part_pieces))
+    parts = found.sparkSession.createDataFrame([(k, -(-n // part_pieces)) for k, n in histogram.items()], "length int, parts int")
     key = ("doc_id", "piece", "start", "ids_crc32")
-    cut = found.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)))
+    cut = found.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64(*key), F.col("parts"))).drop("parts")
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     slots = spark.createDataFrame(plan(histogram, capacity), SLOTS)
     at = F.col("rank") - F.col("first")
-    placed = ranked(found, sum(histogram.values()), part_pieces).alias("f").join(F.broadcast(slots).alias("s"), (F.col("f.length") == F.col("s.length")) & F.col("rank").between(F.col("first"), F.col("last")))
+    placed = ranked(found, histogram, part_pieces).alias("f").join(F.broadcast(slots).alias("s"), (F.col("f.length") == F.col("s.length")) & F.col("rank").between(F.col("first"), F.col("last")))
     return placed.select(
         "doc_id", "piece", "start", F.col("f.length").cast("long").alias("length"), "ids_crc32", (F.col("sequence") + F.floor(at / F.col("per"))).alias("sequence_id"),
         (F.col("place") + F.pmod(at, F.col("per")) * F.col("f.length")).cast("long").alias("offset"), *["ids"][: int(with_ids)],
