@@ -19,8 +19,8 @@ number of copies. Where one seed has several different surroundings, one text of
 compared one by one, among those of the seed, by their fingerprints.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; strings are judged on the input; matches
-never cross documents; rows that repeat a doc_id are told apart by their text and, if that is equal too, are copies of
-each other; a null doc_id is a document like any other (told from id 0 by its text); an empty table gives an empty result; further columns are
+never cross documents; rows that repeat a doc_id, or have none, are told apart by a 64-bit hash of their text besides (rows
+without id by two); those with equal texts are copies of each other; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -109,16 +109,19 @@ def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def tag(data: bytes, doc_id: int | None) -> int:
-    """16 bits that tell apart texts with one doc_id."""
-    return xxhash.xxh64_intdigest(data, seed=int(doc_id is None)) & 0xFFFF
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the row's key: ``doc``, its doc_id or a hash of the text where it has none, and ``tag``, another
+    64-bit hash of the text. Rows with one key have one text and are copies of each other."""
+    known = F.col("doc_id").cast("long")
+    doc = F.coalesce(known, F.xxhash64(F.lit("no id"), "text")).alias("doc")
+    return docs.select(known.alias("doc_id"), "text", doc, F.xxhash64(F.coalesce("text", F.lit("")), known.isNull()).alias("tag"))
 
 
-def pack(first: np.ndarray, count: np.ndarray, offset: np.ndarray, tag: int) -> np.ndarray:
-    return first << 32 | tag << 16 | count << 8 | offset
+def pack(first: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    return first << 32 | count << 8 | offset
 
 
-ENTRY = "key long, whole long, doc long, place long, batch int"
+ENTRY = "key long, whole long, doc long, tag long, place long, batch int"
 
 
 def entries(docs: DataFrame, batches: int) -> DataFrame:
@@ -128,19 +131,17 @@ def entries(docs: DataFrame, batches: int) -> DataFrame:
         forget()
         for rb in rows:
             out = []
-            for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+            for text, doc, tag in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
                 data = as_bytes(text)
                 if len(data) < LENGTH:
                     continue
                 key, whole, first, count, offset = anchor_runs(np.frombuffer(data, np.uint8))
-                name = tag(data, doc_id)
-                doc = doc_id or 0
-                out.append((key.view(np.int64), whole.view(np.int64), np.full(len(key), doc), pack(first, count, offset, name), np.full(len(key), mix_int(doc) % batches, np.int32)))
+                out.append((key.view(np.int64), whole.view(np.int64), np.full(len(key), doc), np.full(len(key), tag), pack(first, count, offset), np.full(len(key), mix_int(doc) % batches, np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "whole", "doc", "place", "batch"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "whole", "doc", "tag", "place", "batch"])
         trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENTRY)
+    return keyed(docs).select("text", "doc", "tag").mapInArrow(run, ENTRY)
 
 
 def mix_int(x: int) -> int:
@@ -154,15 +155,15 @@ class IndexFamily:
         self.spark, self.scratch, self.levels, self.added = spark, scratch, {}, 0
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Indexes ``batch(key, doc, place)``; returns key, doc, place of the batch's first suffix for each seed that
+        """Indexes ``batch(key, doc, tag, place)``; returns key, doc, tag, place of the batch's first suffix for each seed that
         the batch has twice, or shares with an existing level."""
         self.added += 1
         level, name = 0, f"array-{self.added}"
-        place = F.first("doc").alias("doc"), F.first("place").alias("place")
+        place = [F.first(c).alias(c) for c in ("doc", "tag", "place")]
         array = batch.groupBy("key").agg(F.count("*").alias("n"), *place)
         array = self.scratch.keep(array.sortWithinPartitions("key"), name)
-        own = array.filter("n > 1").select("key", "doc", "place")
-        found = reduce(DataFrame.unionByName, [own] + [array.filter("n = 1").join(old.select("key"), "key", "left_semi").select("key", "doc", "place") for old, _ in self.levels.values()])
+        own = array.filter("n > 1").select("key", "doc", "tag", "place")
+        found = reduce(DataFrame.unionByName, [own] + [array.filter("n = 1").join(old.select("key"), "key", "left_semi").select("key", "doc", "tag", "place") for old, _ in self.levels.values()])
         found = self.scratch.keep(found, f"matches-{self.added}")
         while level in self.levels:
             old, old_name = self.levels.pop(level)
@@ -209,33 +210,32 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     entries(docs, batches).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(ENTRY).parquet(path)
     family = IndexFamily(spark, scratch)
-    matches = [family.add(stored.filter(F.col("batch") == b).select("key", "doc", "place")) for b in range(batches)]
+    matches = [family.add(stored.filter(F.col("batch") == b).select("key", "doc", "tag", "place")) for b in range(batches)]
     seeds = reduce(DataFrame.unionByName, matches).select("key").distinct()
     found = scratch.keep(join_dealt(stored.drop("batch"), seeds, ["key"], family.sizes(), stored.count()), "found")
     scratch.drop("entries", *(f"matches-{b + 1}" for b in range(batches)), *(name for _, name in family.levels.values()))
     release(spark)
 
     # Runs with equal bytes: one row for each, with the number of copies.
-    runs = scratch.keep(found.groupBy("key", "whole").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("place").alias("place")), "runs")
+    runs = scratch.keep(found.groupBy("key", "whole").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "tag", "place"))), "runs")
     release(spark)
     copied = runs.filter("n > 1").select("key", "whole", "n")
-    full = scratch.keep(join_dealt(found, copied.drop("n"), ["key", "whole"], copied, found.count()).select("doc", "place"), "full")
+    full = scratch.keep(join_dealt(found, copied.drop("n"), ["key", "whole"], copied, found.count()).select("doc", "tag", "place"), "full")
     scratch.drop("found")
     release(spark)
 
     # Seeds with several surroundings: window by window.
     several = scratch.keep(runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "several")
     asked = join_dealt(runs, several.select("key", F.ceil(F.col("n") / HOT).alias("slices")), ["key"], several, runs.count())
-    asked = scratch.keep(asked.select("key", "n", "doc", "place", "slices"), "asked")
+    asked = scratch.keep(asked.select("key", "n", "doc", "tag", "place", "slices"), "asked")
     scratch.drop("runs")
     partial = scratch.keep(_compare(_windows(docs, asked)), "partial")
     scratch.drop("asked")
     release(spark)
 
     first, count = F.shiftrightunsigned("place", 32), F.shiftrightunsigned("place", 8).bitwiseAND(F.lit(255))
-    name = F.shiftrightunsigned("place", 16).bitwiseAND(F.lit(0xFFFF)).alias("tag")
-    spans = full.select("doc", name, F.array(F.struct(first.cast("int").alias("s"), (first + count - 1 + LENGTH).cast("int").alias("e"))).alias("spans"))
-    spans = spans.unionByName(partial.select("doc", name, "spans").filter(F.size("spans") > 0))
+    spans = full.select("doc", "tag", F.array(F.struct(first.cast("int").alias("s"), (first + count - 1 + LENGTH).cast("int").alias("e"))).alias("spans"))
+    spans = spans.unionByName(partial.select("doc", "tag", "spans").filter(F.size("spans") > 0))
     spans = scratch.keep(_merge_spans(spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))), "spans")
     scratch.drop("full", "partial", "several")
     release(spark)
@@ -252,36 +252,31 @@ def _merge_spans(spans: DataFrame) -> DataFrame:
 
 
 def _attach(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """doc_id, text and the lists of the document; ``lists`` has doc, tag. The texts are shuffled by doc_id."""
-    by_doc = lists.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in lists.columns if c != "doc"])).alias("lists"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc.hint("shuffle_hash"), F.coalesce("doc_id", F.lit(0)) == F.col("doc"), how).select("doc_id", "text", "lists")
+    """doc_id, text, doc, tag and the lists of the row; ``lists`` has doc, tag. The texts are shuffled by the rows' keys."""
+    by_row = lists.groupBy("doc", "tag").agg(F.collect_list(F.struct(*[c for c in lists.columns if c not in ("doc", "tag")])).alias("lists"))
+    return keyed(docs).join(by_row.hint("shuffle_hash"), ["doc", "tag"], how).select("doc_id", "text", "lists", "doc", "tag")
 
 
 def _windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """key, slice, n, doc, place, at (index of each window in its run), prints, for the runs that are asked for."""
-    lists = asked.select("doc", F.struct("place", "key", "n", "slices").alias("run"))
+    """key, slice, n, doc, tag, place, at (index of each window in its run), prints, for the runs that are asked for."""
+    lists = asked.select("doc", "tag", F.struct("place", "key", "n", "slices").alias("run"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             out = []
-            for doc_id, text, wanted in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
-                data = as_bytes(text)
-                name, prints = tag(data, doc_id), None
+            for text, wanted, doc, tag in zip(*(rb.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                prints = Hashes(np.frombuffer(as_bytes(text), np.uint8)).all(LENGTH).view(np.int64)
                 for r in wanted:
                     r = r["run"]
-                    if r["place"] >> 16 & 0xFFFF != name:
-                        continue
-                    if prints is None:
-                        prints = Hashes(np.frombuffer(data, np.uint8)).all(LENGTH).view(np.int64)
                     first, count = r["place"] >> 32, r["place"] >> 8 & 255
                     got = prints[first : first + count]
                     if r["slices"] == 1:
-                        out.append((r["key"], 0, r["n"], doc_id or 0, r["place"], np.arange(count), got))
+                        out.append((r["key"], 0, r["n"], doc, tag, r["place"], np.arange(count), got))
                         continue
                     of = got % r["slices"]
                     for s in np.unique(of):
                         at = np.flatnonzero(of == s)
-                        out.append((r["key"], int(s), r["n"], doc_id or 0, r["place"], at, got[at]))
+                        out.append((r["key"], int(s), r["n"], doc, tag, r["place"], at, got[at]))
                     if len(out) > WINDOW_ROWS:
                         yield _window_rows(out)
                         out = []
@@ -292,19 +287,19 @@ def _windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 yield _window_rows(out)
         trim()
 
-    return _attach(docs, lists, "inner").mapInArrow(run, "key long, slice long, n long, doc long, place long, at array<int>, prints array<long>")
+    return _attach(docs, lists, "inner").mapInArrow(run, "key long, slice long, n long, doc long, tag long, place long, at array<int>, prints array<long>")
 
 
 def _window_rows(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows, strict=True))
-    kinds = (pa.int64(),) * 5
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c[5]])]), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c[5]), pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c[6]), pa.int64()))]
-    return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(c, kinds, strict=False)), *lists], ["key", "slice", "n", "doc", "place", "at", "prints"])
+    kinds = (pa.int64(),) * 6
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c[6]])]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c[6]), pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c[7]), pa.int64()))]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(c, kinds, strict=False)), *lists], ["key", "slice", "n", "doc", "tag", "place", "at", "prints"])
 
 
 def _compare(windows: DataFrame) -> DataFrame:
-    """doc, place, spans of each row of ``windows``: the strings that it shares with runs of other surroundings. Seeds are
+    """doc, tag, place, spans of each row of ``windows``: the strings that it shares with runs of other surroundings. Seeds are
     streamed in order: only the rows of one Arrow batch and of the seed that it breaks off in are held."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +316,7 @@ def _compare(windows: DataFrame) -> DataFrame:
             yield _shared(held)
         trim()
 
-    return windows.repartition("key", "slice").sortWithinPartitions("key", "slice").mapInArrow(run, "doc long, place long, spans array<struct<s:int,e:int>>")
+    return windows.repartition("key", "slice").sortWithinPartitions("key", "slice").mapInArrow(run, "doc long, tag long, place long, spans array<struct<s:int,e:int>>")
 
 
 def _shared(t: pa.Table) -> pa.RecordBatch:
@@ -348,7 +343,7 @@ def _shared(t: pa.Table) -> pa.RecordBatch:
     first = t.column("place").to_numpy()[r[starts]] >> 32
     values = pa.StructArray.from_arrays([pa.array((first + a[starts]).astype(np.int32)), pa.array((first + a[ends] + LENGTH).astype(np.int32))], ["s", "e"])
     offsets = np.searchsorted(r[starts], np.arange(len(t) + 1)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([t.column("doc").combine_chunks(), t.column("place").combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc", "place", "spans"])
+    return pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("doc", "tag", "place")), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc", "tag", "place", "spans"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -370,8 +365,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             out = []
             for doc_id, text, lists in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
                 data = as_bytes(text)
-                name = tag(data, doc_id) if lists else 0
-                cut = merged([(x["s"], x["e"]) for one in lists or () if one["tag"] == name for x in one["spans"]])
+                cut = merged([(x["s"], x["e"]) for one in lists or () for x in one["spans"]])
                 kept = data
                 if cut:
                     edges = [0, *(v for c in cut for v in c), len(data)]

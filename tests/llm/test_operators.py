@@ -158,6 +158,21 @@ def test_repeats_are_those_of_brute_force(spark, monkeypatch, hot):
     assert [tuple(r)[1:5] for r in got] == want
 
 
+def test_rows_without_an_id_of_their_own_are_told_apart(spark):
+    """Texts of one doc_id, or of none, that share different strings, or nothing, with each other and with the rest."""
+    rng = random.Random(51)
+    passages = [prose(rng, 60)[:301] for _ in range(6)]
+    rows = []
+    for _ in range(150):
+        parts = [prose(rng, rng.randrange(20, 90))] + rng.sample(passages, rng.choice([0, 0, 1, 2])) + [prose(rng, 5)]
+        rows.append((rng.choice([None, None, 0, 7, 7, rng.randrange(1000)]), " ".join(parts)))
+    rows += [rows[0], rows[0], (7, rows[1][1]), (None, None), (None, ""), (7, None)]
+    df = frame(spark, [(i, t, None, "a", 0, "x") for i, t in rows])
+    want = brute_repeats([(t or "").encode() for _, t in rows])
+    assert Counter(tuple(r)[:5] for r in suffixes.remove_repeats(df).collect()) == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+    assert sum(w[1] > 0 for w in want) > 50 and sum(w[1] == 0 for w in want) > 20
+
+
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_POSITION_BITS", 10)
     monkeypatch.setattr(suffixes, "_PIECE", 1 << 10)
@@ -176,7 +191,7 @@ def test_family_levels(spark):
     # Seeds that a batch has twice, or shares with a level there is, and levels after it.
     want = [({2}, [0]), (set(), [1]), ({1}, [0, 1]), ({4, 2}, [2])]
     for b, (keys, (found, levels)) in enumerate(zip(batches, want, strict=True)):
-        got = family.add(spark.createDataFrame([(k, 10 * b + i, i) for i, k in enumerate(keys)], "key long, doc long, place long")).collect()
+        got = family.add(spark.createDataFrame([(k, 10 * b + i, 0, i) for i, k in enumerate(keys)], "key long, doc long, tag long, place long")).collect()
         assert {r.key for r in got} == found and sorted(family.levels) == levels
         assert all(keys[r.place] == r.key and r.doc == 10 * b + r.place for r in got)
     array = {r.key: (r.n, r.doc, r.place) for r in family.levels[2][0].collect()}
