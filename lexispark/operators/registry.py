@@ -39,6 +39,58 @@ def register(sources: DataFrame, incoming: DataFrame) -> DataFrame:
     return keyed.withColumn("outcome", outcome).withColumn("id", F.coalesce("_known", new)).drop("_known", "_rn")
 
 
+#: What a source forgets when its place changes.
+FORGOTTEN = ("error", "last_synced_at", "etag", "last_modified", "git_branch", "git_commit_sha")
+
+
+def edit(sources: DataFrame, documents: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Changes of registered sources: outcomes of ``requests(position, kind, source_id, uri, file_hash, name)``, and sources and
+    documents after them.
+
+    ``kind`` is ``url`` (another URL), ``file`` (another file) or ``rename``. Outcomes: ``not_found``; ``invalid`` (a file
+    that is to become a URL or the other way round, an empty new name, no key, an unknown kind); ``duplicate`` (another
+    source has the key, or an earlier request of the same call takes it); ``superseded`` (a later request of the same call
+    for this source counts); else ``updated``. A changed place makes a source pending, without error, sync time and facts
+    of the grab, and its documents inactive; without a name it takes the one of its URL or file. A new name changes
+    nothing else. ``sources(id, key, source_type, uri, name, status, *FORGOTTEN)``; ``name`` of a file request is its file's.
+    """
+    known = sources.select(F.col("id").alias("source_id"), F.col("source_type").alias("_type"))
+    asked = requests.join(known, "source_id", "left")
+    place = F.col("kind").isin("url", "file")
+    kind = F.when(F.col("kind") == "file", "file").otherwise(urls.source_type(urls.normalize_source_url(F.col("uri"))))
+    key = F.when(F.col("kind") == "url", urls.normalize_source_url(F.col("uri"))).when(F.col("kind") == "file", F.col("file_hash"))
+    asked = asked.withColumn("key", key).withColumn("_new_type", F.when(place, kind))
+    owners = sources.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
+    asked = asked.join(owners, "key", "left")
+    wrong = F.when(place, ((F.col("_type") == "file") != (F.col("kind") == "file")) | F.col("key").isNull()).otherwise((F.col("kind") != "rename") | (F.trim(F.coalesce("name", F.lit(""))) == ""))
+    taken = place & (F.col("_first").isNotNull() & ((F.col("_first") != F.col("source_id")) | (F.col("_last") != F.col("source_id"))))
+    asked = asked.withColumn("outcome", F.when(F.col("_type").isNull(), "not_found").when(wrong, "invalid").when(taken, "duplicate").otherwise("updated"))
+    # Of the requests that are left the first for a key counts, and of those the last for a source and kind of change.
+    good = F.col("outcome") == "updated"
+    first = F.min(F.when(good & place, F.struct("position", "source_id"))).over(Window.partitionBy("key"))
+    asked = asked.withColumn("_one", first["source_id"])
+    asked = asked.withColumn("outcome", F.when(good & place & (F.col("_one") != F.col("source_id")), "duplicate").otherwise(F.col("outcome")))
+    change = F.when(F.col("kind") == "rename", "name").otherwise("place")
+    latest = F.max(F.when(F.col("outcome") == "updated", F.col("position"))).over(Window.partitionBy("source_id", change))
+    asked = asked.withColumn("_latest", latest)
+    asked = asked.withColumn("outcome", F.when((F.col("outcome") == "updated") & (F.col("_latest") != F.col("position")), "superseded").otherwise(F.col("outcome")))
+    done = asked.filter("outcome = 'updated'")
+    named = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.when(F.col("kind") == "url", urls.display_name(F.col("key"))))
+    moved = done.filter(place).select(F.col("source_id").alias("id"), F.struct(F.col("key"), F.col("_new_type").alias("type"), named.alias("name"), F.col("position"), F.col("kind")).alias("_moved"))
+    renamed = done.filter("kind = 'rename'").select(F.col("source_id").alias("id"), F.struct(F.trim("name").alias("name"), F.col("position")).alias("_renamed"))
+    new = sources.join(moved, "id", "left").join(renamed, "id", "left")
+    gone = F.col("_moved").isNotNull()
+    later = F.col("_renamed").isNotNull() & (~gone | (F.col("_renamed.position") > F.col("_moved.position")))
+    values = {
+        "key": F.when(gone, F.col("_moved.key")).otherwise(F.col("key")), "source_type": F.when(gone, F.col("_moved.type")).otherwise(F.col("source_type")),
+        "uri": F.when(gone & (F.col("_moved.kind") == "url"), F.col("_moved.key")).otherwise(F.col("uri")),
+        "name": F.when(later, F.col("_renamed.name")).when(gone, F.col("_moved.name")).otherwise(F.col("name")),
+        "status": F.when(gone, "pending").otherwise(F.col("status")), **{c: F.when(~gone, F.col(c)) for c in FORGOTTEN},
+    }
+    after = deactivate(documents, done.filter(place).select("source_id"))
+    return asked.select("position", "source_id", "outcome"), new.withColumns(values).drop("_moved", "_renamed"), after
+
+
 def same_key(sources: DataFrame, key: str, other_than: int | None = None) -> DataFrame:
     """Sources with a key, one of them left out if wanted."""
     found = sources.filter(F.col("key") == key)

@@ -41,6 +41,13 @@ def orphan_points(points: DataFrame, chunks: DataFrame) -> DataFrame:
     return points.join(valid, ["chunk_id", "point_id"], "left_anti")
 
 
+def scan_counts(points: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: points scanned, valid and orphans. ``chunks`` has one row an id."""
+    known = chunks.filter(F.coalesce("point_id", F.lit("")) != "").select(F.col("id").alias("chunk_id"), "point_id", F.lit(1).alias("_known"))
+    joined = points.join(known, ["chunk_id", "point_id"], "left")
+    return joined.agg(F.count("*").alias("scanned"), F.count("_known").alias("valid"), (F.count("*") - F.count("_known")).alias("orphan"))
+
+
 def latest_points(existing: DataFrame, incoming: DataFrame, order: str = "write_order") -> DataFrame:
     """Upsert by point_id, the last write wins: rows of ``existing`` that ``incoming`` replaces go, and of the rows of
     ``incoming`` with one id the one of greatest ``order`` stays (a column that the result does not have)."""

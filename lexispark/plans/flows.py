@@ -66,10 +66,16 @@ def snk11_run_log(spark, sf_dir):
     return registry.run_log(runs).select("run_id", "status")
 
 
-@query(f"""WITH {_VIEWS} SELECT id, CASE id WHEN 0 THEN 'failed' WHEN 3 THEN 'indexed' ELSE status END AS status, CASE id WHEN 0 THEN 'broken' WHEN 2 THEN 'old' END AS error, CASE WHEN id = 3 THEN 9 ELSE 1 END AS last_synced_at FROM sources""")
+@query("""WITH s AS (SELECT page_id AS id, CASE WHEN page_id % 4 = 3 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN page_id % 3 > 0 THEN 'old' END AS error FROM pages),
+r AS (SELECT doc_id AS id, CASE WHEN bool_and(coalesce(quality, 0) = 0) THEN 'no document could be read' END AS error FROM labels GROUP BY 1)
+SELECT s.id, CASE WHEN r.error IS NOT NULL THEN 'failed' WHEN r.id IS NOT NULL THEN 'indexed' ELSE status END AS status, CASE WHEN r.id IS NOT NULL THEN r.error ELSE s.error END AS error, CASE WHEN r.id IS NOT NULL AND r.error IS NULL THEN 9 ELSE 1 END AS last_synced_at
+FROM s LEFT JOIN r USING (id)""")
 def misc2_source_status(spark, sf_dir):
-    sources = views(spark, sf_dir)[2].withColumn("error", F.when(F.col("id") > 1, "old")).withColumn("last_synced_at", F.lit(1))
-    return registry.with_status(sources, spark.sql("SELECT * FROM VALUES (0L, 'broken'), (3L, NULL) AS t(source_id, error)"), F.lit(9)).select("id", "status", "error", "last_synced_at")
+    """The pages as sources; those that have a label ran, and failed if they have none of good quality."""
+    sources = table(spark, sf_dir, "pages").selectExpr("page_id AS id", "CASE WHEN page_id % 4 = 3 THEN 'failed' ELSE 'indexed' END AS status", "CASE WHEN page_id % 3 > 0 THEN 'old' END AS error", "1 AS last_synced_at")
+    good = F.bool_and(F.coalesce("quality", F.lit(0)) == 0)
+    results = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("source_id")).agg(F.when(good, "no document could be read").alias("error"))
+    return registry.with_status(sources, results, F.lit(9)).select("id", "status", "error", "last_synced_at")
 
 
 _NORMAL = r"""(SELECT position, origin || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS key FROM (SELECT page_id AS position, lower(regexp_extract(url, '^([^:]+)://', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS origin,

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.operators import registry, store, sync, vectorize
+from lexispark.functions import content, documents, ids, vocabulary
+from lexispark.operators import adapter, registry, store, sync, vectorize
+from lexispark.operators.keyword_index import KeywordIndex
 from lexispark.operators.vector_index import VectorIndex
 from lexispark.plans.queries import _SYNC, _VIEWS, _sides, asked_points, query, table, views
+from lexispark.sources import paged
 from lexispark.storage import Scratch
 from lexispark.streaming import entries, resync
 
@@ -89,3 +94,97 @@ def top1_index_visits(spark, sf_dir):
     """TOP-1: for each question of top1_vector_top_n, how many lists and vectors of the index were visited."""
     points, asked = asked_points(spark, sf_dir)
     return VectorIndex(points).search(asked, 100)[1]
+
+
+@query("SELECT vec_id AS point_id, label AS source_id, embedding[1]::DOUBLE AS first FROM embeddings WHERE label IN (2, 5, 7) AND vec_id % 2 = 0")
+def src10_paged_points(spark, sf_dir):
+    """SRC-10 by the paged data source: all points as pages of a store, read in ranges of pages with a filter that the store
+    applies and one that Spark does."""
+    path = f"{Scratch(spark, 'paged').path}/store"
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").cast("long").alias("source_id"), F.col("embedding")[0].cast("double").alias("first"))
+    paged.write_pages(points, path, "point_id", 100)
+    rows = paged.register(spark).read.format("paged").schema("point_id long, source_id long, first double").option("path", path).option("filters", "source_id").option("pages", 2).load()
+    return rows.filter(F.col("source_id").isin(2, 5, 7) & (F.col("point_id") % 2 == 0))
+
+
+def _reply(text: str) -> str:
+    """A stand-in for a model: some texts are over its limits for a while, some are refused, some get an empty reply."""
+    if len(text) % 10 == 3:
+        raise RuntimeError("503 service unavailable")
+    if len(text) % 10 == 7:
+        raise RuntimeError("input was refused")
+    return "" if len(text) % 50 == 4 else f"{len(text)} characters"
+
+
+@query("""WITH c AS (SELECT conv_id * 100000 + turn AS id, length(coalesce(text, '')) AS n FROM conversations)
+SELECT id, CASE WHEN n % 10 IN (3, 7) OR n % 50 = 4 THEN 'refused' ELSE 'done' END AS status, CASE WHEN n % 10 = 3 OR n % 50 = 4 THEN 2 ELSE 1 END::INTEGER AS attempts,
+  CASE WHEN n % 10 IN (3, 7) OR n % 50 = 4 THEN NULL ELSE n || ' characters' END AS reply, CASE WHEN n % 10 = 3 THEN 'RuntimeError: 503 service unavailable' WHEN n % 10 = 7 THEN 'RuntimeError: input was refused' WHEN n % 50 = 4 THEN 'empty reply' END AS error FROM c""")
+def misc5_called_replies(spark, sf_dir):
+    """MISC-5, FN-14 and FLT-24: a call for every message, in two runs; the second one has nothing left to call."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("input"))
+    kept = adapter.outcome_store(spark, f"{Scratch(spark, 'calls').path}/store", 4)
+    for _ in range(2):
+        adapter.call_open(kept, rows, _reply, batches=2, tries=2, wait=0.001)
+    return kept.rows()
+
+
+@query("""WITH e AS (SELECT 'p' || vec_id AS point_id, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE vec_id END AS chunk_id FROM embeddings),
+c AS (SELECT vec_id AS id, CASE WHEN vec_id % 11 = 0 THEN '' WHEN vec_id % 17 = 0 THEN 'q' ELSE 'p' || vec_id END AS point_id FROM embeddings WHERE vec_id % 19 <> 0)
+SELECT count(*) AS scanned, count(c.id) AS valid, count(*) - count(c.id) AS orphan FROM e LEFT JOIN c ON c.id = e.chunk_id AND c.point_id = e.point_id AND c.point_id <> ''""")
+def ops1_scan_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    points = e.selectExpr("concat('p', vec_id) AS point_id", "CASE WHEN vec_id % 13 = 0 THEN NULL ELSE vec_id END AS chunk_id")
+    chunks = e.filter("vec_id % 19 <> 0").selectExpr("vec_id AS id", "CASE WHEN vec_id % 11 = 0 THEN '' WHEN vec_id % 17 = 0 THEN 'q' ELSE concat('p', vec_id) END AS point_id")
+    return sync.scan_counts(points, chunks)
+
+
+@query("""WITH s AS (SELECT doc_id AS id, sha256(text) AS key, doc_id % 5 = 1 AS web FROM documents),
+r AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 2 THEN 'rename' WHEN 3 THEN 'move' ELSE 'file' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'new ' || doc_id // 24 WHEN 1 THEN sha256(text) END AS key, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'n' || doc_id END AS name FROM documents WHERE doc_id % 3 = 0),
+j AS (SELECT r.*, CASE WHEN kind = 'move' OR (kind = 'rename' AND trim(name) = '') OR (kind = 'file' AND (web OR r.key IS NULL)) THEN 'invalid' WHEN kind = 'file' AND (SELECT count(*) FROM s o WHERE o.key = r.key AND o.id <> r.id) > 0 THEN 'duplicate' ELSE 'updated' END AS o FROM r JOIN s USING (id)),
+d AS (SELECT *, CASE WHEN o = 'updated' AND kind = 'file' AND row_number() OVER (PARTITION BY kind, o, key ORDER BY id) > 1 THEN 'duplicate' ELSE o END AS outcome FROM j)
+SELECT s.id, outcome, CASE WHEN outcome = 'updated' AND kind = 'file' THEN d.key ELSE s.key END AS key, CASE WHEN outcome = 'updated' AND kind = 'file' THEN 'pending' ELSE 'indexed' END AS status,
+  CASE WHEN outcome = 'updated' THEN coalesce(nullif(trim(d.name), ''), '') ELSE 's' || s.id END AS name, NOT coalesce(outcome = 'updated' AND kind = 'file', false) AS is_active
+FROM s LEFT JOIN d USING (id)""")
+def pip10_edited_sources(spark, sf_dir):
+    """PIP-10: files of sources are replaced and sources renamed; the documents are sources of one document each."""
+    docs = table(spark, sf_dir, "documents")
+    digest = "sha2(cast(text AS binary), 256)"
+    forgotten = [f"cast('x' AS string) AS {c}" for c in registry.FORGOTTEN]
+    sources = docs.selectExpr("doc_id AS id", f"{digest} AS key", "CASE WHEN doc_id % 5 = 1 THEN 'web' ELSE 'file' END AS source_type", "cast(NULL AS string) AS uri", "concat('s', doc_id) AS name", "'indexed' AS status", *forgotten)
+    requests = docs.filter("doc_id % 3 = 0").selectExpr(
+        "doc_id AS position", "CASE doc_id % 4 WHEN 2 THEN 'rename' WHEN 3 THEN 'move' ELSE 'file' END AS kind", "doc_id AS source_id", "cast(NULL AS string) AS uri",
+        f"CASE doc_id % 4 WHEN 0 THEN concat('new ', doc_id DIV 24) WHEN 1 THEN {digest} END AS file_hash", "CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE concat('n', doc_id) END AS name",
+    )
+    outcomes, after, held = registry.edit(sources, docs.selectExpr("doc_id AS source_id", "true AS is_active"), requests)
+    joined = after.join(outcomes.select(F.col("source_id").alias("id"), "outcome"), "id", "left").join(held.select(F.col("source_id").alias("id"), "is_active"), "id")
+    return joined.select("id", "outcome", "key", "status", F.coalesce("name", F.lit("")).alias("name"), "is_active")
+
+
+@query()
+def str24_main_content(spark, sf_dir):
+    """STR-24 with the content told apart by density; ``plain`` is the fallback's number of characters."""
+    found = table(spark, sf_dir, "pages").select("page_id", content.main_text(F.col("html")).alias("text"), documents.html_text(F.col("html")).alias("all"))
+    return found.select("page_id", F.length("text").alias("n_chars"), ids.content_hash(F.col("text")).alias("content_hash"), F.length("all").alias("plain"))
+
+
+TERMS = ("The ", "or", "license", "contact", "zzzqqq")
+
+
+@query(f"""SELECT term, doc_id FROM documents, (VALUES {", ".join(f"('{t}')" for t in TERMS)}) t(term) WHERE contains(lower(coalesce(text, '')), lower(term))""")
+def flt7_keyword_index(spark, sf_dir):
+    """FLT-7 by the index of trigrams, for common, short, rare and unknown terms."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = KeywordIndex(spark, f"{Scratch(spark, 'keywords').path}/index", 16)
+    index.build(rows)
+    found = [index.containing(t, rows.schema).select(F.lit(t).alias("term"), F.col("id").alias("doc_id")) for t in TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query()
+def fn4_vocabulary_counts(spark, sf_dir):
+    """FN-4 by the longest pieces of a public vocabulary, without and with the limit of a model's input."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", vocabulary.token_counts(F.col("text"), path, 1 << 30).alias("n_tokens")).withColumn("n_input", F.least(F.lit(512), "n_tokens"))
