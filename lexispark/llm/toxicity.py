@@ -3,8 +3,11 @@
 Words become classes: insult (with a weight), threat, target, negation, reported speech, clause end, other. Three small
 transducers read the classes of a clause: ABUSE follows insult / target and threat / target patterns and gives each
 insult or threat a weight; NEGATING and REPORTING give factors to what stands in their scope, whose length is counted
-by their states. They are composed into one table, which scores matched clauses, not words alone. A document's
-strongest clause and the sum of its clauses go through a logistic curve fitted on the training sample.
+by their states. They are composed into one table, which scores matched clauses, not words alone. What a match is worth is
+learned: the composed table also says which pattern an arc completes (a lone insult, an insult of a target, a lone
+threat, a threat to a target) and in which scope (none, negated, reported). A document's strongest clause, the sum of its
+clauses and the matches of each pattern and scope go through a logistic curve fitted on the training sample, so an insult
+that is only quoted or denied counts as its labels say, and so does a lone one.
 
 The insult lexicon is a short seed list plus terms learned from labelled training rows (at most TRAIN_ROWS): words and
 word stems (prefixes) of which the share of toxic texts that have them is MIN_LIFT times that of other texts, and that
@@ -95,6 +98,27 @@ ABUSE = Transducer(
 )
 GRAMMAR = ABUSE.compose(scope(NEGATION, NEGATED)).compose(scope(REPORT, REPORTED))
 
+# What an arc of ABUSE completes, and the scopes that it may be in.
+LONE_INSULT, INSULTED, LONE_THREAT, THREATENED = range(4)
+COMPLETES = {
+    (0, INSULT): LONE_INSULT, (2, INSULT): LONE_INSULT, (1, INSULT): INSULTED, (3, INSULT): INSULTED, (2, TARGET): INSULTED,
+    (0, THREAT): LONE_THREAT, (3, THREAT): LONE_THREAT, (1, THREAT): THREATENED, (2, THREAT): THREATENED, (3, TARGET): THREATENED,
+}
+SCOPES = 3
+PATTERNS = 4 * SCOPES
+
+
+def completed() -> list[list[int]]:
+    """For each state of GRAMMAR and class the pattern and scope that the arc completes, -1 for none."""
+    out = []
+    for abuse, denied, told in product(range(ABUSE.states), range(SCOPE + 1), range(SCOPE + 1)):
+        within = 1 if denied else 2 if told else 0
+        out.append([COMPLETES[abuse, c] * SCOPES + within if (abuse, c) in COMPLETES else -1 for c in range(END + 1)])
+    return out
+
+
+MATCHES = completed()
+
 
 class Scorer:
     """Clause scores of texts, with a lexicon of insult terms and weights."""
@@ -111,7 +135,8 @@ class Scorer:
             return INSULT, max(weights)
         return found or ((END, 1.0) if word in ".!?;\n" else (OTHER, 1.0))
 
-    def clauses(self, text: str | None) -> list[float]:
+    def clauses(self, text: str | None, matches: list[float] | None = None) -> list[float]:
+        """Scores of the clauses; the weights of the words that complete each pattern are added to ``matches``."""
         if not text:
             return []
         tokens = _TOKEN.findall(text.lower())
@@ -124,17 +149,22 @@ class Scorer:
         state, score = 0, 0.0
         table = GRAMMAR.table
         for kind, weight in map(known.__getitem__, tokens):
+            before = state
             state, w = table[state][kind]
             if w:
                 score += w * weight
+                if matches is not None:
+                    matches[MATCHES[before][kind]] += weight
             if kind == END and score:
                 scores.append(score)
                 score = 0.0
         return [*scores, score] if score else scores
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        found = self.clauses(text)
-        return (max(found), math.log1p(sum(found))) if found else (0.0, 0.0)
+    def features(self, text: str | None) -> list[float]:
+        """Strongest clause, sum of clauses and each pattern's matches (both by logarithm)."""
+        matches = [0.0] * PATTERNS
+        found = self.clauses(text, matches)
+        return [max(found), math.log1p(sum(found)), *map(math.log1p, matches)] if found else [0.0] * (2 + PATTERNS)
 
 
 def learn_lexicon(sample: DataFrame, positives: int, negatives: int) -> dict[str, float]:
@@ -177,14 +207,19 @@ def hash_text(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
+#: Ridge on the weights of the clause scores, and on those of single patterns, which some training samples hardly show.
+RIDGE, PATTERN_RIDGE = 0.05, 1.0
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of (strongest clause, log sum, 1) by Newton's method with a light ridge."""
+    """Weights of the columns of ``features`` and of 1 by Newton's method with a light ridge."""
     if not len(y) or y.min() == y.max():
-        return np.array([2.0, 1.0, -2.0])
+        return np.array([2.0, 1.0, *[0.0] * PATTERNS, -2.0])
     a, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    ridge = np.array([RIDGE, RIDGE, *[PATTERN_RIDGE] * (x.shape[1] - 2), RIDGE])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag([0.05] * len(w)), a.T @ (y - p) - 0.05 * w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -204,10 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[d
         scorer = Scorer(lexicon)
         for batch in batches:
             found = [scorer.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), batch.column(1)], ["a", "b", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
 
-    got = sample.mapInArrow(measure, "a double, b double, label int").toArrow()
-    x = np.column_stack([got.column("a").to_numpy(), got.column("b").to_numpy()]) if got.num_rows else np.empty((0, 2))
+    got = sample.mapInArrow(measure, "x array<double>, label int").toArrow()
+    x = np.array(got.column("x").to_pylist(), float).reshape(-1, 2 + PATTERNS)
     y = got.column("label").to_numpy().astype(float)
     order = np.lexsort((y, *x.T))
     return lexicon, fit_curve(x[order], y[order])
@@ -221,8 +256,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
         for batch in batches:
-            found = np.array([scorer.features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, 2)
-            score = 1 / (1 + np.exp(-np.clip(found @ curve[:2] + curve[2], -30, 30)))
+            found = np.array([scorer.features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, 2 + PATTERNS)
+            score = 1 / (1 + np.exp(-np.clip(found @ curve[:-1] + curve[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
