@@ -11,7 +11,7 @@ logs the bytes between as a quarantined gap with its reason, and goes on.
 Defined cases: a null html is the empty payload; a null url has no WARC-Target-URI; line ends in urls are
 percent-encoded; a null page_id is a record without page; of equal page_ids with equal payloads all are responses if
 theirs is the smallest id; with different payloads each is planned on its own; very large
-pages have a file of their own; gzip members that grow beyond FILE_BYTES are quarantined; an empty table gives an
+pages have a file of their own; gzip members that grow beyond FILE_BYTES are read record by record; an empty table gives an
 empty archive and an empty result; further columns, whatever their names, are not archived.
 """
 
@@ -31,7 +31,7 @@ from lexispark.llm.common import Scratch
 
 #: Payloads below so many bytes are always written in full.
 MIN_REVISIT_BYTES = 100
-#: Bounds an archive file, which the reader holds whole, and what a gzip member may grow to.
+#: Bounds an archive file, which the reader holds whole; gzip members that grow beyond it are read record by record.
 FILE_BYTES = 1 << 27
 #: Largest payloads of the size classes; beyond the last one, a record is a file.
 CLASSES = (1 << 15, 1 << 19, 1 << 23)
@@ -40,6 +40,8 @@ ID = "urn:page:"
 END = "\r\n\r\n"
 #: Bytes that are inflated at once.
 _PIECE = 1 << 20
+#: What the headers of a record take at most, in a member that is read record by record.
+_HEADERS = 1 << 20
 
 
 def payload_digests(pages: DataFrame) -> DataFrame:
@@ -132,6 +134,13 @@ class Salvage:
             for record in records:
                 record.offset = at
                 yield record
+            if isinstance(records, _Streamed):
+                end, reason = records.end, records.reason
+                if records.reason:
+                    # What was read before the damage stays; the search goes on within the member.
+                    bad_from, end = at, at + 1
+                    found = self._next.search(self.data, end)
+                    end = found.start() if found else n
             at = end
         if bad_from is not None:
             self.gaps.append(Gap(bad_from, n, reason))
@@ -141,7 +150,7 @@ class Salvage:
         try:
             while not inflate.eof and (to < len(view) or inflate.unconsumed_tail):
                 if len(plain) > FILE_BYTES:
-                    return "gzip: member is too large"
+                    return _Streamed(self, at), at
                 piece = inflate.unconsumed_tail or view[to : to + _PIECE]
                 if not inflate.unconsumed_tail:
                     to += len(piece)
@@ -185,6 +194,60 @@ class Salvage:
         return [Record(headers, payload, at)], end + 4
 
 
+class _Streamed:
+    """Records of a large gzip member, one at a time: what is held is a piece of the member and the record that it is in.
+    After iteration ``end`` is where the member ends, or ``reason`` says what stopped it."""
+
+    def __init__(self, salvage: Salvage, at: int):
+        self.salvage, self.at, self.end, self.reason = salvage, at, at, ""
+        self.inflate, self.to, self.held = zlib.decompressobj(31), at, bytearray()
+
+    def _more(self) -> bool:
+        view = memoryview(self.salvage.data)
+        if self.reason or self.inflate.eof or not (self.to < len(view) or self.inflate.unconsumed_tail):
+            return False
+        piece = self.inflate.unconsumed_tail or view[self.to : self.to + _PIECE]
+        if not self.inflate.unconsumed_tail:
+            self.to += len(piece)
+        try:
+            self.held += self.inflate.decompress(piece, _PIECE)
+        except zlib.error as e:
+            self.reason = f"gzip: {e}"
+            return False
+        return True
+
+    def _whole(self) -> None:
+        """Reads on until the record at the front is complete, or cannot be one."""
+        stop = self.held.find(b"\r\n\r\n")
+        while stop < 0 and len(self.held) <= _HEADERS and self._more():
+            stop = self.held.find(b"\r\n\r\n")
+        size = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", self.held[: max(stop, 0)])
+        need = stop + 8 + int(size[1]) if size and self.held.startswith(b"WARC/") else 0
+        while len(self.held) < need and self._more():
+            pass
+
+    def __iter__(self) -> Iterator[Record]:
+        bad = ""
+        while self.held or self._more():
+            self._whole()
+            got = Salvage._plain(self.held, 0)
+            if not isinstance(got, str):
+                (record,), end = got
+                yield Record(record.headers, bytes(record.payload), self.at)
+                del self.held[:end]
+                continue
+            bad = bad or got
+            found = re.compile(rb"WARC/1\.[01]\r\n").search(self.held, 1)
+            # A version line may begin at the end of what has been read.
+            del self.held[: found.start() if found else max(1, len(self.held) - 9)]
+            if not found and not self._more():
+                break
+        self.reason = self.reason or ("" if self.inflate.eof else "gzip: member is cut short")
+        self.end = self.to - len(self.inflate.unused_data)
+        if bad and not self.reason:
+            self.salvage.gaps.append(Gap(self.at, self.end, f"in member: {bad}"))
+
+
 def _page(value: str | None) -> int | None:
     found = re.fullmatch(rf"<{ID}(-?\d+)>", value or "")
     return int(found[1]) if found else None
