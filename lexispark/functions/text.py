@@ -43,9 +43,26 @@ def clean(text: Column) -> Column:
     return strip(F.regexp_replace(joined, "\n{3,}", "\n\n"))
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What case folding changes beyond lower case: characters that become another one, and those that become several."""
+    lower = [c for c in map(chr, range(0x80, 0x1F000)) if c.lower() == c and c.casefold() != c]
+    return {c: c.casefold() for c in lower if len(c.casefold()) == 1}, {c: c.casefold() for c in lower if len(c.casefold()) > 1}
+
+
+FOLD_ONE, FOLD_MORE = _folds()
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: lower case, then the characters that folding maps further (final sigma, sharp s, ligatures)."""
+    one = F.translate(F.lower(text), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    more = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in FOLD_MORE.items()])
+    # Looked for once; the replacements are made for the few texts that have such characters.
+    return let(one, lambda t: F.when(t.rlike(f"[{''.join(FOLD_MORE)}]"), F.aggregate(more, t, lambda x, m: F.replace(x, m["a"], m["b"]))).otherwise(t))
+
+
 def fold(text: Column) -> Column:
-    """What is compared instead of a line: white space and case aside (sharp s is ss)."""
-    return F.replace(F.lower(one_blank(text)), F.lit("ß"), F.lit("ss"))
+    """What is compared instead of a line: white space and case aside."""
+    return casefold(one_blank(text))
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

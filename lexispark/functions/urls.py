@@ -20,25 +20,41 @@ def parts(url: Column) -> dict[str, Column]:
     return {"scheme": scheme, "host": host, "path": F.regexp_extract(u, "^[^:]+://[^/?#]*([^?#]*)", 1), "query": F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)}
 
 
-def _join(p: dict[str, Column], path: Column, pairs: Column) -> Column:
-    query = F.array_join(F.array_sort(pairs), "&")
-    return F.when(p["scheme"].isin("http", "https"), F.concat(p["scheme"], F.lit("://"), p["host"], path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+def _plain(code: Column) -> Column:
+    """A form-encoded name or value as text; percent signs that begin no code stay."""
+    return F.url_decode(F.regexp_replace(code, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _code(plain: Column) -> Column:
+    """Form-encoded: everything but letters, digits, ``_.-~`` and blanks (``+``) as percent codes."""
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def pairs(query: Column) -> Column:
+    """array<struct<k,v>>: decoded names and values of a query, in order; a name without ``=`` has an empty value."""
+    each = F.filter(F.split(query, "&"), lambda x: x != "")
+    return F.transform(each, lambda x: F.struct(_plain(F.split_part(x, F.lit("="), F.lit(1))).alias("k"), _plain(F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+
+
+def _join(p: dict[str, Column], path: Column, items: Column) -> Column:
+    query = F.array_join(F.transform(F.array_sort(items), lambda x: F.concat(_code(x["k"]), F.lit("="), _code(x["v"]))), "&")
+    return F.when(p["scheme"].isin("http", "https") & ~p["host"].rlike("^(:|$)"), F.concat(p["scheme"], F.lit("://"), p["host"], path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def normalize_source_url(url: Column) -> Column:
-    """Null for schemes other than http and https; no fragment, userinfo or default port; sorted query."""
+    """Null for schemes other than http and https; no fragment, userinfo or default port; one slash for several, none at
+    the end of a path but the root's; the query decoded, sorted and encoded again."""
     p = parts(url)
     path = F.regexp_replace(F.regexp_replace(p["path"], "/{2,}", "/"), "(?<=.)/+$", "")
-    path = F.when(path == "/", "").otherwise(path)
-    return _join(p, path, F.filter(F.split(p["query"], "&"), lambda x: x != ""))
+    return _join(p, path, pairs(p["query"]))
 
 
 def normalize_crawl_url(url: Column) -> Column:
-    """As above for crawled pages: the root path is ``/``, slashes stay, tracking parameters go."""
+    """As above for crawled pages: the empty path is ``/``, slashes stay, tracking parameters go."""
     p = parts(url)
-    path = F.when(p["path"] == "", "/").when(p["path"] == "/", "/").otherwise(F.regexp_replace(p["path"], "/+$", ""))
+    path = F.when(p["path"].isin("", "/"), "/").otherwise(F.regexp_replace(p["path"], "/+$", ""))
     tracked = F.array(*[F.lit(t) for t in TRACKING])
-    return _join(p, path, F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~F.array_contains(tracked, F.lower(F.split_part(x, F.lit("="), F.lit(1))))))
+    return _join(p, path, F.filter(pairs(p["query"]), lambda x: ~F.array_contains(tracked, F.lower(x["k"]))))
 
 
 def resolved(path: Column) -> Column:

@@ -42,8 +42,8 @@ def retrieve_each(points: DataFrame, queries: DataFrame, chunks: DataFrame, docs
 
 
 def valid_hits(hits: DataFrame, chunks: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Hits whose chunk, active document and indexed source exist. Hits are few: they are the side that is sent out."""
-    found = chunks.join(F.broadcast(hits), chunks["id"] == hits["vec_id"]).select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "score")
+    """Hits whose chunk, active document and indexed source exist."""
+    found = chunks.join(hits, chunks["id"] == hits["vec_id"]).select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "score")
     found = found.join(docs.filter("is_active").select(F.col("id").alias("document_id"), "source_id"), "document_id")
     return found.join(sources.filter("status = 'indexed'").select(F.col("id").alias("source_id")), "source_id")
 

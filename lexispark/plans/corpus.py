@@ -26,7 +26,7 @@ _HOST = "lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1))"
 
 # Articles of this table have no links: in every page whose id is not divisible by 4 the article is another element, so that
 # links are taken from the body, and some links of other kinds are added; in the others nothing is found.
-_VARIANT = """CASE WHEN page_id % 4 = 0 THEN html ELSE concat(replace(replace(html, '<article', '<section'), '</article', '</section'), '<a href="../up/./p?utm_source=x&amp;b=2&amp;a=1">u</a><a href="pic.PNG">i</a><a href="doc.pdf">d</a><a href="mailto:x@y">m</a><a href="https://elsewhere.example/z">z</a></body>') END"""
+_VARIANT = """CASE WHEN page_id % 4 = 0 THEN html ELSE replace(replace(replace(html, '<article', '<section'), '</article', '</section'), '</body>', '<a href="../up/./p?utm_source=x&amp;b=2&amp;a=1">u</a><a href="pic.PNG">i</a><a href="doc.pdf">d</a><a href="mailto:x@y">m</a><a href="https://elsewhere.example/z">z</a></body>') END"""
 
 
 @query(f"""WITH v AS (SELECT page_id, url, {_VARIANT} AS html FROM pages),
@@ -52,7 +52,7 @@ def flt16_source_type_and_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.source_type(u).alias("source_type"), urls.display_name(u).alias("name"))
 
 
-@query(r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS origin, regexp_replace(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/+$', '') AS path,
+@query(r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS origin, regexp_replace(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '(.)/+$', '\1') AS path,
   array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '')), '&') AS q FROM pages)
 SELECT page_id, origin || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM u""")
 def str18_source_urls(spark, sf_dir):

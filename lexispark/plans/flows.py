@@ -79,7 +79,7 @@ def misc2_source_status(spark, sf_dir):
 
 
 _NORMAL = r"""(SELECT position, origin || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS key FROM (SELECT page_id AS position, lower(regexp_extract(url, '^([^:]+)://', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS origin,
-  regexp_replace(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/+$', '') AS path, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '')), '&') AS q
+  regexp_replace(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '(.)/+$', '\1') AS path, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '')), '&') AS q
   FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '[?#].*$', '') || '//' ELSE url END AS url FROM pages)))"""
 
 
@@ -308,6 +308,12 @@ def misc8_traces(spark, sf_dir):
     return kept.select("query_id", "rank", *[f"trace.{c}" for c in ("citation", "source_id", "document_id", "chunk_id", "score", "rerank_score")])
 
 
+@query(f"{_ASK} SELECT query_id, count(*) AS blocks, sum(length(text))::BIGINT AS context_chars FROM kept GROUP BY 1")
+def agg9_context_chars(spark, sf_dir):
+    """AGG-9: characters of the selected context of every question."""
+    return _asked(spark, sf_dir)[0].groupBy("query_id").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("context_chars"))
+
+
 @query(f"""{_HITS},
 valid AS (SELECT h.query_id, c.id AS chunk_id, c.document_id, h.score FROM hits h JOIN chunks c ON c.id = h.vec_id JOIN docs d ON d.id = c.document_id AND d.is_active JOIN sources s ON s.id = d.source_id AND s.status = 'indexed'),
 capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS rn FROM valid)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from lexispark.functions import classify, urls
@@ -43,25 +47,63 @@ def ignored_fandom(title: Column) -> Column:
     return _prefixed(F.replace(title, F.lit(" "), F.lit("_")), FANDOM_PREFIXES)
 
 
+#: Where links are taken from: the first of these that a page has (``role``: an element of role main), else all of it.
 CONTENT = ("main", "article", "role", "body")
-HREF = "(?is)<a\\b[^>]*?\\bhref=[\"']([^\"']*)[\"']"
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+class _Links(HTMLParser):
+    """Links of the first element of each kind, and of the whole page (the kind '')."""
+
+    def __init__(self, kinds: tuple[str, ...]):
+        super().__init__(convert_charrefs=True)
+        self.found: dict[str, list[str]] = {"": []}
+        self.kinds, self.inside, self.open = kinds, {""}, []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        values = dict(reversed(attrs))  # of repeated attributes the first counts
+        begun = [k for k in self.kinds if k not in self.found and (tag == k or (k == "role" and values.get("role") == "main"))]
+        for kind in begun:
+            self.found[kind] = []
+        if tag not in _VOID:
+            self.open.append((tag, begun))
+            self.inside.update(begun)
+        if tag == "a" and values.get("href") is not None:
+            for kind in self.inside:
+                self.found[kind].append(values["href"].strip())
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(t == tag for t, _ in self.open):
+            while True:
+                t, begun = self.open.pop()
+                self.inside.difference_update(begun)
+                if t == tag:
+                    return
+
+
+def hrefs_within(page: str | None, kinds: tuple[str, ...]) -> list[str] | None:
+    if page is None:
+        return None
+    parser = _Links(kinds)
+    parser.feed(page)
+    parser.close()
+    return parser.found[next((k for k in kinds if k in parser.found), "")]
 
 
-def content(page: Column, within: tuple[str, ...] = CONTENT) -> Column:
-    """The part of a page that links are taken from: the first element of ``within`` that it has, else all of it."""
-    by_role = F.nullif(F.regexp_extract(page, "(?is)<(\\w+)\\b[^>]*\\brole=[\"']main[\"'][^>]*>(.*)</\\1>", 2), F.lit(""))
-    found = [by_role if tag == "role" else F.nullif(F.regexp_extract(page, f"(?is)<{tag}\\b[^>]*>(.*)</{tag}>", 1), F.lit("")) for tag in within]
-    return F.coalesce(*found, page)
+def hrefs(page: Column, within: tuple[str, ...] = ()) -> Column:
+    """Links of a page as they are written, in order, of the first element of ``within`` that it has, else of all of it."""
 
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(pages: pd.Series) -> pd.Series:
+        return pd.Series([hrefs_within(p, within) for p in pages], dtype=object)
 
-def hrefs(page: Column) -> Column:
-    return F.transform(F.regexp_extract_all(page, F.lit(HREF), F.lit(1)), lambda h: F.trim(F.replace(h, F.lit("&amp;"), F.lit("&"))))
+    return found(page)
 
 
 def links(url: Column, page: Column, within: tuple[str, ...] = CONTENT) -> Column:
     """Sorted distinct URLs of the same host that a page links to and that are followed."""
     base = urls.parts(url)
-    wanted = F.filter(hrefs(content(page, within)), lambda h: (h != "") & ~F.exists(F.array(*map(F.lit, SCHEMES_SKIPPED)), lambda s: F.startswith(h, s)))
+    wanted = F.filter(hrefs(page, within), lambda h: (h != "") & ~F.exists(F.array(*map(F.lit, SCHEMES_SKIPPED)), lambda s: F.startswith(h, s)))
     full = F.transform(wanted, lambda h: urls.normalize_crawl_url(urls.absolute(base, h)))
 
     def followed(u: Column) -> Column:

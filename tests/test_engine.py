@@ -46,6 +46,9 @@ def test_chunks(spark):
 def test_cleaning(spark):
     assert column(spark, ["a \r\n\t b\xa0 c\r\r\r\r d  ", " x "], text.clean) == ["a\nb c\n\nd", "x"]
     assert column(spark, ["A\n\nA\nB\nb \nA"], text.drop_repeated_lines) == ["A\n\nB\nA"]
+    folded = ["Straße STRASSE", "ΣΊΣΥΦΟΣ ς", "ﬁne ﬂow", "İ ŉ ſ µ", "ĞÄ", "Ω K Å", "plain"]
+    assert column(spark, folded, text.casefold) == [t.casefold() for t in folded]
+    assert column(spark, ["Maße\nMASSE\nﬁn\nFIN"], text.drop_repeated_lines) == ["Maße\nﬁn"]
 
 
 def test_quality(spark):
@@ -64,6 +67,14 @@ def test_ids(spark):
 def test_urls(spark):
     rows = ["HTTPS://User@Example.com:443//a//b/?b=2&a=1#f", "example.com", "ftp://x/y", "http://github.com/o/r.git"]
     assert column(spark, rows, urls.normalize_source_url) == ["https://example.com/a/b?a=1&b=2", "https://example.com", None, "http://github.com/o/r.git"]
+    # Queries are decoded, sorted and encoded again; the root keeps its slash.
+    rest = ["https://h//", "https://h/a%20b?q=a%20b&q=A+b&x&%zz=1&k=%C3%A9*~&&e=", "https:///x", "https://h:8080/?z=1&a=%26"]
+    assert column(spark, rest, urls.normalize_source_url) == ["https://h/", "https://h/a%20b?%25zz=1&e=&k=%C3%A9%2A~&q=A+b&q=a+b&x=", None, "https://h:8080/?a=%26&z=1"]
+    from urllib.parse import parse_qsl, urlencode
+
+    for raw in ("b=2&a=1", "x&y=&=z", "a=1=2&a=0", "q=%e9%20+*~-_.!'()", "k=%2B%25&k=%", "ä=ö&%C3%A4=1"):
+        (got,) = column(spark, [f"https://h/?{raw}"], urls.normalize_source_url)
+        assert got == "https://h/?" + urlencode(sorted(parse_qsl(raw, keep_blank_values=True))), raw
     assert column(spark, ["http://h:80/?UTM_source=x&q=1", "https://h"], urls.normalize_crawl_url) == ["http://h/?q=1", "https://h/"]
     assert column(spark, [*rows, "https://gitlab.com/o/r", "https://gitlab.com/o"], urls.source_type) == ["web", "web", "web", "git", "git", "web"]
     assert column(spark, [rows[3], "https://h/a/b/c", "https://h"], urls.display_name) == ["o/r", "h/a/b", "h"]

@@ -268,3 +268,15 @@ def test_vocabulary_counts_of_all_documents_are_those_of_a_plain_loop(spark):
             at += next((size for size in range(min(longest, len(shown) - at), 0, -1) if shown[at : at + size] in held), 1)
             n += 1
         assert got[doc_id] == (None if text is None else n)
+
+
+def test_links_of_a_page():
+    from lexispark.sources.crawl import CONTENT, hrefs_within
+
+    whole = "<a href=/0>0</a><body><a href='/1?a=1&amp;b=%20'>1</a><article><p><a class=x href = /2 >2</a></article><a HREF=\" /3 \">3</a><article><a href=/4>4</a></article></body><a href=/5>5</a>"
+    # The first article alone, however many there are; entities resolved, quotes left out or not.
+    assert hrefs_within(whole, CONTENT) == ["/2"]
+    assert hrefs_within(whole, ("body",)) == ["/1?a=1&b=%20", "/2", "/3", "/4"] and len(hrefs_within(whole, ())) == 6
+    assert hrefs_within("<div role=main><a href=/1>x</a><div><a href=/2></div></div><a href=/3>", CONTENT) == ["/1", "/2"]
+    assert hrefs_within("<!-- <a href=/0> --><script>'<a href=/1>'</script><a name=x><br><a href=/2>", CONTENT) == ["/2"]
+    assert hrefs_within(None, CONTENT) is None and hrefs_within("", CONTENT) == []
