@@ -52,12 +52,31 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
 FOLD_ONE, FOLD_MORE = _folds()
 
 
+def _ranges(chars: str, gap: int = 64) -> str:
+    """A character class of few ranges, that holds ``chars`` and what lies between near ones."""
+    out: list[list[str]] = []
+    for c in sorted(chars):
+        if out and ord(c) - ord(out[-1][1]) < gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"{a}-{b}" for a, b in out) + "]"
+
+
+#: Characters at which folding may go beyond lower case, sharp s aside.
+FOLDED = _ranges("".join([*FOLD_ONE, *FOLD_MORE]).replace("ß", ""))
+
+
 def casefold(text: Column) -> Column:
-    """Full case folding: lower case, then the characters that folding maps further (final sigma, sharp s, ligatures)."""
-    one = F.translate(F.lower(text), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    """Full case folding: lower case, sharp s, then what else folding maps further (final sigma, ligatures), looked for first
+    by a class of few ranges."""
     more = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in FOLD_MORE.items()])
-    # Looked for once; the replacements are made for the few texts that have such characters.
-    return let(one, lambda t: F.when(t.rlike(f"[{''.join(FOLD_MORE)}]"), F.aggregate(more, t, lambda x, m: F.replace(x, m["a"], m["b"]))).otherwise(t))
+
+    def further(t: Column) -> Column:
+        one = F.translate(t, "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+        return F.when(t.rlike(FOLDED), F.aggregate(more, one, lambda x, m: F.replace(x, m["a"], m["b"]))).otherwise(t)
+
+    return let(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), further)
 
 
 def fold(text: Column) -> Column:
