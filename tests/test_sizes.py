@@ -1,6 +1,17 @@
 """What showed on larger tables only: odd pages, and steps whose cost or memory grew faster than their input."""
 
+import re
+
 from lexispark.functions import documents as D
+from lexispark.functions import text as T
+from lexispark.plans.flows import QUERIES
+from tests.test_engine import column
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def python_nodes(df):
+    return str(df._jdf.queryExecution().executedPlan()).count("ArrowEvalPython [")
 
 
 def test_references_without_their_semicolon(spark):
@@ -9,3 +20,21 @@ def test_references_without_their_semicolon(spark):
     whole = "a &&amp\nx < y \xa0 &lt z &notit; ' &#39 AT&T"
     assert [r.t for r in rows.select(D.html_text_of_whole_references("html").alias("t")).collect()] == [whole, None]
     assert D.plain_html(page).startswith("a &&\nx < y \xa0 < z")
+
+
+def test_noise_lines_as_a_set_are_what_the_patterns_match():
+    assert all(any(re.search(p, k) for p in D.NOISE_LINES) for k in D.NOISE_KEYS)
+    assert {"cookies", "accept cookie", "terms and conditions", "terms"} <= set(D.NOISE_KEYS) and len(D.NOISE_KEYS) == len(D.NOISE_LINES) + 4
+
+
+def test_fifteen_words_are_enough(spark):
+    filler = " ... " * 30
+    rows = ["ab " * 14 + filler, "ab " * 15 + filler, "a b " * 40, "x\nab-" * 15 + filler, "абв_9 " * 14 + "z" + filler]
+    assert column(spark, rows, lambda v: v.rlike(T.ENOUGH_WORDS)) == [len(re.findall(T.WORD, r)) >= T.MIN_WORDS for r in rows] == [False, True, False, True, False]
+
+
+def test_chunks_are_cleaned_once_even_where_reasons_are_filtered(spark):
+    # One node cleans documents and one cuts them; each copy of the cleaning in a filter would add one.
+    plans = {q: QUERIES[q](spark, SMALL) for q in ("str7_chunk_reasons", "pip2_planned_chunks")}
+    assert {q: python_nodes(p) for q, p in plans.items()} == {"str7_chunk_reasons": 2, "pip2_planned_chunks": 2}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 250
