@@ -1,10 +1,17 @@
 """What showed on larger tables only: odd pages, and steps whose cost or memory grew faster than their input."""
 
 import re
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from lexispark.functions import documents as D
 from lexispark.functions import text as T
+from lexispark.operators import vector_index
 from lexispark.plans.flows import QUERIES
+from lexispark.session import ROWS_KEY, batches_of
 from tests.test_engine import column
 
 SMALL = "/root/testdata/sf0.001"
@@ -37,4 +44,35 @@ def test_chunks_are_cleaned_once_even_where_reasons_are_filtered(spark):
     # One node cleans documents and one cuts them; each copy of the cleaning in a filter would add one.
     plans = {q: QUERIES[q](spark, SMALL) for q in ("str7_chunk_reasons", "pip2_planned_chunks")}
     assert {q: python_nodes(p) for q, p in plans.items()} == {"str7_chunk_reasons": 2, "pip2_planned_chunks": 2}
-    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 250
+
+
+@pytest.mark.parametrize("name", ["str7_chunk_reasons", "pip2_planned_chunks", "str10_chunks", "flt17_file_types"])
+def test_python_is_handed_few_texts_at_once(spark, name):
+    before = spark.conf.get(ROWS_KEY)
+    spark.conf.set(ROWS_KEY, "10000")
+    try:
+        QUERIES[name](spark, SMALL)
+        assert int(spark.conf.get(ROWS_KEY)) <= 250
+    finally:
+        spark.conf.set(ROWS_KEY, before)
+
+
+def test_blocks_are_full_whatever_the_batches(spark):
+    of = [0] * 7 + [1] * 3 + [2] * 5
+    rows = pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([0] * 15, pa.int32()), pa.array(range(15))], ["list", "part", "id"])
+    for size in (1, 2, 4, 15):
+        got = [b.column(2).to_pylist() for b in vector_index.stretches((rows.slice(k, size) for k in range(0, 15, size)), 4)]
+        assert got == [[0, 1, 2, 3], [4, 5, 6], [7, 8, 9], [10, 11, 12, 13], [14]]
+    with batches_of(spark, 7):
+        assert spark.conf.get(ROWS_KEY) == "7"
+    assert spark.conf.get(ROWS_KEY) != "7"
+
+
+def test_open_lists_are_given_out_in_bounded_batches():
+    n, lists = 1000, 50
+    x = np.random.default_rng(1).normal(size=(lists, 4))
+    sent = SimpleNamespace(value=vector_index.Lists(x, np.ones(lists), np.ones(lists, np.int64), False))
+    asked = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([np.ones(4).tobytes()] * n, pa.binary()), pa.array([-np.inf] * n)], ["query_id", "vector", "least"])
+    got = list(vector_index._open_lists(sent, 0, lists)([asked]))
+    assert sum(b.num_rows for b in got) == n * lists and max(b.num_rows for b in got) <= vector_index.OPEN_PAIRS
+    assert len({(q, k) for b in got for q, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}) == n * lists
