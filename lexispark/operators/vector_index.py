@@ -26,11 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexispark.session import batches_of
 from lexispark.storage import Scratch
 
 #: A list has a block of vectors at least, on average.
 SAMPLE, MAX_LISTS, ITERATIONS = 20_000, 1024, 6
 BLOCK_POINTS, PART_POINTS, QUERIES = 1024, 65_536, 512
+#: Rows that Python holds at once: single vectors, and pairs of a block of queries and one of vectors (0.8 MB at 64 components).
+VECTOR_ROWS, PAIR_ROWS = 1000, 32
+#: Pairs of a query and a list, each with the query's vector, that are given out at once.
+OPEN_PAIRS = 10_000
 #: Lists of the first round, as a part of all; each further round visits so many times as many.
 FIRST, FACTOR = 1 / 16, 4
 #: Scores are rounded to so many digits; bounds get as much slack.
@@ -101,6 +106,25 @@ def fit(x: np.ndarray, lists: int) -> np.ndarray:
     return centroids
 
 
+def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of one list and part (the first two columns) by ``most`` or fewer, whatever batches they come in."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    for batch in batches:
+        of = batch.column(0).to_numpy() * (1 << 20) + batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            while a < b:
+                if held and (n == most or of[a] != last):
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, n = [], 0
+                piece = batch.slice(a, min(b - a, most - n))
+                held.append(piece)
+                n, a, last = n + piece.num_rows, a + piece.num_rows, of[a]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class VectorIndex:
     """``unit``: scores are cosines, else inner products. Vectors are padded to the longest of the sample and of their
     Arrow batch; longer queries than vectors lose nothing, as the rest would meet zeros."""
@@ -135,7 +159,7 @@ class VectorIndex:
                 ids = batch.column(0).cast(pa.int64()).filter(pa.array(good))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(of.astype(np.int32)), pa.array(apart), pa.array([r.tobytes() for r in v], pa.binary())], ["vec_id", "list", "apart", "vector"])
 
-        assigned = self.scratch.keep(rows.mapInArrow(assign, "vec_id long, list int, apart double, vector binary"), "assigned")
+        assigned = self._keep(rows.mapInArrow(assign, "vec_id long, list int, apart double, vector binary"), "assigned")
         found = assigned.groupBy("list").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()  # one row a list
         radius, counts = np.zeros(len(centroids)), np.zeros(len(centroids), np.int64)
         for r in found:
@@ -145,22 +169,22 @@ class VectorIndex:
         self.parts = self.spark.createDataFrame(parts, "list int, parts int, n long")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                of = batch.column(0).to_numpy() * (1 << 20) + batch.column(1).to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for s in range(a, b, BLOCK_POINTS):
-                        piece = batch.slice(s, min(BLOCK_POINTS, b - s))
-                        yield pa.RecordBatch.from_arrays(
-                            [piece.column(0).slice(0, 1), piece.column(1).slice(0, 1), pa.array([piece.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([b"".join(piece.column(3).to_pylist())], pa.binary())],
-                            ["list", "part", "ids", "vectors"],
-                        )
+            for piece in stretches(batches, BLOCK_POINTS):
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0).slice(0, 1), piece.column(1).slice(0, 1), pa.array([piece.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([b"".join(piece.column(3).to_pylist())], pa.binary())],
+                    ["list", "part", "ids", "vectors"],
+                )
 
         dealt = assigned.join(F.broadcast(self.parts), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
         dealt = dealt.select("list", "part", "vec_id", "vector").repartition("list", "part").sortWithinPartitions("list", "part")
-        self.blocks = self.scratch.keep(dealt.mapInArrow(pack, "list int, part int, ids array<long>, vectors binary"), "blocks")
+        self.blocks = self._keep(dealt.mapInArrow(pack, "list int, part int, ids array<long>, vectors binary"), "blocks")
         self.scratch.drop("assigned")
 
+    def _keep(self, df: DataFrame, name: str, rows: int = VECTOR_ROWS) -> DataFrame:
+        """``df`` written out, its steps in Python by ``rows`` at once: what a worker holds does not grow with the table."""
+        with batches_of(self.spark, rows):
+            return self.scratch.keep(df, name)
+
     def search(self, queries: DataFrame, limit: int, own: bool = True) -> tuple[DataFrame, DataFrame]:
         """query_id, vec_id, score of the ``limit`` best vectors for each of ``queries(vec_id, embedding)``, ties by id; and
         query_id, n_lists, n_vectors: what was visited for it. Without ``own`` a query does not meet its own id."""
@@ -175,20 +199,20 @@ class VectorIndex:
 
         asked = whole(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(take, "query_id long, vector binary")
         self.searches += 1
-        asked = self.scratch.keep(asked, f"asked-{self.searches}")
+        asked = self._keep(asked, f"asked-{self.searches}")
         n, upto, begin, visited = len(self.lists.counts), max(1, int(len(self.lists.counts) * FIRST)), 0, []
         state = asked.withColumn("least", F.lit(float("-inf")))
         best = self.spark.createDataFrame([], "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         while begin < n:
             name = f"{self.searches}-{begin}"
-            pairs = self.scratch.keep(state.mapInArrow(_open_lists(sent, begin, upto), "query_id long, list int, vector binary, least double"), f"open-{name}")
+            pairs = self._keep(state.mapInArrow(_open_lists(sent, begin, upto), "query_id long, list int, vector binary, least double"), f"open-{name}")
             visited.append(pairs.select("query_id", "list"))
             if begin and pairs.isEmpty():
                 break
             found = best.unionByName(self._meet(pairs, limit, own))
             best = found.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= limit).drop("_rn")
-            best = self.scratch.keep(best, f"best-{name}")
+            best = self._keep(best, f"best-{name}", PAIR_ROWS)
             begin, upto = upto, min(n, upto * FACTOR)
             if begin < n:
                 full = best.groupBy("query_id").agg(F.when(F.count("*") == limit, F.min("score")).alias("_least"))
@@ -204,16 +228,11 @@ class VectorIndex:
         width = self.width
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                of = batch.column(0).to_numpy() * (1 << 20) + batch.column(1).to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for s in range(a, b, QUERIES):
-                        piece = batch.slice(s, min(QUERIES, b - s))
-                        yield pa.RecordBatch.from_arrays(
-                            [piece.column(0).slice(0, 1), piece.column(1).slice(0, 1), pa.array([piece.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([b"".join(piece.column(3).to_pylist())], pa.binary()), pa.array([piece.column(4).to_pylist()], pa.list_(pa.float64()))],
-                            ["list", "part", "query_ids", "asked", "least"],
-                        )
+            for piece in stretches(batches, QUERIES):
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0).slice(0, 1), piece.column(1).slice(0, 1), pa.array([piece.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([b"".join(piece.column(3).to_pylist())], pa.binary()), pa.array([piece.column(4).to_pylist()], pa.list_(pa.float64()))],
+                    ["list", "part", "query_ids", "asked", "least"],
+                )
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -255,6 +274,8 @@ def _open_lists(sent, begin: int, upto: int):
             least = batch.column(2).to_numpy()
             reach = np.take_along_axis(bounds, order, 1)
             row, at = np.nonzero((reach >= least[:, None]) & np.isfinite(reach))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(order[row, at].astype(np.int32)), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))], ["query_id", "list", "vector", "least"])
+            for s in range(0, len(row), OPEN_PAIRS):
+                of, k = row[s : s + OPEN_PAIRS], at[s : s + OPEN_PAIRS]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(order[of, k].astype(np.int32)), batch.column(1).take(pa.array(of)), batch.column(2).take(pa.array(of))], ["query_id", "list", "vector", "least"])
 
     return run
