@@ -1,33 +1,71 @@
 """Look-up of texts that contain a term, case aside, by an index of trigrams with their places.
 
-For every text the index has one row for each of its different trigrams: the gram, the row's id and the gram's places, in
-files by a hash of the gram. A look-up reads only the files of the grams that cover the term, takes the rarest first, and
+For every group of some texts (GROUP_CHARS) the index has one row for each of their different trigrams: the gram, the ids of
+the texts that have it and its places in each, in files by a hash of the gram. A look-up reads only the files of the grams that cover the term, takes the rarest first, and
 keeps the places at which all of them lie one after the other: that is containment itself, so no text is read that does not
 hold the term. Texts lie in files by a hash of their id, and only those of hits are opened.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexispark.operators import retrieval
+from lexispark.session import batches_of
 from lexispark.storage import Folder
 
 SIZE, BUCKETS = 3, 64
-POSTINGS = "gram string, id long, places array<int>, bucket int"
-
-
-def grams_of(text: str) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = defaultdict(list)
-    for k in range(len(text) - SIZE + 1):
-        out[text[k : k + SIZE]].append(k)
-    return out
+#: Characters of a group, unless one text has more.
+GROUP_CHARS = 1 << 20
+#: Texts that Python is handed at once.
+BUILD_ROWS = 500
+LISTS = "gram string, ids array<long>, places array<array<int>>"
+POSTINGS = f"{LISTS}, bucket int"
+
+
+def groups(ids: list[int], texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Neighbouring texts that have grams, by GROUP_CHARS characters or one text."""
+    of: list[int] = []
+    held: list[str] = []
+    n = 0
+    for i, t in zip(ids, texts, strict=True):
+        if t is None or len(t) < SIZE:
+            continue
+        if held and n + len(t) > GROUP_CHARS:
+            yield of, held
+            of, held, n = [], [], 0
+        of.append(i)
+        held.append(t)
+        n += len(t)
+    if held:
+        yield of, held
+
+
+def lists_of(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    """gram, ids, places of a group of texts of SIZE characters at least."""
+    whole = "".join(texts)
+    code = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    at = np.flatnonzero(text[: 1 - SIZE] == text[SIZE - 1 :])  # no gram goes over the end of a text
+    key = code[at] << np.uint64(42) | code[at + 1] << np.uint64(21) | code[at + 2]
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    text = text[at]
+    other = np.concatenate(([True], key[1:] != key[:-1]))
+    pair = np.flatnonzero(other | np.concatenate(([True], text[1:] != text[:-1])))
+    gram = np.flatnonzero(other[pair])
+    places = pa.ListArray.from_arrays(pa.array(np.append(pair, len(at)).astype(np.int32)), pa.array((at - (ends - sizes)[text]).astype(np.int32)))
+    bounds = pa.array(np.append(gram, len(pair)).astype(np.int32))
+    names = [whole[p : p + SIZE] for p in at[pair[gram]].tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.ListArray.from_arrays(bounds, pa.array(np.array(ids, np.int64)[text[pair]])), pa.ListArray.from_arrays(bounds, places)], ["gram", "ids", "places"])
 
 
 def cover(term: str) -> dict[int, str]:
@@ -48,15 +86,14 @@ class KeywordIndex(Folder):
 
         def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for of, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = grams_of(t or "")
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([of] * len(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int32()))], ["gram", "id", "places"])
-
-        found = rows.select("id", F.lower(text).alias("t")).mapInArrow(postings, "gram string, id long, places array<int>").withColumn("bucket", self._bucket("gram"))
-        # Common grams are in as many rows as there are texts: a bucket is written by several tasks.
-        found = found.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram")
-        found.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/grams")
+                for ids, texts in groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    yield lists_of(ids, texts)
+
+        found = rows.select("id", F.lower(text).alias("t")).mapInArrow(postings, LISTS).withColumn("bucket", self._bucket("gram"))
+        # Common grams are in every group of texts: a bucket is written by several tasks.
+        found = found.repartition(F.col("bucket"), F.pmod(F.xxhash64("ids"), F.lit(8))).sortWithinPartitions("bucket", "gram")
+        with batches_of(self.spark, BUILD_ROWS):
+            found.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/grams")
         rows.withColumn("bucket", self._bucket("id")).repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/rows")
 
     def ids(self, term: str) -> DataFrame | None:
@@ -67,12 +104,13 @@ class KeywordIndex(Folder):
         if not self.names("grams"):
             return None
         lists = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/grams").filter(F.col("bucket").isin(buckets) & F.col("gram").isin(*set(wanted.values())))
-        sizes = {r["gram"]: r["count"] for r in lists.groupBy("gram").count().collect()}
+        sizes = {r["gram"]: r["n"] for r in lists.groupBy("gram").agg(F.sum(F.size("ids")).alias("n")).collect()}
         if len(sizes) < len(set(wanted.values())):
             return None
         hits = None
         for place, gram in sorted(wanted.items(), key=lambda x: (sizes[x[1]], x[0])):
-            starts = lists.filter(F.col("gram") == gram).select("id", F.transform("places", lambda p: p - place).alias("starts"))  # noqa: B023
+            each = lists.filter(F.col("gram") == gram).select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("places").alias("places"))))
+            starts = each.select("id", F.transform("places", lambda p: p - place).alias("starts"))  # noqa: B023
             if hits is None:
                 hits = starts
                 continue

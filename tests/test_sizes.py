@@ -9,7 +9,7 @@ import pytest
 
 from lexispark.functions import documents as D
 from lexispark.functions import text as T
-from lexispark.operators import vector_index
+from lexispark.operators import keyword_index, vector_index
 from lexispark.plans.flows import QUERIES
 from lexispark.session import ROWS_KEY, batches_of
 from tests.test_engine import column
@@ -76,3 +76,22 @@ def test_open_lists_are_given_out_in_bounded_batches():
     got = list(vector_index._open_lists(sent, 0, lists)([asked]))
     assert sum(b.num_rows for b in got) == n * lists and max(b.num_rows for b in got) <= vector_index.OPEN_PAIRS
     assert len({(q, k) for b in got for q, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}) == n * lists
+
+
+def test_postings_hold_a_gram_once_a_group_of_texts(spark, tmp_path, monkeypatch):
+    texts = ["abcabc", "ab", None, "xabc\U0001f600y", "cabc" * 5, "éabé", ""]
+    want = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t or "") - 2):
+            want.setdefault(t[k : k + 3], {}).setdefault(i, []).append(k)
+    for chars in (1, 12, 1 << 20):
+        monkeypatch.setattr(keyword_index, "GROUP_CHARS", chars)
+        rows = [r for g in keyword_index.groups(list(range(len(texts))), texts) for r in keyword_index.lists_of(*g).to_pylist()]
+        got = {}
+        for r in rows:
+            for i, p in zip(r["ids"], r["places"], strict=True):
+                assert got.setdefault(r["gram"], {}).setdefault(i, p) is p
+        assert got == want and (chars > 12) == (len(rows) == len(want))
+    index = keyword_index.KeywordIndex(spark, str(tmp_path / "index"), 4)
+    index.build(spark.createDataFrame([(i, "the same text") for i in range(100)], "id long, text string").coalesce(1))
+    assert spark.read.parquet(f"{index.path}/grams").count() == 11 and index.ids("same t").count() == 100
