@@ -46,7 +46,7 @@ def test_chunks_are_cleaned_once_even_where_reasons_are_filtered(spark):
     assert {q: python_nodes(p) for q, p in plans.items()} == {"str7_chunk_reasons": 2, "pip2_planned_chunks": 2}
 
 
-@pytest.mark.parametrize("name", ["str7_chunk_reasons", "pip2_planned_chunks", "str10_chunks", "flt17_file_types"])
+@pytest.mark.parametrize("name", ["str7_chunk_reasons", "pip2_planned_chunks", "pip2_vectorized", "str10_chunks", "flt17_file_types"])
 def test_python_is_handed_few_texts_at_once(spark, name):
     before = spark.conf.get(ROWS_KEY)
     spark.conf.set(ROWS_KEY, "10000")
