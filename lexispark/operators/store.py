@@ -57,7 +57,9 @@ class BucketStore(Folder):
         """All rows, or those of some buckets, as of the last commit or of another one."""
         held = (self.head() if head is None else head)["buckets"]
         paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in sorted(held.items()) if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        if not paths:  # an empty list as a frame would be read by Python workers, which every executor then keeps
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
     def applied(self, writer: str) -> int:
         return self.head()["writers"].get(writer, -1)

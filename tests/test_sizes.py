@@ -4,14 +4,16 @@ import re
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.functions import documents as D
 from lexispark.functions import text as T
-from lexispark.operators import keyword_index, vector_index
+from lexispark.operators import keyword_index, pipelines, vector_index, vectorize
 from lexispark.plans.flows import QUERIES
-from lexispark.session import ROWS_KEY, batches_of
+from lexispark.session import BYTES_KEY, ROWS_KEY, batches_of
 from tests.test_engine import column
 
 SMALL = "/root/testdata/sf0.001"
@@ -57,6 +59,30 @@ def test_python_is_handed_few_texts_at_once(spark, name):
         spark.conf.set(ROWS_KEY, before)
 
 
+def test_python_is_handed_few_bytes_at_once(spark):
+    @F.pandas_udf("int")
+    def handed(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    docs = spark.range(0, 100, 1, 1).selectExpr("0L AS source_id", "id AS document_id", "'web' AS source_type", "'text' AS document_type", "repeat('x', 1 << 18) AS text")
+    before = spark.conf.get(BYTES_KEY, None)
+    spark.conf.unset(BYTES_KEY)
+    try:
+        pipelines.judged_chunks(docs)
+        assert docs.select(F.max(handed("text"))).first()[0] <= 17
+        spark.conf.set(BYTES_KEY, "1m")
+        pipelines.judged_chunks(docs)
+        assert spark.conf.get(BYTES_KEY) == "1m"
+    finally:
+        spark.conf.unset(BYTES_KEY) if before is None else spark.conf.set(BYTES_KEY, before)
+
+
+def test_an_empty_store_needs_no_python(spark, tmp_path):
+    rows = vectorize.chunk_store(spark, str(tmp_path / "store"), 2).rows()
+    assert "ExistingRDD" not in str(rows._jdf.queryExecution().executedPlan()) and rows.count() == 0
+    assert [(f.name, f.dataType) for f in rows.schema] == [(f.name, f.dataType) for f in vectorize.chunk_store(spark, str(tmp_path / "store"), 2).schema]
+
+
 def test_blocks_are_full_whatever_the_batches(spark):
     of = [0] * 7 + [1] * 3 + [2] * 5
     rows = pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([0] * 15, pa.int32()), pa.array(range(15))], ["list", "part", "id"])
