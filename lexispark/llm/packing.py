@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexispark.llm.common import Scratch, short_batches, trim
-from lexispark.llm.tokens import word_encoder
+from lexispark.llm.tokens import gathered, word_encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -88,9 +88,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        for batch in batches:
+        for batch in gathered(batches):
             of, nth, starts, parts = [], [], [], []
-            for row, got in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+            for row, got in enumerate(encoder.encode(batch.column(1))):
                 ids = np.append(got, end_id).astype("<u4")
                 cuts = range(0, len(ids), capacity)
                 of += [row] * len(cuts)

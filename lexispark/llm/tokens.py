@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,25 @@ PERCENTILE = 0.97
 #: A segment is closed once it holds so many ids.
 SEGMENT_IDS = 65536
 END_ID = 2
-#: Words in a generation of those whose ids a worker remembers, some 200 bytes each; it keeps two generations.
+#: Pieces in a generation of those whose ids a worker remembers, some 200 bytes each; it keeps two generations.
 CACHE_WORDS = 400_000
-#: Characters in which str.split and the tokenizer's white space differ, and U+0000.
-_APART = "\x00\x1c\x1d\x1e\x1f"
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Bytes of texts that are encoded together, in whole batches.
+GATHERED = 4 << 20
+#: Characters of the longest piece that is remembered.
+LONG = 100
+WHITE = " \t\n\v\f\r"
+#: White space for str.split, but not for the tokenizer.
+PYTHON_WHITE = "\x1c\x1d\x1e\x1f"
+#: What the tokenizer cuts lowered words in ASCII and Latin letters into, short forms aside.
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: Kinds of bytes; the two bytes of a Latin letter are told apart later.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KINDS = np.array([SPACE if chr(b) in WHITE else OTHER if not 32 < b < 127 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN for b in range(256)], np.uint8)
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: What short forms go on with after the apostrophe.
+SHORT = np.isin(np.arange(256), list(b"stmdrvl"))
+#: Texts, and the pieces that a tokenizer has to cut them into for the shorter way.
+CUTS = {"Über.": ["über", "."], "Was,": ["was", ","], "x20(Ab'C)--": ["x", "2", "0", "(", "ab", "'", "c", ")--"]}
 #: What a block starts with.
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 SEGMENT = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<int>, payload binary"
@@ -162,18 +177,28 @@ def unpack_blocks(payload: bytes, block: int = BLOCK) -> np.ndarray:
     return out[:n]
 
 
+def utf8(column: pa.LargeStringArray | pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, and where each begins and the last ends."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, places, data = column.buffers()
+    bounds = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 class Known(dict):
-    """Ids of words met lately. Once full it starts afresh, and takes over from the last generation what comes up again."""
+    """Ids of pieces met lately. Once full it starts afresh, and takes over from the last generation what comes up again."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make, self.last = make, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.last.get(word)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.last.get(piece)
         if ids is None:
-            ids = self.make(word)
-        self[word] = ids
+            ids = self.make(piece)
+        if len(piece) <= LONG:
+            self[piece] = ids
         return ids
 
     def renew(self) -> None:
@@ -183,50 +208,108 @@ class Known(dict):
 
 
 class WordEncoder:
-    """Ids of texts with a tokenizer that drops white space, word by word.
-
-    Such a tokenizer never joins anything across white space, so a text's ids are those of its pieces between white
-    space. Pieces recur, so each worker encodes a piece once. Pieces of Latin letters with at most a full stop or comma
-    after them go straight to the tokenizer's model, as its normaliser and pre-tokenizer would hand them over; all
-    other pieces, and texts with a special token or a character of _APART, go through the whole tokenizer.
+    """Ids of texts with a tokenizer that drops white space, piece by piece.
+
+    Such a tokenizer never joins anything across white space, so a text's ids are those of its words. Of words in ASCII
+    and Latin letters the pieces are known beforehand (PIECE): they are lowered and cut for a whole batch at once, and go
+    straight to the tokenizer's model, as its normaliser and pre-tokenizer would hand them over. Words with another
+    character or with what may be a short form ('s, 'll) are a piece each, for the whole tokenizer. Pieces recur: a batch
+    looks each of its own up once, and each worker encodes one once. Texts with a special token or U+0000 go through the
+    tokenizer as they are, and so do all words if it is not one that cuts like this.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), Known(self.word)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known(self.ids)
+        self.model = self.tokenizer.model
+        self.apart = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), "\x00"]
         # Byte-level alphabets show printable bytes as themselves and number the others from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.letters = {ord(c): "".join(hidden.get(b, chr(b)) for b in c.encode()) for c in map(chr, range(192, 256))}
-        self.stops = {c: self.piece(c) for c in ".,"}
-        self.stop_ids = {c: array("I", ids).tobytes() for c, ids in self.stops.items()}
-        self.direct = all(self.whole(t).tolist() == self.piece(w) + self.stops[c] for t, w, c in (("Über.", self.shown("über"), "."), ("Was,", "was", ",")))
+        self.direct = all(self.whole(t).tolist() == [i for p in pieces for i in self.piece(p)] for t, pieces in CUTS.items())
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-
-    def piece(self, shown: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(shown)]
-
-    def shown(self, word: str) -> str:
-        return word if word.isascii() else word.translate(self.letters)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+
+    def ids(self, piece: str) -> bytes:
+        if piece[0] in WHITE:
+            return b""
+        if self.direct and (piece.isascii() and piece.isalpha() and piece.islower() or PIECE.fullmatch(piece)):
+            return array("I", self.piece(piece)).tobytes()
+        words = piece.split()
+        if len(words) > 1 and not any(c in piece for c in PYTHON_WHITE):
+            return b"".join(map(self.known.__getitem__, words))
+        return self.whole(piece).tobytes()
+
+    def cut(self, raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of texts that begin at ``begins``: the bytes, lowered where they are cut, and where each piece starts.
+        White space is a piece too."""
+        kinds, low = KINDS[raw], LOWER[raw]
+        if self.direct:
+            second = np.flatnonzero(raw == 0xC3) + 1
+            second = second[(raw[second] != 0x97) & (raw[second] != 0xB7)]  # all but the signs of times and division
+            kinds[second - 1] = kinds[second] = LETTER
+            low[second] += np.where(raw[second] < 0x9F, 32, 0).astype(np.uint8)
+        else:
+            kinds[kinds != SPACE] = OTHER
+        starts = kinds == DIGIT
+        starts[1:] |= kinds[1:] != kinds[:-1]
+        starts[begins] = True
+        quotes = np.flatnonzero(raw[:-1] == ord("'"))
+        kinds[quotes[SHORT[low[quotes + 1]]]] = OTHER
+        others = np.flatnonzero(kinds == OTHER)
+        if len(others):
+            spaces = kinds == SPACE
+            ends = spaces.copy()
+            ends[begins] = True
+            ends = np.append(np.flatnonzero(ends), len(raw))
+            nth = np.unique(np.searchsorted(ends, others, "right"))  # the ends after words that hold one
+            first = ends[nth - 1] + spaces[ends[nth - 1]]
+            within = np.zeros(len(raw) + 1, np.int8)
+            within[first] += 1
+            within[ends[nth]] -= 1
+            within = np.cumsum(within[:-1], dtype=np.int8).view(bool)
+            starts &= ~within
+            starts[first] = True
+            low[within] = raw[within]
+        return low, np.flatnonzero(starts)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null is the empty text."""
+        self.known.renew()
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        raw, bounds = utf8(column)
+        alone = {}
+        if any(s.encode() in bytes(raw) for s in self.apart):
+            apart = np.any([pc.match_substring(column, s).to_numpy(zero_copy_only=False) for s in self.apart], axis=0)
+            alone = {i: self.whole(column[i].as_py()) for i in np.flatnonzero(apart).tolist()}
+            raw, bounds = utf8(pc.if_else(pa.array(apart), pa.scalar("", pa.large_string()), column))
+        if len(raw):
+            low, starts = self.cut(raw, bounds[:-1][bounds[:-1] < len(raw)])
+            pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(low)).dictionary_encode()
+            known = pa.array(list(map(self.known.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False).tolist())), pa.large_binary())
+            data, places = utf8(known.take(pieces.indices))
+            ids, at = data.view(np.uint32), places[np.searchsorted(starts, bounds)] // 4
+        else:
+            ids, at = np.empty(0, np.uint32), bounds
+        return [alone[i] if i in alone else ids[a:b] for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
 
-    def word(self, word: str) -> bytes:
-        core, stop = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-        if self.direct and (core.isascii() and core.isalpha() or _LATIN.fullmatch(core)):
-            lower = core.lower()
-            if stop or lower != word:
-                return self.known[lower] + self.stop_ids.get(stop, b"")
-            return array("I", self.piece(self.shown(lower))).tobytes()
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        self.known.renew()
-        get = self.known.__getitem__
-        whole = [any(s in t for s in self.specials) or any(c in t for c in _APART) for t in texts]
-        return [self.whole(t) if w else np.frombuffer(b"".join(map(get, t.split())), np.uint32) for t, w in zip(texts, whole, strict=True)]
+def gathered(batches: Iterator[pa.RecordBatch], size: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``size`` bytes: the more texts, the fewer pieces are looked up for each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -252,9 +335,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
             return pa.RecordBatch.from_pydict(row, schema)
 
         schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("shard_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+        for batch in gathered(batches):
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 ids.append(np.append(got, end_id).astype(np.int64))
                 doc_ids.append(doc_id)
                 held += len(got) + 1
