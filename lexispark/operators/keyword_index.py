@@ -1,9 +1,10 @@
-"""Look-up of texts that contain a term, case aside, by an index of trigrams with their places.
+"""Look-up of texts that contain a term, case aside, by an index of trigrams.
 
-For every group of some texts (GROUP_CHARS) the index has one row for each of their different trigrams: the gram, the ids of
-the texts that have it and its places in each, in files by a hash of the gram. A look-up reads only the files of the grams that cover the term, takes the rarest first, and
-keeps the places at which all of them lie one after the other: that is containment itself, so no text is read that does not
-hold the term. Texts lie in files by a hash of their id, and only those of hits are opened.
+Texts are written once, by the tasks that read them. For every group of some texts of a file (GROUP_CHARS) the index has one row
+for each of their different trigrams: the gram, the ids of the texts that have it and the texts' file, in files by a hash of the
+gram. A look-up reads only the index files of the term's grams and counts how many of them each text has. A text may have all of
+them apart, so the files of such texts are opened, and no others, and the texts in them looked through. Places of the grams would
+spare that, but even packed they take three times the room of the texts (README).
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from lexispark.operators import retrieval
 from lexispark.session import batches_of
@@ -25,8 +27,10 @@ SIZE, BUCKETS = 3, 64
 GROUP_CHARS = 1 << 20
 #: Texts that Python is handed at once.
 BUILD_ROWS = 500
-LISTS = "gram string, ids array<long>, places array<array<int>>"
+LISTS = "gram string, ids array<long>, file string"
 POSTINGS = f"{LISTS}, bucket int"
+#: Ids that ascend take a few bits each as differences, which is what Parquet writes where it has no dictionary.
+PACKED = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#ids.list.element": "false"}
 
 
 def groups(ids: list[int], texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
@@ -48,7 +52,7 @@ def groups(ids: list[int], texts: list[str | None]) -> Iterator[tuple[list[int],
 
 
 def lists_of(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-    """gram, ids, places of a group of texts of SIZE characters at least."""
+    """gram, ids, places of a group of texts of SIZE characters at least; the index leaves the places out."""
     whole = "".join(texts)
     code = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.array([len(t) for t in texts])
@@ -68,9 +72,8 @@ def lists_of(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.ListArray.from_arrays(bounds, pa.array(np.array(ids, np.int64)[text[pair]])), pa.ListArray.from_arrays(bounds, places)], ["gram", "ids", "places"])
 
 
-def cover(term: str) -> dict[int, str]:
-    """Places in a term and their grams, side by side; the last one may overlap."""
-    return {k: term[k : k + SIZE] for k in sorted({*range(0, len(term) - SIZE + 1, SIZE), len(term) - SIZE})}
+def grams_of(term: str) -> list[str]:
+    return sorted({term[k : k + SIZE] for k in range(len(term) - SIZE + 1)})
 
 
 class KeywordIndex(Folder):
@@ -81,52 +84,47 @@ class KeywordIndex(Folder):
     def _bucket(self, column: str):
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
+    def _rows(self, schema: StructType, *files: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/rows/{f}" for f in files or ("",)))
+
     def build(self, rows: DataFrame, text: str = "text") -> None:
         """Indexes ``rows(id, ...)``, ids unique and not null. The lower case is Spark's, as it is of terms."""
+        rows.write.option("compression", "zstd").parquet(f"{self.path}/rows")
 
         def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for ids, texts in groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield lists_of(ids, texts)
-
-        found = rows.select("id", F.lower(text).alias("t")).mapInArrow(postings, LISTS).withColumn("bucket", self._bucket("gram"))
-        # Common grams are in every group of texts: a bucket is written by several tasks.
-        found = found.repartition(F.col("bucket"), F.pmod(F.xxhash64("ids"), F.lit(8))).sortWithinPartitions("bucket", "gram")
+                for file in batch.column(2).unique().to_pylist():
+                    held = batch.filter(pc.equal(batch.column(2), file))
+                    for ids, texts in groups(held.column(0).to_pylist(), held.column(1).to_pylist()):
+                        lists = lists_of(ids, texts)
+                        yield pa.RecordBatch.from_arrays([lists["gram"], lists["ids"], pa.array([file] * lists.num_rows)], ["gram", "ids", "file"])
+
+        kept = self._rows(rows.schema).select("id", F.lower(text).alias("t"), F.col("_metadata.file_name").alias("file"))
+        found = kept.mapInArrow(postings, LISTS).withColumn("bucket", self._bucket("gram"))
+        # Common grams are in every group of texts: a bucket is written by as many tasks as its size takes.
+        found = found.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "gram")
         with batches_of(self.spark, BUILD_ROWS):
-            found.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/grams")
-        rows.withColumn("bucket", self._bucket("id")).repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/rows")
+            found.write.partitionBy("bucket").options(**PACKED).parquet(f"{self.path}/grams")
 
     def ids(self, term: str) -> DataFrame | None:
-        """id of each row that contains a lower-case term of at least SIZE characters; None if a gram of it is nowhere."""
-        wanted = cover(term)
-        grams = self.spark.createDataFrame([(g,) for g in set(wanted.values())], "gram string").withColumn("bucket", self._bucket("gram"))
+        """id and file of each row that has all grams of a lower-case term of at least SIZE characters: of all that contain it,
+        and maybe of more. None if no row has any gram."""
+        wanted = grams_of(term)
+        grams = self.spark.createDataFrame([(g,) for g in wanted], "gram string").withColumn("bucket", self._bucket("gram"))
         buckets = sorted({r["bucket"] for r in grams.collect()})  # as many as the term has grams
         if not self.names("grams"):
             return None
-        lists = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/grams").filter(F.col("bucket").isin(buckets) & F.col("gram").isin(*set(wanted.values())))
-        sizes = {r["gram"]: r["n"] for r in lists.groupBy("gram").agg(F.sum(F.size("ids")).alias("n")).collect()}
-        if len(sizes) < len(set(wanted.values())):
-            return None
-        hits = None
-        for place, gram in sorted(wanted.items(), key=lambda x: (sizes[x[1]], x[0])):
-            each = lists.filter(F.col("gram") == gram).select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("places").alias("places"))))
-            starts = each.select("id", F.transform("places", lambda p: p - place).alias("starts"))  # noqa: B023
-            if hits is None:
-                hits = starts
-                continue
-            both = hits.join(starts.withColumnRenamed("starts", "_more"), "id")
-            hits = both.select("id", F.array_intersect("starts", "_more").alias("starts")).filter(F.size("starts") > 0)
-        return hits.filter(F.exists("starts", lambda s: s >= 0)).select("id")
+        lists = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/grams").filter(F.col("bucket").isin(buckets) & F.col("gram").isin(wanted))
+        had = lists.select("file", F.explode("ids").alias("id")).groupBy("id", "file").agg(F.count("*").alias("n"))
+        return had.filter(F.col("n") >= len(wanted)).select("id", "file")
 
     def containing(self, term: str, schema: StructType, text: str = "text") -> DataFrame:
         """The rows, of columns ``schema``, that contain ``term``. Terms shorter than a gram are looked for in all texts."""
         lowered = self.spark.range(1).select(F.lower(F.lit(term))).first()[0]
-        rows = self.spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(f"{self.path}/rows")
         if len(lowered) < SIZE:
-            return retrieval.containing(rows, lowered, text).drop("bucket")
+            return retrieval.containing(self._rows(schema), lowered, text)
         hits = self.ids(lowered)
-        if hits is None:
-            return rows.filter("false").drop("bucket")
-        hits = hits.withColumn("bucket", self._bucket("id"))
-        buckets = [r[0] for r in hits.select("bucket").distinct().collect()]  # numbers of files, at most ``buckets``
-        return rows.filter(F.col("bucket").isin(buckets)).join(hits.select("id"), "id", "left_semi").drop("bucket")
+        files = [] if hits is None else sorted(r["file"] for r in hits.select("file").distinct().collect())  # at most as many as were written
+        if not files:
+            return self._rows(schema).filter("false")
+        return self._rows(schema, *files).filter(F.contains(F.lower(text), F.lit(lowered)))

@@ -121,3 +121,26 @@ def test_postings_hold_a_gram_once_a_group_of_texts(spark, tmp_path, monkeypatch
     index = keyword_index.KeywordIndex(spark, str(tmp_path / "index"), 4)
     index.build(spark.createDataFrame([(i, "the same text") for i in range(100)], "id long, text string").coalesce(1))
     assert spark.read.parquet(f"{index.path}/grams").count() == 11 and index.ids("same t").count() == 100
+
+
+def test_the_keyword_index_takes_less_room_than_its_texts(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    index = keyword_index.KeywordIndex(spark, str(tmp_path / "index"), 16)
+    index.build(rows)
+    size = {part: sum(f.stat().st_size for f in (tmp_path / "index" / part).rglob("*.parquet")) for part in ("grams", "rows")}
+    assert 0 < size["grams"] < size["rows"]
+    for term in ("The ", "contact", "ände", "zzzqqq"):
+        want = {r.id for r in rows.filter(F.contains(F.lower("text"), F.lit(term.lower()))).collect()}
+        assert {r.id for r in index.containing(term, rows.schema).collect()} == want, term
+
+
+def test_texts_that_have_the_grams_apart_are_no_hits(spark, tmp_path):
+    texts = ["xabc bcdx", "xABCDx", "bcd", None, "abcabc", "zzz"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartitionByRange(6, "id")
+    index = keyword_index.KeywordIndex(spark, str(tmp_path / "index"), 4)
+    index.build(rows)
+    assert sorted(r.id for r in index.ids("abcd").collect()) == [0, 1]
+    found = index.containing("abCd", rows.schema)
+    assert [tuple(r) for r in found.collect()] == [(1, "xABCDx")]
+    # Of the texts' files those are opened in which one has all grams; one text each, here.
+    assert len(found.inputFiles()) == 2
